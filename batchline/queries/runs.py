@@ -125,7 +125,8 @@ _FAILED = f"SELECT dag_id, run_id, task_id, state, try_number, {_SECONDS} AS dur
 
 
 def _minutes(n: str) -> str:
-    return f"coalesce(CAST({n} // 60 AS bigint) || '分钟 ' || CAST({n} % 60 AS bigint) || '秒', 'N/A')"
+    whole = f"CAST({n} AS bigint)"
+    return f"coalesce({whole} // 60 || '分钟 ' || {whole} % 60 || '秒', 'N/A')"
 
 
 def _local(t: str) -> str:

@@ -137,7 +137,7 @@ def table_ddl(nodes: DataFrame, columns: DataFrame) -> DataFrame:
     grouped = bounded.select("*", line.alias("line")).groupBy("table_name").agg(
         F.sort_array(F.collect_list(F.struct("column_id", "line"))).alias("lines"),
         F.collect_set(F.lower("en_name")).alias("present"),
-        F.array_join(F.array_sort(F.collect_set(F.when("is_pk", F.col("en_name")))), ", ").alias("pk"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_pk"), F.col("en_name")))), ", ").alias("pk"),
     )
     audit = F.filter(
         F.array(*[F.lit(c) for c in AUDIT_COLUMNS]), lambda c: ~F.array_contains(F.col("present"), c)
