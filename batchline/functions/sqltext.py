@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FIELD = r"((?:\w+\s*\(\s*)?[\w.]+(?:\s+AS\s+\w+)?\)?)"
+# a field, or a function or cast around it; starts only where a word does and never gives
+# back part of a word, so that a long text is scanned once
+_FIELD = r"((?<!\w)(?:\w++\s*\(\s*)?[\w.]++(?:\s+AS\s+\w++)?\)?)"
 
 
 def _flat(sql: Column) -> Column:
@@ -62,16 +64,15 @@ def select_aliases(sql: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def target_date_field(sql: Column) -> Column:
-    """The output field that holds the window date.
+def target_date_field(fields: Column, aliases: Column) -> Column:
+    """The output field that holds the window date, from bound fields and select aliases.
 
     The alias of a bound field, else a bound field without a qualifier, else null; with
     several candidates the first bound field in text order of names.
     """
-    fields, aliases = bound_fields(sql), select_aliases(sql)
-    aliased = F.filter(fields, lambda f: F.map_contains_key(aliases, f))
+    renamed = F.filter(F.transform(fields, lambda f: F.try_element_at(aliases, f)), lambda a: a.isNotNull())
     bare = F.filter(fields, lambda f: ~f.contains("."))
-    return F.coalesce(F.element_at(aliases, F.get(aliased, F.lit(0))), F.get(bare, F.lit(0)))
+    return F.coalesce(F.get(renamed, F.lit(0)), F.get(bare, F.lit(0)))
 
 
 def insert_target(sql: Column) -> Column:

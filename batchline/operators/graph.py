@@ -9,16 +9,12 @@ shuffle it (with AQE splitting hot keys on the edge side) when it is not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchline.scratch import Rounds, Scratch
 
 
-def _session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def as_edges(df: DataFrame, src: str, dst: str) -> DataFrame:
     """Distinct edges with both ends known, under the names the walks use."""
     edge = df.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
@@ -30,7 +26,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
 
     ``seeds`` has one column ``node``. A seed is in the result only if an edge leads to it.
     """
-    scratch = Scratch(_session(edges), "reach")
+    scratch = Scratch(edges.sparkSession, "reach")
     edges, _ = scratch.save(edges, "edges")
     frontier, size = scratch.save(seeds.select("node").distinct(), "seeds")
     found = Rounds(scratch, "found", f"node {dict(frontier.dtypes)['node']}", "depth")
@@ -40,6 +36,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
         step = edges.join(frontier, edges["src"] == frontier["node"], "left_semi")
         fresh = step.select(F.col("dst").alias("node")).distinct()
         frontier, size = found.add(fresh.join(found.all(), "node", "left_anti"), depth)
+    scratch.forget_all()
     return found.all()
 
 
@@ -52,8 +49,9 @@ def _trim(scratch: Scratch, edges: DataFrame, size: int) -> tuple[DataFrame, int
         kept = edges.join(into, edges["src"] == into["node"], "left_semi")
         kept = kept.join(out_of, kept["dst"] == out_of["node"], "left_semi")
         smaller, left = scratch.save(kept, "trimmed")
+        scratch.forget(edges)
         if left == size:
-            return edges, size
+            return smaller, left
         edges, size = smaller, left
     return edges, size
 
@@ -76,7 +74,9 @@ def _spread_least(scratch: Scratch, edges: DataFrame) -> DataFrame:
             F.when(lower, F.col("offer")).otherwise(F.col("label")).alias("label"),
             lower.alias("changed"),
         )
+        before = labels
         labels, size = scratch.save(merged, "labels", counted="changed")
+        scratch.forget(before)
     return labels.select("node", "label")
 
 
@@ -87,13 +87,12 @@ def components(edges: DataFrame) -> DataFrame:
     label that lead back to the label's own node are one component. They are taken out and
     the rest goes into the next round, so the rounds end when no edge is left.
     """
-    scratch = Scratch(_session(edges), "components")
-    edges, size = scratch.save(edges, "edges")
+    scratch = Scratch(edges.sparkSession, "components")
     kind = dict(edges.dtypes)["src"]
     found = Rounds(scratch, "found", f"node {kind}, component {kind}", "round")
-    loops = edges.filter("src = dst")
-    single, n_single = scratch.save(loops.toDF("node", "component"), "loops")
-    if n_single:
+    edges, size = scratch.save(edges, "edges")
+    loops, n_loops = scratch.save(edges.filter("src = dst").toDF("node", "component"), "loops")
+    if n_loops:
         edges, size = scratch.save(edges.filter("src <> dst"), "edges")
     edges, size = _trim(scratch, edges, size)
     number = 0
@@ -110,10 +109,11 @@ def components(edges: DataFrame) -> DataFrame:
         gone, _ = scratch.save(part.select("node").union(roots).distinct(), "gone")
         left = edges.join(gone, edges["src"] == gone["node"], "left_anti")
         left = left.join(gone, left["dst"] == gone["node"], "left_anti")
-        edges, size = scratch.save(left, "rest")
-        edges, size = _trim(scratch, edges, size)
+        rest, size = scratch.save(left, "rest")
+        scratch.forget_all(but=(loops, rest))
+        edges, size = _trim(scratch, rest, size)
     result = found.all().drop("round")
-    return result.unionByName(single.join(result, "node", "left_anti"))
+    return result.unionByName(loops.join(result, "node", "left_anti"))
 
 
 def _inside(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -127,30 +127,45 @@ def _inside(edges: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Level of each node: 0 without ``dst``, else one more than the highest of its ``dst``.
+def _peel(scratch: Scratch, edges: DataFrame, nodes: DataFrame) -> tuple[Rounds, DataFrame, int]:
+    """Place nodes level by level, each when all it needs is placed.
 
-    An edge ``src, dst`` means that ``src`` needs ``dst``. Edges inside a cycle are ignored.
-    ``nodes`` has one column ``node``; nodes of edges are added to it.
+    Gives the placed nodes, the edges of nodes that a cycle keeps from being placed, and
+    the number of those edges.
     """
-    scratch = Scratch(_session(edges), "levels")
-    edges, _ = scratch.save(edges, "edges")
-    cyclic, n_cyclic = scratch.save(components(edges), "cyclic")
-    if n_cyclic:
-        inner = _inside(edges, cyclic)
-        edges, _ = scratch.save(edges.join(inner, ["src", "dst"], "left_anti"), "acyclic")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
-    everything = nodes.select("node").unionByName(ends).unionByName(cyclic.select("node")).distinct()
+    placed = Rounds(scratch, f"placed{scratch.serial}", f"node {dict(nodes.dtypes)['node']}", "level")
     needy = edges.select(F.col("src").alias("node")).distinct()
-    placed = Rounds(scratch, "placed", f"node {dict(everything.dtypes)['node']}", "level")
-    frontier, size = placed.add(everything.join(needy, "node", "left_anti"), 0)
-    level, waiting = 0, edges
-    while size:
+    frontier, size = placed.add(nodes.join(needy, "node", "left_anti"), 0)
+    waiting, left = scratch.save(edges, "waiting")
+    level = 0
+    while size and left:
         level += 1
         freed = waiting.join(frontier, waiting["dst"] == frontier["node"], "left_semi")
         blocked = waiting.join(frontier, waiting["dst"] == frontier["node"], "left_anti")
-        waiting, _ = scratch.save(blocked, "waiting")
-        still = waiting.select(F.col("src").alias("node")).distinct()
+        still, left = scratch.save(blocked, "waiting")
         ready = freed.select(F.col("src").alias("node")).distinct()
-        frontier, size = placed.add(ready.join(still, "node", "left_anti"), level)
+        held = still.select(F.col("src").alias("node")).distinct()
+        frontier, size = placed.add(ready.join(held, "node", "left_anti"), level)
+        scratch.forget(waiting)
+        waiting = still
+    return placed, waiting, left
+
+
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Level of each node: 0 without ``dst``, else one more than the highest of its ``dst``.
+
+    An edge ``src, dst`` means that ``src`` needs ``dst``. Edges inside a cycle are ignored;
+    cycles are looked for only among the nodes that could not be placed without that.
+    ``nodes`` has one column ``node``; nodes of edges are added to it.
+    """
+    scratch = Scratch(edges.sparkSession, "levels")
+    edges, _ = scratch.save(edges, "edges")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    everything, _ = scratch.save(nodes.select("node").unionByName(ends).distinct(), "nodes")
+    placed, waiting, stuck = _peel(scratch, edges, everything)
+    if stuck:
+        inner = _inside(waiting, components(waiting))
+        acyclic, _ = scratch.save(edges.join(inner, ["src", "dst"], "left_anti"), "acyclic")
+        placed, _, _ = _peel(scratch, acyclic, everything)
+    scratch.forget_all()
     return placed.all()

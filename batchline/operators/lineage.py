@@ -267,9 +267,13 @@ def script_dependencies(
     without sources falls back on any edge of its table; if that leaves no dependency at
     all, every script does. Scripts without a dependency have one row with null.
     """
-    ids = scripts.select(
-        "target", "script_name", script_id(F.col("script_name"), F.col("target")).alias("script_id")
-    ).distinct()
+    scratch = Scratch(scripts.sparkSession, "dependencies")
+    ids, _ = scratch.save(
+        scripts.select(
+            "target", "script_name", script_id(F.col("script_name"), F.col("target")).alias("script_id")
+        ).distinct(),
+        "ids",
+    )
     producers = ids.select(F.col("target").alias("source"), F.col("script_id").alias("depends_on"))
     explicit = script_sources.select("target", "script_name", "source").distinct()
     links = edges.select("target", "source").filter("source IS NOT NULL").distinct()
@@ -283,10 +287,10 @@ def script_dependencies(
             .select("script_id", "depends_on").distinct()
         )
 
-    found = pairs(needs)
-    if found.isEmpty():
+    found, size = scratch.save(pairs(needs), "pairs")
+    if not size:
         everything = ids.select("target", "script_name").join(links, "target")
-        found = pairs(everything.select(*explicit.columns))
+        found, _ = scratch.save(pairs(everything.select(*explicit.columns)), "pairs")
     return ids.select("script_id").distinct().join(found, "script_id", "left")
 
 

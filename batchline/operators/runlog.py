@@ -249,14 +249,16 @@ def fold_task_log(events: DataFrame) -> DataFrame:
     ``kind`` of ``start`` or ``end``, the ``event_time``, the order ``written`` in, and for
     ends ``success`` and ``duration``. The last event of a kind wins, as an update would.
     """
-    def last(kind: str, value: str) -> Column:
-        of_kind = F.col("kind") == kind
-        return F.max(F.when(of_kind, F.struct("written", value)))[value]
+    def last(kind: str, *values: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.struct("written", *values)))
 
     keyed = events.withColumn("exec_date", F.to_date("exec_date"))
-    return keyed.groupBy("exec_date", "target_table", "script_name").agg(
-        last("start", "event_time").alias("exec_start_time"),
-        last("end", "event_time").alias("exec_end_time"),
-        last("end", "duration").alias("exec_duration"),
-        last("end", "success").alias("exec_result"),
+    folded = keyed.groupBy("exec_date", "target_table", "script_name").agg(
+        last("start", "event_time").alias("start"),
+        last("end", "event_time", "duration", "success").alias("end"),
+    )
+    return folded.select(
+        "exec_date", "target_table", "script_name",
+        F.col("start.event_time").alias("exec_start_time"), F.col("end.event_time").alias("exec_end_time"),
+        F.col("end.duration").alias("exec_duration"), F.col("end.success").alias("exec_result"),
     )

@@ -118,8 +118,12 @@ def select_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_date_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = sqltext.target_date_field(F.col("script_content"))
-    return view(spark, sf_dir, "scripts").select("script_name", field.alias("date_field"))
+    text = F.col("script_content")
+    parsed = view(spark, sf_dir, "scripts").select(
+        "script_name", sqltext.bound_fields(text).alias("fields"), sqltext.select_aliases(text).alias("aliases")
+    )
+    field = sqltext.target_date_field(F.col("fields"), F.col("aliases"))
+    return parsed.select("script_name", field.alias("date_field"))
 
 
 def insert_target(spark: SparkSession, sf_dir: str) -> DataFrame:

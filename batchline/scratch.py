@@ -53,6 +53,23 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(name, value)
 
 
+def nothing(spark: SparkSession, columns: str) -> DataFrame:
+    """A frame of these columns without rows, known to Catalyst as empty."""
+    return spark.sql("SELECT from_json(CAST(NULL AS string), :columns) AS r WHERE false", {"columns": columns}).select("r.*")
+
+
+def _store(spark: SparkSession, df: DataFrame, path: str, counted: str) -> int:
+    """Write ``df`` and count on the way.
+
+    Small files are packed into one task up to the usual split size, so a round over a
+    small frontier does not pay for a task per file.
+    """
+    seen = Observation()
+    with settings(spark, spark__sql__files__minPartitionNum="1"):
+        df.observe(seen, F.count_if(F.expr(counted)).alias("n")).write.mode("overwrite").parquet(path)
+    return seen.get["n"]
+
+
 class Scratch:
     """Intermediate parquet tables of one job.
 
@@ -63,15 +80,28 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = new_dir(spark, label)
-        self._serial = 0
+        self.serial = 0
+        self._stored: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, name: str, counted: str = "true") -> tuple[DataFrame, int]:
         """Write ``df`` once; return the table read back and its count of rows (``counted``)."""
-        self._serial += 1
-        path = f"{self.root}/{self._serial:04d}-{name}"
-        seen = Observation()
-        df.observe(seen, F.count_if(F.expr(counted)).alias("n")).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
+        self.serial += 1
+        path = f"{self.root}/{self.serial:04d}-{name}"
+        size = _store(self.spark, df, path, counted)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self._stored.append((stored, path))
+        return stored, size
+
+    def forget(self, *tables: DataFrame) -> None:
+        """Delete saved tables that nothing will read again; others are left alone."""
+        files = FileSystem(self.spark)
+        for stored, path in list(self._stored):
+            if any(stored is table for table in tables):
+                files.delete(path)
+                self._stored.remove((stored, path))
+
+    def forget_all(self, *, but: tuple[DataFrame, ...] = ()) -> None:
+        self.forget(*[t for t, _ in self._stored if not any(t is kept for kept in but)])
 
 
 class Rounds:
@@ -89,16 +119,15 @@ class Rounds:
     def add(self, df: DataFrame, number: int) -> tuple[DataFrame, int]:
         """Write one round; return it read back and its row count."""
         path = f"{self._path}/{self._round}={number}"
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        size = _store(self._spark, df, path, "true")
         self._empty = False
-        return self._spark.read.schema(self._columns).parquet(path), seen.get["n"]
+        return self._spark.read.schema(self._columns).parquet(path), size
 
     def all(self) -> DataFrame:
         """All rounds so far, with the round's number as a column."""
         schema = f"{self._columns}, {self._round} int"
         if self._empty:
-            return self._spark.createDataFrame([], schema)
+            return nothing(self._spark, schema)
         return self._spark.read.schema(schema).parquet(self._path)
 
 
