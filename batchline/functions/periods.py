@@ -105,7 +105,7 @@ def business_date(instant: Column) -> Column:
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
     """Seconds between two naive timestamps with fraction; null if either is null."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1000000.0)
+    return (end - start).cast("interval second").cast("decimal(20,6)").cast("double")
 
 
 def hours_text(seconds: Column) -> Column:

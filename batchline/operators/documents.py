@@ -35,41 +35,45 @@ def pack_plans(
     """One plan document per date: ``exec_date, part, parts, plan``.
 
     ``scripts`` has ``exec_date, script_id, target_table_label, level`` and whatever else a
-    script row carries; ``dependencies`` has ``exec_date, script_id, depends_on``. A date
+    script row carries; ``dependencies`` has ``exec_date, script_id, depends_on``. The
+    document lists the scripts, the ids of resource and of model scripts, the ids in an
+    order in which sources come first, and for every script the ids it waits for. A date
     with more items than fit in one part has several documents with the same head; the plan
-    is their union.
+    is their union, with the lists of one script joined.
     """
     detail = [c for c in scripts.columns if c not in ("exec_date", "level")]
-    entries = scripts.select(
-        "exec_date", F.col("script_id").alias("id"), F.struct(*detail).alias("script"),
-        F.struct(F.col("level"), F.col("script_id")).alias("place"),
-        F.lit(None).cast("struct<script_id:string,depends_on:string>").alias("need"),
+    waits = dependencies.filter("depends_on IS NOT NULL")
+    items = scripts.select(
+        "exec_date", "script_id", F.lit("").alias("depends_on"),
+        F.struct("level", "script_id", F.struct(*detail).alias("script")).alias("entry"),
     ).unionByName(
-        dependencies.filter("depends_on IS NOT NULL").select(
-            "exec_date", F.concat_ws(" ", "script_id", "depends_on").alias("id"),
-            F.struct("script_id", "depends_on").alias("need"),
-        ),
-        allowMissingColumns=True,
+        waits.select("exec_date", "script_id", "depends_on"), allowMissingColumns=True
+    ).withColumn("id", F.concat_ws("\n", "script_id", "depends_on"))
+    placed = in_parts(items, ["exec_date"], "id", per_part)
+    # no group is larger than a part
+    by_script = placed.groupBy("exec_date", "part", "parts", "script_id").agg(
+        F.max("entry").alias("entry"),
+        F.array_sort(F.collect_list(F.nullif("depends_on", F.lit("")))).alias("waits"),
     )
-    label = F.col("script.target_table_label")
-
-    def ids(wanted: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(label == wanted, F.col("script.script_id"))))
-
-    parts = in_parts(entries, ["exec_date"], "id", per_part)
-    packed = parts.groupBy("exec_date", "part", "parts").agg(
-        F.sort_array(F.collect_list("script")).alias("scripts"),
-        F.sort_array(F.collect_list("need")).alias("needs"),
-        ids("DataResource").alias("resource_scripts"),
-        ids("DataModel").alias("model_scripts"),
-        F.transform(F.sort_array(F.collect_list("place")), lambda p: p["script_id"]).alias("execution_order"),
+    entries = F.sort_array(F.collect_list("entry"))
+    packed = by_script.groupBy("exec_date", "part", "parts").agg(
+        entries.alias("entries"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("script_id", "waits")))).alias("script_dependencies"),
     )
+
+    def ids(label: str) -> Column:
+        labelled = F.filter("entries", lambda e: e["script"]["target_table_label"] == label)
+        return F.array_sort(F.transform(labelled, lambda e: e["script_id"]))
+
     plan = F.to_json(
         F.struct(
             F.date_format("exec_date", "yyyy-MM-dd").alias("exec_date"),
             F.lit(PLAN_VERSION).alias("version"),
-            "scripts", F.col("needs").alias("script_dependencies"),
-            "resource_scripts", "model_scripts", "execution_order",
+            F.sort_array(F.transform("entries", lambda e: e["script"])).alias("scripts"),
+            "script_dependencies",
+            ids("DataResource").alias("resource_scripts"),
+            ids("DataModel").alias("model_scripts"),
+            F.transform("entries", lambda e: e["script_id"]).alias("execution_order"),
         )
     )
     return packed.select("exec_date", "part", "parts", plan.alias("plan"))

@@ -126,13 +126,14 @@ def json_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = F.from_json(
         "plan",
         "exec_date string, version string, scripts array<struct<script_id:string, script_name:string>>, "
-        "script_dependencies array<struct<script_id:string, depends_on:string>>, "
+        "script_dependencies map<string, array<string>>, "
         "resource_scripts array<string>, model_scripts array<string>, execution_order array<string>",
     )
+    waits = F.map_entries("p.script_dependencies")
     return documents.pack_plans(scripts, needs).select(plan.alias("p")).select(
         "p.exec_date", "p.version",
         F.array_join(F.transform("p.scripts", lambda s: F.concat(s["script_id"], F.lit(":"), s["script_name"])), ",").alias("scripts"),
-        F.array_join(F.transform("p.script_dependencies", lambda d: F.concat(d["script_id"], F.lit(">"), d["depends_on"])), ",").alias("needs"),
+        F.array_join(F.transform(waits, lambda w: F.concat(w["key"], F.lit(">"), F.array_join(w["value"], "+"))), ",").alias("needs"),
         F.array_join("p.resource_scripts", ",").alias("resource_scripts"),
         F.array_join("p.model_scripts", ",").alias("model_scripts"),
         F.array_join("p.execution_order", ",").alias("execution_order"),
