@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 class NoMatchingColumn(ValueError):
     """No header of a file names a column of its table."""
@@ -52,9 +55,20 @@ def match_headers(headers: Sequence[str], comments: Mapping[str, str]) -> Header
     )
 
 
-def select_matched(df: DataFrame, comments: Mapping[str, str]) -> DataFrame:
-    """The matched columns of ``df`` under their table names; no match is an error."""
-    match = match_headers(df.columns, comments)
+def select_matched(
+    df: DataFrame, comments: Mapping[str, str], headers: Sequence[str] | None = None
+) -> DataFrame:
+    """The matched columns of ``df`` under their table names; no match is an error.
+
+    ``headers`` are the file's headers for the columns of ``df`` in order (its own names by
+    default): a file may repeat a name in another case, which a frame cannot.
+    """
+    headers = [h.strip() for h in headers or df.columns]
+    match = match_headers(headers, comments)
     if not match.mapping:
-        raise NoMatchingColumn(f"none of the headers {df.columns} names a column of {list(comments)}")
-    return df.select(*[F.col(f"`{h}`").alias(c) for h, c in match.mapping.items()])
+        raise NoMatchingColumn(f"none of the headers {headers} names a column of {list(comments)}")
+    if match.unmatched_headers or match.unmatched_columns:
+        log.warning("not matched: headers %s, columns %s", match.unmatched_headers, match.unmatched_columns)
+    return df.select(
+        *[F.col(f"`{df.columns[headers.index(h)]}`").alias(c) for h, c in match.mapping.items()]
+    )

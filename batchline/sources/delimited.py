@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchline.functions.values import drop_empty_rows, nullify_tokens, trim_headers
+from batchline.functions.values import drop_empty_rows, nullify_tokens
 from batchline.operators.headers import select_matched
 
 # The encodings tried, in order, under their Java names.
@@ -27,6 +27,9 @@ _PYTHON_NAME = {UTF8: "utf-8-sig", GBK: "gbk", LATIN1: "latin-1"}
 
 _EXTRA = "_extra_field"
 
+# a frame with numbered columns, and the file's own headers for them
+Headed = tuple[DataFrame, tuple[str, ...]]
+
 
 @dataclass(frozen=True)
 class FileClass:
@@ -138,13 +141,13 @@ def _read_class(spark: SparkSession, files: FileClass) -> DataFrame:
     whole = F.when(F.col(_EXTRA).isNull(), True).otherwise(
         F.raise_error(F.lit(f"a row has more than {len(files.header)} fields")).cast("boolean")
     )
-    return rows.filter(whole).drop(_EXTRA).toDF(*files.header)
+    return rows.filter(whole).drop(_EXTRA)
 
 
-def read_delimited(spark: SparkSession, paths: Sequence[str]) -> Iterator[DataFrame]:
-    """One all-text frame per class of files, null tokens as nulls and headers trimmed."""
+def read_delimited(spark: SparkSession, paths: Sequence[str]) -> Iterator[Headed]:
+    """One all-text frame per class of files, null tokens as nulls, with its headers."""
     for files in classify(spark, paths):
-        yield nullify_tokens(trim_headers(_read_class(spark, files)))
+        yield nullify_tokens(_read_class(spark, files)), files.header
 
 
 def load_delimited(
@@ -157,10 +160,11 @@ def load_delimited(
     return union_matched(read_delimited(spark, paths), comments)
 
 
-def union_matched(frames: Iterator[DataFrame], comments: Mapping[str, str]) -> DataFrame | None:
+def union_matched(frames: Iterable[Headed], comments: Mapping[str, str]) -> DataFrame | None:
+    """The matched columns of all frames without rows that are empty in all of them."""
     loaded = []
-    for frame in frames:
-        mapped = select_matched(frame, comments)
+    for frame, headers in frames:
+        mapped = select_matched(frame, comments, headers)
         loaded.append(drop_empty_rows(mapped, mapped.columns))
     if not loaded:
         return None

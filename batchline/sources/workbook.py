@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchline.functions.values import nullify_tokens, trim_headers
-from batchline.sources.delimited import union_matched
+from batchline.functions.values import nullify_tokens
+from batchline.sources.delimited import Headed, union_matched
 
 # Names of the public spreadsheet format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -143,8 +143,8 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield _block(path, 0, [first])
 
 
-def read_books(books: DataFrame) -> Iterator[DataFrame]:
-    """One all-text frame per distinct header.
+def read_books(books: DataFrame) -> Iterator[Headed]:
+    """One all-text frame per distinct header, with that header.
 
     ``books`` has ``path`` and ``content``. One header row per file reaches the driver.
     """
@@ -157,10 +157,10 @@ def read_books(books: DataFrame) -> Iterator[DataFrame]:
         some = books if len(heads) == 1 else books.filter(F.col("path").isin(paths))
         cells = some.mapInPandas(_decode, ROWS).filter("row_no > 0")
         frame = cells.select(*[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(names))])
-        yield nullify_tokens(trim_headers(frame.toDF(*names)))
+        yield nullify_tokens(frame), names
 
 
-def read_workbooks(spark: SparkSession, paths: Sequence[str]) -> Iterator[DataFrame]:
+def read_workbooks(spark: SparkSession, paths: Sequence[str]) -> Iterator[Headed]:
     """Frames of the xlsx files at ``paths``."""
     files = spark.read.format("binaryFile").load(list(paths))
     return read_books(files.repartition(max(1, len(paths)), "path"))
