@@ -39,9 +39,9 @@ def pack_plans(
     document lists the scripts, the ids of resource and of model scripts, the ids in an
     order in which sources come first, and for every script the ids it waits for. A date
     with more items than fit in one part has several documents with the same head; the plan
-    is their union, with the lists of one script joined.
+    is their union, with the lists of one script joined and the order given by ``level``.
     """
-    detail = [c for c in scripts.columns if c not in ("exec_date", "level")]
+    detail = [c for c in scripts.columns if c != "exec_date"]
     waits = dependencies.filter("depends_on IS NOT NULL")
     items = scripts.select(
         "exec_date", "script_id", F.lit("").alias("depends_on"),

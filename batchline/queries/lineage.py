@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchline.fixtures import view, with_views
@@ -115,34 +115,47 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.keep_first(chain, "script_id", ["target", "source"])
 
 
+def _plan_rows(plans: DataFrame) -> DataFrame:
+    """The content of plan documents, read back by the JSON reader, however it is split."""
+    plan = F.from_json(
+        "plan",
+        "exec_date string, version string, scripts array<struct<script_id:string, script_name:string, level:int>>, "
+        "script_dependencies map<string, array<string>>, resource_scripts array<string>, model_scripts array<string>",
+    )
+    read = plans.select(plan.alias("p")).select("p.*")
+
+    def row(kind: str, script: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), script.alias("script_id"), value.alias("value"))
+
+    rows = F.concat(
+        F.transform("scripts", lambda s: row("script", s["script_id"], s["script_name"])),
+        F.transform("scripts", lambda s: row("level", s["script_id"], s["level"].cast("string"))),
+        F.transform("resource_scripts", lambda s: row("resource", s, F.lit(""))),
+        F.transform("model_scripts", lambda s: row("model", s, F.lit(""))),
+        F.flatten(
+            F.transform(
+                F.map_entries("script_dependencies"),
+                lambda e: F.transform(e["value"], lambda v: row("wait", e["key"], v)),
+            )
+        ),
+    )
+    return read.select(F.concat_ws(" ", "exec_date", "version").alias("plan"), F.inline(rows))
+
+
 def json_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plan documents per date from the planned scripts, unpacked again by the JSON reader."""
+    """Plan documents per date from the planned scripts, and what they hold."""
     planned = view(spark, sf_dir, "plan_scripts")
     scripts = planned.select(
         "exec_date", F.col("target_table").alias("script_id"), "script_name", "target_table",
         "target_table_label", F.length("target_table").alias("level"),
     )
     needs = planned.select("exec_date", F.col("target_table").alias("script_id"), F.col("source_a").alias("depends_on"))
-    plan = F.from_json(
-        "plan",
-        "exec_date string, version string, scripts array<struct<script_id:string, script_name:string>>, "
-        "script_dependencies map<string, array<string>>, "
-        "resource_scripts array<string>, model_scripts array<string>, execution_order array<string>",
-    )
-    waits = F.map_entries("p.script_dependencies")
-    return documents.pack_plans(scripts, needs).select(plan.alias("p")).select(
-        "p.exec_date", "p.version",
-        F.array_join(F.transform("p.scripts", lambda s: F.concat(s["script_id"], F.lit(":"), s["script_name"])), ",").alias("scripts"),
-        F.array_join(F.transform(waits, lambda w: F.concat(w["key"], F.lit(">"), F.array_join(w["value"], "+"))), ",").alias("needs"),
-        F.array_join("p.resource_scripts", ",").alias("resource_scripts"),
-        F.array_join("p.model_scripts", ",").alias("model_scripts"),
-        F.array_join("p.execution_order", ",").alias("execution_order"),
-    )
+    return _plan_rows(documents.pack_plans(scripts, needs))
 
 
 def daily_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan of a Sunday that ends a quarter, from metadata to documents."""
-    return schedule.plan_for(*_graph(spark, sf_dir), date(2024, 6, 30))
+    """The plan of a Sunday that ends a quarter, from metadata to documents, and what it holds."""
+    return _plan_rows(schedule.plan_for(*_graph(spark, sf_dir), date(2024, 6, 30)))
 
 
 QUERIES = {
@@ -167,7 +180,12 @@ QUERIES = {
     "daily_plan": daily_plan,
 }
 
-_ATTRS = "script_name, script_type, update_mode, schedule_frequency, schedule_status"
+
+_ENABLED = (
+    "SELECT target AS table_name FROM edges e JOIN nodes n ON n.en_name = target WHERE e.schedule_status "
+    "AND ((label = 'DataModel' AND rel = 'DERIVED_FROM') OR (label = 'DataResource' AND rel = 'ORIGINATES_FROM')) "
+    "UNION SELECT en_name FROM nodes WHERE label = 'DataResource' AND type = 'structure' AND schedule_status"
+)
 _HOPS = (
     "SELECT target, label, source, script_name, script_type, e.update_mode, e.schedule_frequency, e.schedule_status "
     "FROM edges e JOIN nodes n ON n.en_name = target "
@@ -202,12 +220,7 @@ def _valid(ends: str) -> str:
 _PAIRS = ", up AS (SELECT target AS a, source AS b FROM edges_cyclic UNION SELECT up.a, e.source FROM up JOIN edges_cyclic e ON e.target = up.b) "
 
 ORACLE = {
-    "enabled_union": with_views(
-        ["nodes", "edges"],
-        "SELECT target AS table_name FROM edges e JOIN nodes n ON n.en_name = target WHERE e.schedule_status "
-        "AND ((label = 'DataModel' AND rel = 'DERIVED_FROM') OR (label = 'DataResource' AND rel = 'ORIGINATES_FROM')) "
-        "UNION SELECT en_name FROM nodes WHERE label = 'DataResource' AND type = 'structure' AND schedule_status",
-    ),
+    "enabled_union": with_views(["nodes", "edges"], _ENABLED),
     "one_hop": with_views(["nodes", "edges"], _HOPS),
     "script_group": with_views(
         ["nodes", "edges"],
@@ -303,11 +316,29 @@ ORACLE = {
     ),
     "json_pack": with_views(
         ["plan_scripts"],
-        "SELECT CAST(exec_date AS string) AS exec_date, '2.0' AS version, "
-        "string_agg(target_table || ':' || script_name, ',' ORDER BY target_table) AS scripts, "
-        "string_agg(target_table || '>' || source_a, ',' ORDER BY target_table) AS needs, "
-        "coalesce(string_agg(CASE WHEN target_table_label = 'DataResource' THEN target_table END, ',' ORDER BY target_table), '') AS resource_scripts, "
-        "coalesce(string_agg(CASE WHEN target_table_label = 'DataModel' THEN target_table END, ',' ORDER BY target_table), '') AS model_scripts, "
-        "string_agg(target_table, ',' ORDER BY length(target_table), target_table) AS execution_order FROM plan_scripts GROUP BY exec_date",
+        ", p AS (SELECT CAST(exec_date AS string) || ' 2.0' AS plan, * FROM plan_scripts) "
+        "SELECT plan, 'script' AS kind, target_table AS script_id, script_name AS value FROM p "
+        "UNION ALL SELECT plan, 'level', target_table, CAST(length(target_table) AS string) FROM p "
+        "UNION ALL SELECT plan, CASE WHEN target_table_label = 'DataResource' THEN 'resource' ELSE 'model' END, target_table, '' FROM p "
+        "UNION ALL SELECT plan, 'wait', target_table, source_a FROM p",
+    ),
+    "daily_plan": with_views(
+        ["nodes", "edges"],
+        f"{_SCRIPTS}, attrs AS (SELECT target, arg_min(schedule_frequency, (script_name, coalesce(source, ''))) AS frequency FROM named GROUP BY target), "
+        f"enabled AS ({_ENABLED}), "
+        "due AS (SELECT table_name AS t FROM enabled LEFT JOIN attrs ON target = table_name WHERE coalesce(frequency, 'daily') <> 'yearly'), "
+        "wanted AS (SELECT t FROM due UNION SELECT e.source FROM edges e JOIN due ON t = e.target JOIN nodes n ON n.en_name = t AND n.label = 'DataModel' "
+        "JOIN nodes m ON m.en_name = e.source WHERE rel = 'DERIVED_FROM'), "
+        "hit AS (SELECT t FROM wanted JOIN nodes ON en_name = t WHERE status = false UNION SELECT e.target FROM hit JOIN edges e ON e.source = hit.t "
+        "JOIN wanted w ON w.t = e.target JOIN nodes n ON n.en_name = e.target AND n.label = 'DataModel' WHERE rel = 'DERIVED_FROM'), "
+        "planned AS (SELECT w.t, n.label FROM wanted w JOIN nodes n ON n.en_name = w.t WHERE w.t NOT IN (SELECT t FROM hit)), "
+        "s AS (SELECT ids.*, label FROM ids JOIN planned ON t = target), "
+        "w AS (SELECT * FROM deps WHERE script_id IN (SELECT script_id FROM s) AND depends_on IN (SELECT script_id FROM s)), "
+        "lv AS (SELECT script_id, 0 AS level FROM s UNION SELECT w.script_id, level + 1 FROM lv JOIN w ON w.depends_on = lv.script_id) "
+        "SELECT '2024-06-30 2.0' AS plan, 'script' AS kind, script_id, script_name AS value FROM s "
+        "UNION ALL SELECT '2024-06-30 2.0', 'level', script_id, CAST(max(level) AS string) FROM lv GROUP BY script_id "
+        "UNION ALL SELECT '2024-06-30 2.0', CASE WHEN label = 'DataResource' THEN 'resource' ELSE 'model' END, script_id, '' FROM s WHERE label <> 'DataSource' "
+        "UNION ALL SELECT '2024-06-30 2.0', 'wait', script_id, depends_on FROM w",
+        recursive=True,
     ),
 }

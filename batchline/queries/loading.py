@@ -206,7 +206,7 @@ def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     create_table(spark, target, orders.schema)
     writes.write(orders, target, "append")
     doubled = spark.table(target).select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
-    writes.write(doubled, target, "full_refresh")
+    writes.write(doubled, target, "full_refresh", staged=True)
     return spark.table(target)
 
 

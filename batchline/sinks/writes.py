@@ -2,10 +2,10 @@
 
 Plain parquet tables know no row-level delete, so a replacement rewrites partitions. A
 table partitioned by (a truncation of) the window's date rewrites only the partitions the
-window touches; any other table is rewritten as a whole. Rows are staged in the shared
-folder first, so a failing source leaves the target as it was. The swap itself is not
-atomic on plain parquet: a reader may see the target between its steps, and a run that
-dies there must be run again, which gives the same result.
+window touches; any other table is rewritten as a whole. Rows that are kept, or that come
+from the target itself, are staged in the shared folder first. No replacement is atomic on
+plain parquet: a reader may see the target between its steps, and a run that dies there
+must be run again, which gives the same result.
 """
 
 from __future__ import annotations
@@ -59,26 +59,35 @@ def append(df: DataFrame, table: str) -> None:
     _insert(aligned(df, spark.table(table)), table, False, partition_columns(spark, table))
 
 
-def full_refresh(df: DataFrame, table: str) -> None:
-    """Replace the whole content; an empty source leaves an empty table."""
+def full_refresh(df: DataFrame, table: str, staged: bool = False) -> None:
+    """Replace the whole content; an empty source leaves an empty table.
+
+    ``staged`` writes the rows to the shared folder first: needed when ``df`` reads the
+    target (Spark refuses it otherwise), and at the price of a second write it leaves the
+    target as it was when the source fails.
+    """
     spark = df.sparkSession
-    staged, _ = Scratch(spark, "refresh").save(aligned(df, spark.table(table)), "rows")
-    _insert(staged, table, True, partition_columns(spark, table))
+    rows = _staged(aligned(df, spark.table(table)), staged)
+    _insert(rows, table, True, partition_columns(spark, table))
+
 
+def _staged(rows: DataFrame, staged: bool) -> DataFrame:
+    return Scratch(rows.sparkSession, "staged").save(rows, "rows")[0] if staged else rows
 
-def replace_batch(df: DataFrame, table: str, batch_date: date, column: str = "batch_date") -> None:
+
+def replace_batch(
+    df: DataFrame, table: str, batch_date: date, column: str = "batch_date", staged: bool = False
+) -> None:
     """Replace the one partition of a batch; an empty batch clears it.
 
     The partition is named by the execution date, not by the clock, so a later re-run
-    replaces what the first run loaded.
+    replaces what the first run loaded. ``staged`` as for ``full_refresh``.
     """
     spark = df.sparkSession
     if partition_columns(spark, table) != [column]:
         raise ValueError(f"{table} is not partitioned by {column}")
-    target = spark.table(table)
-    rows = aligned(df.drop(column), target).drop(column)
-    staged, _ = Scratch(spark, "batch").save(rows, "rows")
-    _overwrite_partition(staged, table, column, batch_date)
+    rows = aligned(df.drop(column), spark.table(table).drop(column))
+    _overwrite_partition(_staged(rows, staged), table, column, batch_date)
 
 
 def _overwrite_partition(rows: DataFrame, table: str, column: str, value: date) -> None:
@@ -112,24 +121,28 @@ def replace_window(
     """
     spark = df.sparkSession
     target = spark.table(table)
-    scratch = Scratch(spark, "window")
     if partition is None:
-        staged, _ = scratch.save(replaced(target, df, column, start, end), "rows")
-        _insert(staged, table, True, partition_columns(spark, table))
+        rows = _staged(replaced(target, df, column, start, end), True)
+        _insert(rows, table, True, partition_columns(spark, table))
         return
     if grain not in GRAINS:
         raise ValueError(f"unknown grain: {grain}")
     if partition_columns(spark, table) != [partition]:
         raise ValueError(f"{table} is not partitioned by {partition}")
     new = df if partition in df.columns else df.withColumn(partition, _truncated(F.col(column), grain))
-    first = _floor(start, grain)
+    first, last = _floor(start, grain), _floor(end, grain)
     touched = (F.col(partition) >= F.lit(first)) & (F.col(partition) < F.lit(end))
-    new_rows, _ = scratch.save(aligned(new, target), "new")
-    inside, outside = new_rows.filter(touched), new_rows.filter(~F.coalesce(touched, F.lit(False)))
-    kept = target.filter(touched).filter(~in_window(F.col(column), start, end))
-    rewritten, _ = scratch.save(kept.unionByName(inside), "rewritten")
+    staged = aligned(new, target)
+    # only a partition that the window cuts through can keep rows
+    cut = [p for p, edge in ((first, start), (last, end)) if p != edge]
+    if cut:
+        in_cut = F.col(partition).isin(cut) & touched
+        staged = target.filter(in_cut).filter(~in_window(F.col(column), start, end)).unionByName(staged)
+    staged = _staged(staged, True)
+    rewritten = staged.filter(touched)
     _insert(rewritten, table, True, [partition], dynamic=True)
     _clear(spark, table, partition, target, touched, rewritten)
+    outside = staged.filter(~F.coalesce(touched, F.lit(False)))
     if not outside.isEmpty():
         _insert(outside, table, False, [partition])
 
@@ -168,6 +181,7 @@ def write(
     df: DataFrame, table: str, mode: str, *, column: str | None = None,
     window: tuple[date, date] | None = None, batch_date: date | None = None,
     partition: str | None = None, grain: str = "day", allow_duplicates: bool = False,
+    staged: bool = False,
 ) -> None:
     """One entry for all modes; an unknown mode is an error.
 
@@ -179,9 +193,9 @@ def write(
     if mode == "append":
         append(df, table)
     elif mode == "full_refresh":
-        full_refresh(df, table)
+        full_refresh(df, table, staged)
     elif mode == "replace_batch":
-        replace_batch(df, table, batch_date)
+        replace_batch(df, table, batch_date, staged=staged)
     elif column is not None:
         replace_window(df, table, column, *window, partition=partition, grain=grain)
     elif allow_duplicates:

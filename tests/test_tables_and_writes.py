@@ -87,9 +87,12 @@ def test_batches(spark):
 
 def test_refresh_by_nothing_and_from_itself(spark):
     name = target(spark)
-    writes.full_refresh(spark.table(name).filter("id > 3"), name)
+    with pytest.raises(Exception, match="UNSUPPORTED_OVERWRITE"):
+        writes.full_refresh(spark.table(name).filter("id > 3"), name)
+    assert spark.table(name).count() == 6
+    writes.full_refresh(spark.table(name).filter("id > 3"), name, staged=True)
     assert sorted(r["id"] for r in spark.table(name).collect()) == [4, 5, 6]
-    writes.full_refresh(spark.table(name).limit(0), name)
+    writes.full_refresh(dated(spark, []), name)
     assert spark.table(name).count() == 0
 
 
