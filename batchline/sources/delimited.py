@@ -1,8 +1,8 @@
 """Dropped CSV files: any of three encodings, any header, one job for all files.
 
 One scan of the raw lines finds, per file, its encoding, its header line and whether a
-quoted field spans lines. Files that agree on all three are read together. Only files with
-a quoted line break need Spark's whole-file mode; all others are split.
+quoted field spans lines. Files that agree on all three are read together, in splits. Only
+a file that has quoted line breaks and irregular quotes as well is read by one task.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from batchline.functions.values import drop_empty_rows, nullify_tokens
 from batchline.operators.headers import select_matched
+from batchline.sources.spanning import data_records, regular_paths
 
 # The encodings tried, in order, under their Java names.
 UTF8, GBK, LATIN1 = "UTF-8", "GBK", "ISO-8859-1"
@@ -27,6 +28,9 @@ _PYTHON_NAME = {UTF8: "utf-8-sig", GBK: "gbk", LATIN1: "latin-1"}
 
 _EXTRA = "_extra_field"
 
+# how a file is read: line by line in splits, as a whole, or record by record in splits
+LINES, WHOLE, RECORDS = "lines", "whole", "records"
+
 # a frame with numbered columns, and the file's own headers for them
 Headed = tuple[DataFrame, tuple[str, ...]]
 
@@ -37,7 +41,7 @@ class FileClass:
 
     encoding: str
     header: tuple[str, ...]
-    spans_lines: bool
+    layout: str
     paths: tuple[str, ...]
 
 
@@ -88,19 +92,27 @@ def classify(spark: SparkSession, paths: Sequence[str]) -> list[FileClass]:
         other = _raw_lines(spark, doubtful).filter(~F.is_valid_utf8("value"))
         checked = other.groupBy("path").agg(F.every(_is_gbk(F.col("value").cast("binary"))).alias("gbk"))
         gbk = {row["path"] for row in checked.collect() if row["gbk"]}
+    encodings = {r["path"]: UTF8 if r["utf8"] else GBK if r["path"] in gbk else LATIN1 for r in rows}
+    spanning = [r["path"] for r in rows if r["spans"]]
+    in_records: set[str] = set()
+    for encoding in sorted({encodings[path] for path in spanning}):
+        _allow(spark, encoding)
+        same = [path for path in spanning if encodings[path] == encoding]
+        in_records |= regular_paths(spark, same, encoding)
     groups: dict[tuple, list[str]] = {}
     for row in sorted(rows, key=lambda r: r["path"]):
-        encoding = UTF8 if row["utf8"] else GBK if row["path"] in gbk else LATIN1
+        path, encoding = row["path"], encodings[row["path"]]
         text = bytes(row["head"]).decode(_PYTHON_NAME[encoding], errors="replace")
         if row["spans"] and text.count('"') % 2 == 1:
-            text = _long_header(spark, row["path"], encoding)
-        groups.setdefault((encoding, _field_names(text), row["spans"]), []).append(row["path"])
+            text = _long_header(spark, path, encoding)
+        layout = LINES if not row["spans"] else RECORDS if path in in_records else WHOLE
+        groups.setdefault((encoding, _field_names(text), layout), []).append(path)
     return [FileClass(*key, tuple(files)) for key, files in groups.items()]
 
 
 def _long_header(spark: SparkSession, path: str, encoding: str) -> str:
     """The header record of a file whose header itself has a quoted line break."""
-    record = _reader(spark, encoding, True).option("header", False).csv(path).head()
+    record = _reader(spark, encoding, WHOLE).option("header", False).csv(path).head()
     line = io.StringIO()
     csv.writer(line).writerow(["" if v is None else v for v in record])
     return line.getvalue()
@@ -119,25 +131,32 @@ def _field_names(line: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def _reader(spark: SparkSession, encoding: str, spans_lines: bool):
+def _allow(spark: SparkSession, encoding: str) -> None:
+    """Spark decodes GBK only under this setting, and when the read runs, not when it is
+    declared; it stays set for the session."""
     if encoding == GBK:
-        # Spark decodes GBK only under this setting, and when the read runs, not when it is
-        # declared; it stays set for the session.
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return (
-        spark.read.option("escape", '"').option("encoding", encoding)
-        .option("multiLine", spans_lines).option("header", True)
-        .option("nullValue", "\u0000").option("emptyValue", "")
-    )
+
+
+# a null never stands for itself in a file: tokens are turned into nulls afterwards
+_FIELDS = {"escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+
+
+def _reader(spark: SparkSession, encoding: str, layout: str):
+    _allow(spark, encoding)
+    return spark.read.options(**_FIELDS, encoding=encoding, multiLine=layout == WHOLE, header=True)
 
 
 def _read_class(spark: SparkSession, files: FileClass) -> DataFrame:
     """All rows of the files as text; a row with more fields than the header is an error."""
-    schema = T.StructType(
-        [T.StructField(f"c{i}", T.StringType()) for i in range(len(files.header))]
-        + [T.StructField(_EXTRA, T.StringType())]
-    )
-    rows = _reader(spark, files.encoding, files.spans_lines).schema(schema).csv(list(files.paths))
+    names = [*(f"c{i}" for i in range(len(files.header))), _EXTRA]
+    schema = ", ".join(f"{name} string" for name in names)
+    if files.layout == RECORDS:
+        _allow(spark, files.encoding)
+        texts = data_records(spark, files.paths, files.encoding)
+        rows = texts.select(F.from_csv("text", schema, _FIELDS).alias("r")).select("r.*")
+    else:
+        rows = _reader(spark, files.encoding, files.layout).schema(schema).csv(list(files.paths))
     whole = F.when(F.col(_EXTRA).isNull(), True).otherwise(
         F.raise_error(F.lit(f"a row has more than {len(files.header)} fields")).cast("boolean")
     )

@@ -132,3 +132,42 @@ def test_workbooks_with_different_headers(spark, tmp_path):
     rows = workbook.load_workbooks(spark, [one, two], COMMENTS)
     got = sorted(map(tuple, rows.select("id", "name", "note").collect()), key=str)
     assert got == [("1", "a", None), ("2", None, None), ("3", None, "n")]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "gbk", "latin-1"])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_a_large_file_with_line_breaks_is_read_in_splits(spark, tmp_path, encoding, newline):
+    mark = {"utf-8": "商é", "gbk": "商", "latin-1": "é"}[encoding]
+    want, text = [], f"ID,NAME,note{newline}"
+    for i in range(3000):
+        note = f'he said "{i}",{newline}{mark}' + ("\n" * (i % 4)) + "end" if i % 3 else f"plain {mark}"
+        long = "x" * (900 if i % 50 == 0 else 1) + newline * (i % 50 == 0) + "y"
+        want.append((str(i), long, note))
+        cell = lambda v: '"' + v.replace('"', '""') + '"' if '"' in v or "\n" in v or "," in v else v
+        text += f"{i},{cell(long)},{cell(note)}{newline}" + (newline if i % 7 == 0 else "")
+    path = put(tmp_path, "span.csv", text.encode(encoding))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert [c.layout for c in delimited.classify(spark, [path])] == ["records"]
+        assert load(spark, path) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lone_carriage_returns(spark, tmp_path):
+    path = put(tmp_path, "mac.csv", b'id,note\r1,"a\rb"\r2,c\r')
+    assert [c.layout for c in delimited.classify(spark, [path])] == ["whole"]
+    assert [r[0] for r in load(spark, path)] == ["1", "2"]
+
+
+def test_irregular_quotes_are_read_in_order(spark, tmp_path):
+    body = "".join(f'{i},5" pipe {i},"a\nb"\n' for i in range(600))
+    path = put(tmp_path, "odd.csv", ("id,name,note\n" + body).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert [c.layout for c in delimited.classify(spark, [path])] == ["whole"]
+        assert load(spark, path) == sorted([(str(i), f'5" pipe {i}', "a\nb") for i in range(600)], key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
