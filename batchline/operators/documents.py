@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchline.functions.periods import business_time
+
 # The plan document's version, its list fields and how many plans are kept.
 PLAN_VERSION = "2.0"
 LIST_FIELDS = ("scripts", "resource_scripts", "model_scripts")
@@ -79,6 +82,21 @@ def pack_plans(
     return packed.select("exec_date", "part", "parts", plan.alias("plan"))
 
 
+def plan_log(
+    plans: DataFrame, dag_id: str, run_id: str, logical_date: datetime, create_time: datetime
+) -> DataFrame:
+    """Rows to append to the plan log for the documents of one planning run.
+
+    ``logical_date`` is naive UTC; the log also holds it as business time.
+    """
+    instant = F.lit(logical_date).cast("timestamp_ntz")
+    return plans.select(
+        F.lit(dag_id).alias("dag_id"), F.lit(run_id).alias("run_id"), instant.alias("logical_date"),
+        business_time(instant).alias("local_logical_date"), "exec_date", "part", "parts", "plan",
+        F.lit(create_time).cast("timestamp_ntz").alias("create_time"),
+    )
+
+
 def plan_valid(plan: Column) -> Column:
     """A document with an ``exec_date`` whose list fields, where present, are lists."""
     document = F.try_parse_json(plan)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from batchline.functions.periods import period_bounds
 from batchline.plans.templates import run_statement, split_insert
@@ -55,8 +56,8 @@ def python_frame(
 
 def store(
     df: DataFrame, table: str, exec_date: date | str, frequency: str, mode: str, **options
-) -> None:
-    """Create the target on first use and write the result.
+) -> int:
+    """Create the target on first use, write the result and return its number of rows.
 
     ``replace_window`` replaces the period in ``options["column"]``; ``replace_batch`` the
     partition ``batch_date`` of the date. The target has the result's columns, the audit
@@ -69,4 +70,7 @@ def store(
         create_like(spark, shape, table, ["batch_date"])
     else:
         create_like(spark, df, table)
-    write(df, table, mode, window=period_bounds(day, frequency), batch_date=day, **options)
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    write(counted, table, mode, window=period_bounds(day, frequency), batch_date=day, **options)
+    return seen.get["rows"]

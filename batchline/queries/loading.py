@@ -16,6 +16,7 @@ from batchline.fixtures import table, view, with_views
 from batchline.functions import values
 from batchline.operators.headers import select_matched
 from batchline.plans import transforms
+from batchline.plans.loads import copy_source
 from batchline.plans.templates import run_statement
 from batchline.queries import scratch_table
 from batchline.scratch import new_dir
@@ -127,13 +128,22 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders copied into a table created like them, stamped."""
-    source = table(spark, sf_dir, "orders")
     target = scratch_table(spark, "copy")
-    create_like(spark, source, target)
-    writes.write(values.copy_stamp(source, F.lit(STAMP).cast("timestamp_ntz")), target, "full_refresh")
+    copy_source(table(spark, sf_dir, "orders"), target, "full_refresh", stamp=STAMP)
     return spark.table(target)
 
 
+def window_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of orders copied, and copied again."""
+    target = scratch_table(spark, "copy")
+    for _ in range(2):
+        copy_source(
+            table(spark, sf_dir, "orders"), target, "replace_window", exec_date="1996-05-05",
+            frequency="quarterly", column="o_orderdate", stamp=STAMP,
+        )
+    return spark.table(target).select("o_orderkey", "o_orderdate", "create_time")
+
+
 def create_like_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table created like customers takes their rows; the audit columns are empty."""
     source = table(spark, sf_dir, "customer")
@@ -314,6 +324,7 @@ QUERIES = {
     "xlsx_load": xlsx_load,
     "stream_ingest": stream_ingest,
     "full_copy": full_copy,
+    "window_copy": window_copy,
     "create_like": create_like_query,
     "window_scan": window_scan_query,
     "window_scan_missing": window_scan_missing,
@@ -344,6 +355,8 @@ ORACLE = {
     "xlsx_load": f"WITH d AS ({_DUCK_DROPPED}) SELECT id, CASE WHEN name NOT IN {_TOKENS} THEN name END AS name, segment FROM d",
     "stream_ingest": f"SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, {STAMP_SQL} AS create_time FROM customer",
     "full_copy": f"SELECT *, {_AUDIT} FROM orders",
+    "window_copy": f"SELECT o_orderkey, o_orderdate, {STAMP_SQL} AS create_time FROM orders "
+    "WHERE o_orderdate >= DATE '1996-04-01' AND o_orderdate < DATE '1996-07-01'",
     "create_like": "SELECT *, CAST(NULL AS TIMESTAMP) AS create_time, CAST(NULL AS TIMESTAMP) AS update_time FROM customer",
     "window_scan": "SELECT l_orderkey, l_shipdate, l_extendedprice, l_discount FROM lineitem "
     "WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-02-01'",

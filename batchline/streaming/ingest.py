@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Mapping
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +19,7 @@ from batchline.operators.headers import column_comments
 from batchline.scratch import FileSystem
 from batchline.sinks.tables import quoted
 from batchline.sinks.writes import aligned, partition_columns
-from batchline.sources.delimited import load_delimited
-from batchline.sources.discovery import by_reader
-from batchline.sources.workbook import load_workbooks
+from batchline.sources.files import load_files
 
 log = logging.getLogger(__name__)
 
@@ -30,25 +27,6 @@ BATCH_COLUMN = "ingest_batch"
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def load_files(spark: SparkSession, paths: list[str], comments: Mapping[str, str]) -> DataFrame | None:
-    """Rows of files of any known kind under the table's column names; null if there are none."""
-    groups = by_reader(paths)
-    loaded = [
-        frame
-        for frame in (
-            load_delimited(spark, groups["delimited"], comments) if "delimited" in groups else None,
-            load_workbooks(spark, groups["workbook"], comments) if "workbook" in groups else None,
-        )
-        if frame is not None
-    ]
-    if not loaded:
-        return None
-    first, *rest = loaded
-    for frame in rest:
-        first = first.unionByName(frame, allowMissingColumns=True)
-    return first
-
-
 def archive_path(archive: str, relative: str, day: date, path: str, stamp: int) -> str:
     """``<archive>/<folder>/<date>/<stem>_<unix time><extension>``."""
     name = path.rsplit("/", 1)[-1]
