@@ -127,30 +127,52 @@ def _inside(edges: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _peel(scratch: Scratch, edges: DataFrame, nodes: DataFrame) -> tuple[Rounds, DataFrame, int]:
+def _peel(
+    scratch: Scratch, edges: DataFrame, nodes: DataFrame, n_nodes: int
+) -> tuple[Rounds, DataFrame, int]:
     """Place nodes level by level, each when all it needs is placed.
 
-    Gives the placed nodes, the edges of nodes that a cycle keeps from being placed, and
-    the number of those edges.
+    A round looks only at nodes that need one placed in the round before. The edge table is
+    written anew, without the edges to placed nodes, only when as many nodes have been
+    placed since the last time as are still to be placed. Gives the placed nodes, the edges
+    among nodes that a cycle keeps from being placed, and the number of those nodes.
     """
     placed = Rounds(scratch, f"placed{scratch.serial}", f"node {dict(nodes.dtypes)['node']}", "level")
     needy = edges.select(F.col("src").alias("node")).distinct()
     frontier, size = placed.add(nodes.join(needy, "node", "left_anti"), 0)
-    waiting, left = scratch.save(edges, "waiting")
-    level = 0
+    level, left, since, settled, waiting = 0, n_nodes - size, 0, size, edges
     while size and left:
         level += 1
-        freed = waiting.join(frontier, waiting["dst"] == frontier["node"], "left_semi")
-        blocked = waiting.join(frontier, waiting["dst"] == frontier["node"], "left_anti")
-        still, left = scratch.save(blocked, "waiting")
-        ready = freed.select(F.col("src").alias("node")).distinct()
-        held = still.select(F.col("src").alias("node")).distinct()
-        frontier, size = placed.add(ready.join(held, "node", "left_anti"), level)
-        scratch.forget(waiting)
-        waiting = still
+        if settled >= left:
+            waiting, _ = scratch.save(_without(waiting, placed.since(since)), "waiting")
+            since, settled = level, 0
+            # the nodes of the last round are gone from the edges: look at all that remain free
+            ready = _sources(edges.join(frontier, edges["dst"] == frontier["node"], "left_semi"))
+            ready = ready.join(waiting, ready["node"] == waiting["src"], "left_anti")
+        else:
+            reached, _ = scratch.save(
+                _sources(waiting.join(frontier, waiting["dst"] == frontier["node"], "left_semi")), "reached"
+            )
+            theirs = waiting.join(reached, waiting["src"] == reached["node"], "left_semi")
+            held = _without(theirs, placed.since(since)).select(F.col("src").alias("node")).distinct()
+            ready = reached.join(held, "node", "left_anti")
+        frontier, size = placed.add(ready, level)
+        left, settled = left - size, settled + size
+    if left:
+        waiting, _ = scratch.save(_without(waiting, placed.since(since)), "waiting")
     return placed, waiting, left
 
 
+def _sources(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).distinct()
+
+
+def _without(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """Edges whose ``dst`` is not among the placed nodes."""
+    done = placed.select(F.col("node").alias("dst"))
+    return edges.join(done, "dst", "left_anti").select("src", "dst")
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Level of each node: 0 without ``dst``, else one more than the highest of its ``dst``.
 
@@ -161,11 +183,11 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     scratch = Scratch(edges.sparkSession, "levels")
     edges, _ = scratch.save(edges, "edges")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
-    everything, _ = scratch.save(nodes.select("node").unionByName(ends).distinct(), "nodes")
-    placed, waiting, stuck = _peel(scratch, edges, everything)
+    everything, n_nodes = scratch.save(nodes.select("node").unionByName(ends).distinct(), "nodes")
+    placed, waiting, stuck = _peel(scratch, edges, everything, n_nodes)
     if stuck:
         inner = _inside(waiting, components(waiting))
         acyclic, _ = scratch.save(edges.join(inner, ["src", "dst"], "left_anti"), "acyclic")
-        placed, _, _ = _peel(scratch, acyclic, everything)
+        placed, _, _ = _peel(scratch, acyclic, everything, n_nodes)
     scratch.forget_all()
     return placed.all()

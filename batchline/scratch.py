@@ -58,15 +58,10 @@ def nothing(spark: SparkSession, columns: str) -> DataFrame:
     return spark.sql("SELECT from_json(CAST(NULL AS string), :columns) AS r WHERE false", {"columns": columns}).select("r.*")
 
 
-def _store(spark: SparkSession, df: DataFrame, path: str, counted: str) -> int:
-    """Write ``df`` and count on the way.
-
-    Small files are packed into one task up to the usual split size, so a round over a
-    small frontier does not pay for a task per file.
-    """
+def _store(df: DataFrame, path: str, counted: str) -> int:
+    """Write ``df`` and count on the way."""
     seen = Observation()
-    with settings(spark, spark__sql__files__minPartitionNum="1"):
-        df.observe(seen, F.count_if(F.expr(counted)).alias("n")).write.mode("overwrite").parquet(path)
+    df.observe(seen, F.count_if(F.expr(counted)).alias("n")).write.mode("overwrite").parquet(path)
     return seen.get["n"]
 
 
@@ -87,7 +82,7 @@ class Scratch:
         """Write ``df`` once; return the table read back and its count of rows (``counted``)."""
         self.serial += 1
         path = f"{self.root}/{self.serial:04d}-{name}"
-        size = _store(self.spark, df, path, counted)
+        size = _store(df, path, counted)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self._stored.append((stored, path))
         return stored, size
@@ -119,10 +114,14 @@ class Rounds:
     def add(self, df: DataFrame, number: int) -> tuple[DataFrame, int]:
         """Write one round; return it read back and its row count."""
         path = f"{self._path}/{self._round}={number}"
-        size = _store(self._spark, df, path, "true")
+        size = _store(df, path, "true")
         self._empty = False
         return self._spark.read.schema(self._columns).parquet(path), size
 
+    def since(self, number: int) -> DataFrame:
+        """The rounds from ``number`` on; the others are not read."""
+        return self.all().filter(F.col(self._round) >= number)
+
     def all(self) -> DataFrame:
         """All rounds so far, with the round's number as a column."""
         schema = f"{self._columns}, {self._round} int"
