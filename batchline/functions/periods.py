@@ -6,7 +6,7 @@ the session time zone.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ BUSINESS_ZONE = "Asia/Shanghai"
 _MONTHS = {"monthly": 1, "quarterly": 3, "yearly": 12}
 
 
+def naive(when: datetime) -> Column:
+    """A clock reading as a naive timestamp, whatever zone the session or the driver is in."""
+    return F.lit(when.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _unknown(frequency: Column) -> Column:
     text = F.concat(F.lit("unknown frequency: "), F.coalesce(frequency, F.lit("null")))
     return F.raise_error(text).cast("date")

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchline.functions.periods import business_time
+from batchline.functions.periods import business_time, naive
 
 # The plan document's version, its list fields and how many plans are kept.
 PLAN_VERSION = "2.0"
@@ -89,11 +89,11 @@ def plan_log(
 
     ``logical_date`` is naive UTC; the log also holds it as business time.
     """
-    instant = F.lit(logical_date).cast("timestamp_ntz")
+    instant = naive(logical_date)
     return plans.select(
         F.lit(dag_id).alias("dag_id"), F.lit(run_id).alias("run_id"), instant.alias("logical_date"),
         business_time(instant).alias("local_logical_date"), "exec_date", "part", "parts", "plan",
-        F.lit(create_time).cast("timestamp_ntz").alias("create_time"),
+        naive(create_time).alias("create_time"),
     )
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from batchline.functions.periods import period_bounds
+from batchline.functions.periods import naive, period_bounds
 from batchline.functions.values import copy_stamp, load_stamp
 from batchline.operators.headers import column_comments
 from batchline.sinks.tables import create_like
@@ -19,10 +18,6 @@ from batchline.sources.files import load_files
 BATCH_COLUMN = "batch_date"
 
 
-def _stamp(when: datetime | None):
-    return F.lit(when or datetime.now()).cast("timestamp_ntz")
-
-
 def load_location(
     spark: SparkSession, base: str, location: str, table: str, mode: str, *,
     exec_date: date | None = None, stamp: datetime | None = None, **options,
@@ -40,7 +35,7 @@ def load_location(
     rows = load_files(spark, paths, comments)
     if rows is None:
         rows = spark.createDataFrame([], spark.table(table).drop(BATCH_COLUMN).schema)
-    write(load_stamp(rows, _stamp(stamp), list(comments)), table, mode, batch_date=exec_date, **options)
+    write(load_stamp(rows, naive(stamp or datetime.now()), list(comments)), table, mode, batch_date=exec_date, **options)
     return paths
 
 
@@ -58,7 +53,7 @@ def copy_source(
     """
     spark = source.sparkSession
     create_like(spark, source, table)
-    now = _stamp(stamp)
+    now = naive(stamp or datetime.now())
     if mode == "full_refresh" or column is None:
         write(copy_stamp(source, now), table, mode)
         return

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from batchline.fixtures import table, view, with_views
 from batchline.functions import values
+from batchline.functions.periods import naive
 from batchline.operators.headers import select_matched
 from batchline.plans import transforms
 from batchline.plans.loads import copy_source
@@ -188,12 +189,12 @@ def drop_empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return values.load_stamp(rows, F.lit(STAMP).cast("timestamp_ntz"), ["c_custkey", "c_name", "created_at"])
+    return values.load_stamp(rows, naive(STAMP), ["c_custkey", "c_name", "created_at"])
 
 
 def copy_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("create_time"))
-    return values.copy_stamp(rows, F.lit(STAMP).cast("timestamp_ntz"))
+    return values.copy_stamp(rows, naive(STAMP))
 
 
 def append_load(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ import time
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from batchline.functions.periods import naive
 from batchline.functions.values import load_stamp
 from batchline.operators.headers import column_comments
 from batchline.scratch import FileSystem
@@ -82,8 +82,7 @@ def ingest(
         if len(present) == len(paths):
             rows = load_files(session, paths, comments)
             if rows is not None:
-                when = F.lit(stamp or datetime.now()).cast("timestamp_ntz")
-                stamped = load_stamp(rows, when, list(comments))
+                stamped = load_stamp(rows, naive(stamp or datetime.now()), list(comments))
                 target = session.table(table).drop(BATCH_COLUMN)
                 session.sql(
                     f"INSERT OVERWRITE TABLE {quoted(table)} PARTITION ({BATCH_COLUMN} = {int(batch)}) "

@@ -134,8 +134,7 @@ def test_workbooks_with_different_headers(spark, tmp_path):
     assert got == [("1", "a", None), ("2", None, None), ("3", None, "n")]
 
 
-@pytest.mark.parametrize("encoding", ["utf-8", "gbk", "latin-1"])
-@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize(("encoding", "newline"), [("utf-8", "\n"), ("gbk", "\r\n"), ("latin-1", "\n")])
 def test_a_large_file_with_line_breaks_is_read_in_splits(spark, tmp_path, encoding, newline):
     mark = {"utf-8": "商é", "gbk": "商", "latin-1": "é"}[encoding]
     want, text = [], f"ID,NAME,note{newline}"
