@@ -97,14 +97,14 @@ def _workbook(rows: list[tuple]) -> bytes:
 def _workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [("编号", "Name ", "segment"), *batch.itertuples(index=False, name=None)]
-        yield pd.DataFrame({"path": [f"book-{batch.iloc[0, 0]}"], "content": [_workbook(rows)]})
+        yield pd.DataFrame({"content": [_workbook(rows)]})
 
 
 def xlsx_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as workbooks (one per batch of rows), decoded and cleaned."""
     rows = spark.sql(_DROPPED, customer=table(spark, sf_dir, "customer"))
     typed = rows.select(F.col("id").cast("bigint").alias("id"), "name", "segment")
-    books = typed.mapInPandas(_workbooks, "path string, content binary")
+    books = typed.mapInPandas(_workbooks, "content binary")
     return union_matched(read_books(books), COMMENTS)
 
 

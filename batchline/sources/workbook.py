@@ -7,6 +7,7 @@ files are spread over tasks.
 from __future__ import annotations
 
 import io
+import itertools
 import math
 import re
 import zipfile
@@ -28,7 +29,7 @@ _EPOCH = datetime(1899, 12, 30)
 _DATE_FORMATS = frozenset(range(14, 23)) | {45, 46, 47}
 
 _BATCH = 4096
-ROWS = "path string, row_no bigint, cells array<string>"
+ROWS = "cells array<string>"
 
 
 def _column_of(reference: str) -> int:
@@ -115,55 +116,53 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                     yield row
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _books(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str | None], Iterator[list[str | None]]]]:
+    """Header and further rows of each workbook that has any."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            block: list[list[str | None]] = []
-            start = 0
-            for row in sheet_rows(bytes(content)) if len(content) else ():
-                block.append(row)
-                if len(block) == _BATCH:
-                    yield _block(path, start, block)
-                    start, block = start + len(block), []
-            if block:
-                yield _block(path, start, block)
+        for content in batch["content"]:
+            rows = sheet_rows(bytes(content)) if len(content) else iter(())
+            header = next(rows, None)
+            if header is not None:
+                yield header, rows
 
 
-def _block(path: str, start: int, block: list) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"path": path, "row_no": range(start, start + len(block)), "cells": block}
-    )
+def _frame(cells: list) -> pd.DataFrame:
+    return pd.DataFrame({"cells": cells})
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            first = next(sheet_rows(bytes(content)), None) if len(content) else None
-            if first is not None:
-                yield _block(path, 0, [first])
+    for header, _ in _books(batches):
+        yield _frame([header])
+
+
+def _rows_under(wanted: list[str | None]):
+    """Rows of the workbooks with one header, in small batches."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for header, rows in _books(batches):
+            while header == wanted and (block := list(itertools.islice(rows, _BATCH))):
+                yield _frame(block)
+
+    return decode
 
 
 def read_books(books: DataFrame) -> Iterator[Headed]:
     """One all-text frame per distinct header, with that header.
 
-    ``books`` has ``path`` and ``content``. One header row per file reaches the driver.
+    ``books`` has the ``content`` of a workbook per row. The driver sees each distinct
+    header once, however many workbooks there are.
     """
-    books = books.select("path", "content")
-    heads: dict[tuple, list[str]] = {}
-    for row in books.mapInPandas(_headers, ROWS).collect():
-        names = tuple(n if n else f"Unnamed: {i}" for i, n in enumerate(row["cells"]))
-        heads.setdefault(names, []).append(row["path"])
-    for names, paths in heads.items():
-        some = books if len(heads) == 1 else books.filter(F.col("path").isin(paths))
-        cells = some.mapInPandas(_decode, ROWS).filter("row_no > 0")
+    books = books.select("content")
+    for row in books.mapInPandas(_headers, ROWS).distinct().collect():
+        names = tuple(name or f"Unnamed: {i}" for i, name in enumerate(row["cells"]))
+        cells = books.mapInPandas(_rows_under(list(row["cells"])), ROWS)
         frame = cells.select(*[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(names))])
         yield nullify_tokens(frame), names
 
 
 def read_workbooks(spark: SparkSession, paths: Sequence[str]) -> Iterator[Headed]:
     """Frames of the xlsx files at ``paths``."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    return read_books(files.repartition(max(1, len(paths)), "path"))
+    return read_books(spark.read.format("binaryFile").load(list(paths)))
 
 
 def load_workbooks(
