@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchline.llm import lengths, packing, rans
+from batchline.llm import exact_dedup, lengths, packing, rans, toxicity
 from batchline.llm.common import table
 
 
@@ -18,11 +18,31 @@ def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(spark, f"{sf_dir}/documents.parquet")
+
+
 def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_best_fit_packing, op4_rans_tokens, op10_length_histogram)
+    query.__name__: query
+    for query in (
+        op2_best_fit_packing, op4_rans_tokens, op6_noisy_or_toxicity, op7_stream_dedup, op10_length_histogram,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op7_stream_dedup": """
+        WITH digests AS (
+          SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+          count(*) OVER (PARTITION BY text_sha256) AS group_size,
+          doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
+        FROM digests""",
 }
-ORACLE: dict[str, str] = {}
