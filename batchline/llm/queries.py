@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchline.llm import exact_dedup, lengths, packing, rans, toxicity
+from batchline.llm import exact_dedup, lengths, mixing, near_dup, packing, rans, toxicity
 from batchline.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +41,8 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op2_best_fit_packing, op4_rans_tokens, op6_noisy_or_toxicity, op7_stream_dedup, op10_length_histogram,
+        op2_best_fit_packing, op3_curriculum_mix, op4_rans_tokens, op5_order_minhash, op6_noisy_or_toxicity,
+        op7_stream_dedup, op10_length_histogram,
     )
 }
 ORACLE: dict[str, str] = {

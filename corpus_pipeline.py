@@ -10,16 +10,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchline.llm import packing
+from batchline.llm import exact_dedup, mixing, near_dup, packing, toxicity
 from batchline.llm.common import saved, table
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents scored toxic go. Learned from ``labels``."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts the row with the least ``doc_id`` stays."""
+    return exact_dedup.distinct_documents(docs)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-dedup: of each class the document with the least ``doc_id`` stays."""
+    return near_dup.unlike_documents(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: a row per copy that the mix takes, in training order."""
+    return mixing.in_order(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: every row as often as it comes, in sequences of 4096 tokens."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("pack", packed)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean), ("exact_dedup", distinct), ("near_dedup", unlike), ("mix", mixed), ("pack", packed),
+]
 
 #: No SQL expresses the trained score, the alignment and the linear program; tests compare with
 #: brute-force versions.
