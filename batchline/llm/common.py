@@ -15,6 +15,13 @@ from batchline.scratch import new_dir, settings
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: While a step is written: shuffle files go when it ends, and Python gets texts in small batches.
+_WRITING = {
+    "spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true",
+    "spark__sql__execution__arrow__maxBytesPerBatch": "8m",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +36,7 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     every executor sees, and the shuffle files behind it are given up at once."""
     spark = df.sparkSession
     path = f"{new_dir(spark, label)}/rows"
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with settings(spark, **_WRITING):
         df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
