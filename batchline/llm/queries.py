@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchline.llm import exact_dedup, lengths, mixing, near_dup, packing, rans, toxicity
+from batchline.llm import exact_dedup, lengths, mixing, near_dup, packing, rans, toxicity, vectors
 from batchline.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(spark, f"{sf_dir}/documents.parquet")
 
 
+def op9_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.report(table(spark, sf_dir, "embeddings"))
+
+
 def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(table(spark, sf_dir, "documents")))
 
@@ -42,7 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op2_best_fit_packing, op3_curriculum_mix, op4_rans_tokens, op5_order_minhash, op6_noisy_or_toxicity,
-        op7_stream_dedup, op10_length_histogram,
+        op7_stream_dedup, op9_subspace_join, op10_length_histogram,
     )
 }
 ORACLE: dict[str, str] = {
