@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchline.llm import exact_dedup, lengths, mixing, near_dup, packing, rans, toxicity, vectors
+from batchline.llm import exact_dedup, language, lengths, mixing, near_dup, packing, quality, rans, toxicity, vectors
 from batchline.llm.common import table
 
 
+def op1_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(spark, f"{sf_dir}/documents.parquet")
 
 
+def op8_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op9_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.report(table(spark, sf_dir, "embeddings"))
 
@@ -45,8 +53,8 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op2_best_fit_packing, op3_curriculum_mix, op4_rans_tokens, op5_order_minhash, op6_noisy_or_toxicity,
-        op7_stream_dedup, op9_subspace_join, op10_length_histogram,
+        op1_quadratic_discriminant, op2_best_fit_packing, op3_curriculum_mix, op4_rans_tokens, op5_order_minhash,
+        op6_noisy_or_toxicity, op7_stream_dedup, op8_language_filters, op9_subspace_join, op10_length_histogram,
     )
 }
 ORACLE: dict[str, str] = {
