@@ -181,7 +181,7 @@ def configurations(counts: np.ndarray, few: int = 20_000) -> tuple[dict[Configur
                     left[n] -= copies * k
         if before - left.sum() < 0.05 * before:
             break
-    while left.sum() > few and (left // (-(-left.sum() // few))).any():
+    while left.sum() > 10 * few and (left // (-(-left.sum() // few))).any():
         # the rounding no longer pays on a large rest: pack a fraction of it, that many times
         times = int(-(-left.sum() // few))
         for used, copies in best_fit(left // times).items():
