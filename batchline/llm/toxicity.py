@@ -5,7 +5,7 @@ sentences, 1 - prod(1 - p). Only documents carry labels: the weights are fitted
 gradient steps through the noisy-or, and the fitted sentence probabilities then say where in a
 text the offence lies.
 
-Features are words and the first 4, 5 and 6 letters of longer words. Their document frequencies
+Features are words and the first 4 to 8 letters of longer words, as often as a sentence has them. Their document frequencies
 by label are counted over the labelled training rows, and the ``FEATURES`` that tell the labels
 apart best (chi-square) are kept. Training rows are the ``TRAIN`` labelled ones with the least
 hash of ``doc_id`` (a documented bound; all of them where there are fewer): whole texts, of which
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchline.llm.common import by_bytes, remainder, saved, segments
+from batchline.llm.common import by_bytes, remainder, saved, segments, spread
 from batchline.llm.words import SENTENCE_END, STOP, words_of
 
 TRAIN = 20_000
@@ -42,7 +42,7 @@ AT_ONCE = 8 << 20
 
 def features_of(word: str) -> tuple[str, ...]:
     """The word and its beginnings; ``^`` marks a beginning."""
-    return (word, *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n))
+    return (word, *(f"^{word[:n]}" for n in range(4, 9) if len(word) > n))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -79,9 +79,8 @@ def bags(texts: pa.Array, known: dict[str, int]) -> Bags:
     at = np.flatnonzero(held)
     code = words.code[at]
     begin = segments(n)[:-1]
-    places = np.concatenate([np.arange(begin[c], begin[c] + n[c]) for c in code]) if len(code) else np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.repeat(sentence[at], held[at]), flat[places]], axis=1), axis=0) if len(places) else np.zeros((0, 2), np.int64)
-    return Bags(pairs[:, 0], pairs[:, 1], edges)
+    places = spread(begin[code], n[code])
+    return Bags(np.repeat(sentence[at], held[at]), flat[places], edges)
 
 
 @dataclass
@@ -135,7 +134,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Data
         .filter(remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     some = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(some, "doc_id").select("text", "toxic")
+    # ``most`` rows of two numbers: small enough to send to the texts
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
