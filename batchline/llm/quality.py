@@ -5,8 +5,9 @@ evenly. Every class has a mean and a covariance of its own, shrunk towards the p
 and towards a multiple of the identity. The score compares the two Gaussian log-densities: a
 Mahalanobis distance and a determinant from the Cholesky factor of each class, computed once.
 
-The model is made of counts, sums and sums of products per class, over all labelled rows that are
-not held out: partial sums on the executors, two small matrices on the driver.
+The texts are read once, for the statistics of every row. The model is made of counts, sums and
+sums of products per class, over all labelled rows that are not held out: partial sums on the
+executors, two small matrices on the driver.
 
 Defined cases: a null text counts as empty, and an empty text has all statistics at zero; a null
 label is no label; a document labelled twice counts with its least label; with fewer than two rows
@@ -168,47 +169,63 @@ def fit(moments: dict[int, np.ndarray], pooled: float = POOLED, round_: float =
 # --- Spark ----------------------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def described(docs: DataFrame) -> DataFrame:
+    """``doc_id, x``: the statistics of every row (saved; the only pass over the texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, "text", AT_ONCE):
+                x = statistics(batch.column("text"))
+                edges = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(edges, pa.array(x.reshape(-1)))], ["doc_id", "x"])
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>"
+    return saved(docs.select("doc_id", "text").mapInArrow(run, schema), "statistics")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+
+
+def train(rows: DataFrame, labels: DataFrame) -> Model:
+    """``rows``: as from ``described``."""
     told = (
         labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IN (0, 1)")
-        .filter(remainder(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        .filter(remainder(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     )
-    rows = docs.select("doc_id", "text").join(told, "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
     d = len(NAMES) + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, d, d))
-        for whole in batches:
-            for batch in by_bytes(whole, "text", AT_ONCE):
-                x = np.column_stack([np.ones(batch.num_rows), statistics(batch.column("text"))])
-                kind = batch.column("quality").to_numpy(zero_copy_only=False)
-                for k in (0, 1):
-                    total[k] += x[kind == k].T @ x[kind == k]
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), _matrix(batch)])
+            kind = batch.column("quality").to_numpy(zero_copy_only=False)
+            for k in (0, 1):
+                total[k] += x[kind == k].T @ x[kind == k]
         at = np.arange(2 * d * d, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1))], ["at", "value"])
 
-    parts = saved(rows.mapInArrow(sums, "at int, value double"), "moments")
+    parts = rows.join(told, "doc_id").select("x", "quality").mapInArrow(sums, "at int, value double")
     out = np.zeros(2 * d * d)
     for row in parts.groupBy("at").agg(F.sum("value").alias("value")).collect():  # 2 matrices
         out[row["at"]] = row["value"]
     return fit(dict(enumerate(out.reshape(2, d, d))))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every row."""
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` of every row of ``described``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in by_bytes(whole, "text", AT_ONCE):
-                score = model.score(statistics(batch.column("text")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    out = scored(docs, train(docs, labels))
+    rows = described(docs)
+    out = scored(rows, train(rows, labels))
     return out.select(
         "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
