@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchline.scratch import new_dir, settings
+from batchline.scratch import FileSystem, new_dir, settings
 
 #: White space of the contracts: the ASCII characters 9 to 13 and 32.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -38,7 +38,15 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = f"{new_dir(spark, label)}/rows"
     with settings(spark, **_WRITING):
         df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing will read again."""
+    for stored in tables:
+        FileSystem(stored.sparkSession).delete(stored.scratch_path)
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchline.llm.common import saved
+from batchline.llm.common import discard, saved
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,8 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         greater = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = saved(greater, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
+        discard(stars)
         lesser = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = saved(lesser.union(least.select("a", F.col("m").alias("b"))).distinct(), "small")
         mark = _mark(stars)
+        discard(large)
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
