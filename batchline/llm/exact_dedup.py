@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchline.llm.common import BLANK, saved
+from batchline.llm.common import BLANK, discard, saved
 from batchline.scratch import new_dir, settings
 
 #: Micro-batches that the files of a backlog are dealt to.
@@ -32,6 +32,8 @@ _STATE = {
     "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true",
     "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
     "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "200",
+    # between batches the state is in the shared folder only: no local copy for each partition
+    "spark__sql__streaming__stateStore__unloadOnCommit": "true",
 }
 
 
@@ -79,7 +81,7 @@ def remember(spark: SparkSession, path: str, schema: T.StructType, batches: int
     if not files:
         return spark.createDataFrame([], state.schema)
     entries = spark.read.schema(entry).parquet(f"{folder}/entries")
-    last = entries.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "batch").alias("e"))
+    last = entries.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "batch").alias("e"))  # the stream's state
     return last.select("digest", "e.first", "e.n")
 
 
@@ -88,13 +90,13 @@ def decisions(spark: SparkSession, path: str, schema: T.StructType, batches: int
     ``first`` (the row that stays) and ``n`` (rows of the group)."""
     state = saved(remember(spark, path, schema, batches, digest), "state")
     read = _rows(spark.read.schema(schema).parquet(path), digest)
-    several = state.filter("n > 1")
-    # every hit against the content that its entry locates
-    of_several = read.join(several, "digest")
-    content = of_several.filter("at = first").select("digest", F.col("normal").alias("content"))
-    hits = of_several.filter("at <> first").select("digest", "normal")
+    # every hit against the content that its entry locates; only texts with a hit are kept
+    several = saved(read.join(state.filter("n > 1").drop("n"), "digest"), "hits")
+    content = several.filter("at = first").select("digest", F.col("normal").alias("content"))
+    hits = several.filter("at <> first").select("digest", "normal")
     differing = hits.join(content, "digest").filter("normal <> content").select("digest").distinct()
     unlike = saved(differing, "collisions")
+    discard(several)
     thin = read.drop("normal").join(state, "digest")
     if unlike.isEmpty():
         return thin
