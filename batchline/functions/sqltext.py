@@ -1,43 +1,80 @@
-"""What a stored statement says about its date fields, as expressions over the text column."""
+"""What a stored statement says about its date fields, as expressions over the text column.
+
+The text is cut into tokens once; fields, aliases and targets are then found by the tokens that
+stand next to each other.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# a field, or a function or cast around it; starts only where a word does and never gives
-# back part of a word, so that a long text is scanned once
-_FIELD = r"((?<!\w)(?:\w++\s*\(\s*)?[\w.]++(?:\s+AS\s+\w++)?\)?)"
+# what a statement is cut into: literals, markers, (dotted) names, comparisons, other signs
+_TOKEN = r"(?s)'[^']*'|\"[^\"]*\"|\{\{.*?\}\}|[\w.]+|[<>!]=|<>|\S"
+_NAME = r"^[\w.]+$"
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tokens(sql: Column) -> Column:
+    return F.regexp_extract_all(sql, F.lit(_TOKEN), F.lit(0))
+
+
+def _is(token: Column, *words: str) -> Column:
+    return F.coalesce(F.upper(token).isin(*words), F.lit(False))
 
 
-def _flat(sql: Column) -> Column:
-    return F.regexp_replace(sql, r"\s+", " ")
+def _stands_for(token: Column, name: str) -> Column:
+    """Whether a token is a marker of this name, or a literal that begins with one."""
+    return F.coalesce(F.regexp_like(token, F.lit(r"^['\"]?\{\{\s*" + name + r"\s*\}\}")), F.lit(False))
 
 
-def _marker(name: str) -> str:
-    return r"['\"]?\{\{\s*" + name + r"\s*\}\}"
+def _field_before(tokens: Column, end: Column) -> Column:
+    """The field of the operand whose last token is at ``end``: a name, or the name within one
+    call or cast; null for anything else."""
+
+    def at(back: int) -> Column:
+        return F.get(tokens, end - back)
+
+    cast = (at(0) == ")") & _is(at(2), "AS") & (at(4) == "(")
+    call = (at(0) == ")") & (at(2) == "(")
+    name = F.when(cast, at(3)).when(call, at(1)).when(at(0) != ")", at(0))
+    return F.when(name.rlike(_NAME), name)
 
 
 def core_field(expression: Column) -> Column:
     """``CAST(x AS t)`` and ``f(x)`` become ``x``."""
-    plain = F.regexp_replace(expression, r"(?i)CAST\s*\(\s*([\w.]+)\s+AS\s+\w+\s*\)", "$1")
-    return F.trim(F.regexp_replace(plain, r"\b\w+\s*\(\s*([\w.]+)\s*\)", "$1"))
+
+    def inner(tokens: Column) -> Column:
+        return _field_before(tokens, F.size(tokens) - 1)
+
+    return F.coalesce(_with(_tokens(expression), inner), F.trim(expression))
 
 
 def bound_fields(sql: Column, names: Sequence[str] = ("start_date", "end_date")) -> Column:
     """Sorted distinct fields that a statement compares with its date parameters."""
-    text = _flat(sql)
-    found = [
-        F.regexp_extract_all(text, F.lit(rf"(?i){_FIELD}\s*(?:<=|>=|=|<|>)\s*{_marker(n)}"), F.lit(1))
-        for n in names
-    ]
-    if "start_date" in names:
-        both = rf"(?i){_FIELD}\s+BETWEEN\s+{_marker('start_date')}['\"]?\s+AND\s+{_marker('end_date')}"
-        found.append(F.regexp_extract_all(text, F.lit(both), F.lit(1)))
-    fields = F.transform(F.concat(*found), lambda f: core_field(f))
-    return F.array_sort(F.array_distinct(fields))
+
+    def found(tokens: Column) -> Column:
+        def field(token: Column, i: Column) -> Column:
+            marked = F.lit(False)
+            for name in names:
+                marked = marked | _stands_for(token, name)
+            compared = marked & _is(F.get(tokens, i - 1), "<=", ">=", "=", "<", ">")
+            if "start_date" in names:
+                between = _is(F.get(tokens, i - 1), "BETWEEN") & _is(F.get(tokens, i + 1), "AND")
+                compared = compared | (
+                    _stands_for(token, "start_date") & between & _stands_for(F.get(tokens, i + 2), "end_date")
+                )
+            return F.when(compared, _field_before(tokens, i - 2))
+
+        return F.filter(F.transform(tokens, field), lambda f: f.isNotNull())
+
+    return F.array_sort(F.array_distinct(_with(_tokens(sql), found)))
 
 
 def select_aliases(sql: Column) -> Column:
@@ -45,23 +82,34 @@ def select_aliases(sql: Column) -> Column:
 
     The last of several aliases of one field wins.
     """
-    items = F.split(F.regexp_extract(_flat(sql), r"(?i)SELECT\s+(.*?)\s+FROM", 1), ",")
-    pattern = r"(?i)^\s*([\w.]+)\s+AS\s+(\w+)"
-    plain = F.filter(items, lambda item: item.rlike(pattern))
-    pairs = F.transform(
-        plain,
-        lambda item: F.struct(
-            F.regexp_extract(item, pattern, 1).alias("key"),
-            F.regexp_extract(item, pattern, 2).alias("value"),
-        ),
-    )
-    last = F.filter(
-        pairs,
-        lambda pair, i: ~F.exists(
-            F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == pair["key"]
-        ),
-    )
-    return F.map_from_entries(last)
+
+    def items(tokens: Column) -> Column:
+        upper = F.transform(tokens, F.upper)
+        first = F.array_position(upper, "SELECT")
+        listed = F.slice(tokens, F.greatest(first, F.lit(1)), F.size(tokens))
+        until = F.array_position(F.transform(listed, F.upper), "FROM")
+        found = (first > 0) & (until > 0)
+        return F.when(found, F.slice(listed, 1, until - 1)).otherwise(F.array().cast("array<string>"))
+
+    def pairs(listed: Column) -> Column:
+        def pair(token: Column, i: Column) -> Column:
+            begins = (i == 1) | (F.get(listed, i - 1) == ",")
+            named = _is(F.get(listed, i + 1), "AS") & F.get(listed, i + 2).rlike(r"^\w+$")
+            return F.when(
+                (i > 0) & begins & token.rlike(_NAME) & named,
+                F.struct(token.alias("key"), F.get(listed, i + 2).alias("value")),
+            )
+
+        return F.filter(F.transform(listed, pair), lambda p: p.isNotNull())
+
+    def last(found: Column) -> Column:
+        def stays(pair: Column, i: Column) -> Column:
+            later = F.slice(found, i + 2, F.size(found))
+            return ~F.exists(later, lambda other: other["key"] == pair["key"])
+
+        return F.map_from_entries(F.filter(found, stays))
+
+    return _with(_tokens(sql), lambda t: _with(items(t), lambda x: _with(pairs(x), last)))
 
 
 def target_date_field(fields: Column, aliases: Column) -> Column:
@@ -77,8 +125,16 @@ def target_date_field(fields: Column, aliases: Column) -> Column:
 
 def insert_target(sql: Column) -> Column:
     """The table named after ``INSERT INTO``, else null."""
-    name = F.regexp_extract(sql, r"(?i)INSERT\s+INTO\s+[\"\[`]?([a-zA-Z0-9_.]+)", 1)
-    return F.nullif(name, F.lit(""))
+
+    def name(tokens: Column) -> Column:
+        def after(token: Column, i: Column) -> Column:
+            here = _is(token, "INSERT") & _is(F.get(tokens, i + 1), "INTO")
+            opened = F.get(tokens, i + 2).isin("`", "[")
+            return F.when(here, F.when(opened, F.get(tokens, i + 3)).otherwise(F.btrim(F.get(tokens, i + 2), F.lit('"'))))
+
+        return F.get(F.filter(F.transform(tokens, after), lambda t: F.regexp_like(t, F.lit(r"^[a-zA-Z0-9_.]+$"))), F.lit(0))
+
+    return _with(_tokens(sql), name)
 
 
 def window_delete(sql: Column, target: Column | None = None) -> Column:

@@ -111,42 +111,58 @@ def plan_valid(plan: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+# what tells one saved plan from another; all rows (parts) of a plan share it
+PLAN_KEY = ("dag_id", "exec_date", "logical_date", "run_id", "create_time")
+
+
+def _plan_key(plans: DataFrame) -> list[str]:
+    """A log without ``create_time`` holds each plan once."""
+    return [c for c in PLAN_KEY if c in plans.columns]
+
+
 def latest_as_of(requests: DataFrame, plans: DataFrame) -> DataFrame:
     """For ``dag_id, ds`` the latest plan of that date, else of the nearest earlier date.
 
-    Plans are first reduced to the last one per DAG and date (a partial aggregate over keys
-    and times, without the documents), so the window that carries a plan forward sees at
-    most one row per calendar day of a DAG, however many plans and requests there are.
+    A plan is all its rows: one of several parts comes with ``part`` and ``parts``. A run that
+    saved its plan twice counts with the later one. Plans are first reduced to the last one per
+    DAG and date (a partial aggregate over keys and times, without the documents), so the window
+    that carries a plan forward sees at most one row per calendar day of a DAG, however many
+    plans and requests there are; only documents of wanted plans are joined.
     """
+    key = _plan_key(plans)
     last = plans.groupBy("dag_id", F.col("exec_date").alias("day")).agg(
-        F.max(F.struct("exec_date", "logical_date", "run_id")).alias("found")
+        F.max(F.struct(*key[1:])).alias("found")
     )
     asked = requests.select("dag_id", F.col("ds").alias("day")).distinct()
     days = asked.join(last, ["dag_id", "day"], "full")
     back = Window.partitionBy("dag_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     carried = days.withColumn("found", F.last("found", ignorenulls=True).over(back))
     asof = carried.select("dag_id", F.col("day").alias("ds"), "found.*")
-    documents = plans.select("dag_id", "run_id", "logical_date", "exec_date", "plan")
     matched = requests.join(asof, ["dag_id", "ds"], "left")
-    return matched.join(documents, ["dag_id", "run_id", "logical_date", "exec_date"], "left").select(
-        *requests.columns, "exec_date", "logical_date", "run_id", "plan"
+    parts = [c for c in ("part", "parts") if c in plans.columns]
+    wanted = plans.join(matched.select(*key).distinct(), key, "left_semi")
+    documents = wanted.select(*key, *parts, "plan")
+    return matched.join(documents, key, "left").select(
+        *requests.columns, "exec_date", "logical_date", "run_id", *parts, "plan"
     )
 
 
 def latest_for(plans: DataFrame, dag_id: str, ds: str) -> DataFrame:
-    """The same for one DAG and date: at most one row."""
+    """The same for one DAG and date: all rows of one plan, or none."""
     known = plans.filter((F.col("dag_id") == dag_id) & (F.col("exec_date") <= F.lit(ds).cast("date")))
-    newest = [F.desc(c) for c in ("exec_date", "logical_date", "run_id")]
-    return known.orderBy(*newest).limit(1)
+    key = _plan_key(plans)
+    newest = known.agg(F.max(F.struct(*key[1:])).alias("found")).select(F.lit(dag_id).alias("dag_id"), "found.*")
+    return known.join(newest, key, "left_semi")
 
 
 def keep_latest(plans: DataFrame, keep: int = KEEP_COUNT) -> DataFrame:
-    """The newest ``keep`` plans per DAG and date; 0 keeps all.
+    """The newest ``keep`` plans per DAG and date, each with all its rows; 0 keeps all.
 
-    The rank limit is applied within each input partition before the shuffle, so a date
-    with very many plans sends no more than ``keep`` rows per partition.
+    Plans are told apart by ``run_id`` and ``create_time``. The rank limit is applied within each
+    input partition before the shuffle, so a date with very many plans sends no more than the
+    rows of ``keep`` plans per partition.
     """
     if keep <= 0:
         return plans
     newest = Window.partitionBy("dag_id", "exec_date").orderBy(F.desc("create_time"), "run_id")
-    return plans.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= keep).drop("_rank")
+    return plans.withColumn("_rank", F.dense_rank().over(newest)).filter(F.col("_rank") <= keep).drop("_rank")

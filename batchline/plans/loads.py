@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from batchline.functions.periods import naive, period_bounds
 from batchline.functions.values import copy_stamp, load_stamp
 from batchline.operators.headers import column_comments
-from batchline.sinks.tables import create_like
-from batchline.sinks.writes import write
+from batchline.sinks.tables import create_like, create_window_target
+from batchline.sinks.writes import grain_of, write
 from batchline.sources.database import window_scan
 from batchline.sources.discovery import find_files
 from batchline.sources.files import load_files
@@ -52,13 +52,16 @@ def copy_source(
     no column is given.
     """
     spark = source.sparkSession
-    create_like(spark, source, table)
+    known = column is not None and column.lower() in [c.lower() for c in source.columns]
+    if mode == "replace_window" and known:
+        create_window_target(spark, source, table, column, grain_of(frequency))
+    else:
+        create_like(spark, source, table)
     now = naive(stamp or datetime.now())
     if mode == "full_refresh" or column is None:
         write(copy_stamp(source, now), table, mode)
         return
     window = period_bounds(exec_date, frequency)
-    known = column.lower() in [c.lower() for c in source.columns]
     rows = copy_stamp(window_scan(source, column, *window, on_missing=on_missing), now)
     if known:
         write(rows, table, mode, column=column, window=window)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from batchline.functions.periods import period_bounds
-from batchline.plans.templates import run_statement, split_insert
-from batchline.sinks.tables import create_like
-from batchline.sinks.writes import write
+from batchline.plans.templates import TemplateError, is_query, run_statement, split_insert, statements
+from batchline.sinks.tables import create_like, create_window_target
+from batchline.sinks.writes import grain_of, write
 
 PythonTransform = Callable[..., DataFrame]
 
@@ -34,10 +34,16 @@ def sql_frame(
 ) -> DataFrame:
     """The query of a stored statement, bound to the period of the date.
 
-    Of an ``INSERT`` only the query is run; its column list names the result's columns.
+    Of an ``INSERT`` only the query is run; its column list names the result's columns. Anything
+    that is not one query, or one ``INSERT`` of a query, is refused before it runs.
     """
     start, end = period_bounds(exec_date, frequency)
-    _, columns, query = split_insert(text)
+    whole = statements(text)
+    if len(whole) != 1:
+        raise TemplateError(f"one statement is wanted, not {len(whole)}")
+    _, columns, query = split_insert(whole[0])
+    if not is_query(query):
+        raise TemplateError(f"not a query: {query[:80]}")
     values = {"start_date": start, "end_date": end, **(params or {})}
     df = run_statement(spark, query, values)
     return df.toDF(*columns) if columns else df
@@ -61,13 +67,20 @@ def store(
 
     ``replace_window`` replaces the period in ``options["column"]``; ``replace_batch`` the
     partition ``batch_date`` of the date. The target has the result's columns, the audit
-    columns and, for batches, ``batch_date``.
+    columns and, for batches, ``batch_date``; for windows it is partitioned by the window's date,
+    so that a period rewrites only its own partitions.
     """
     spark = df.sparkSession
     day = date.fromisoformat(exec_date) if isinstance(exec_date, str) else exec_date
     if mode == "replace_batch":
         shape = df.selectExpr("*", "CAST(NULL AS date) AS batch_date")
         create_like(spark, shape, table, ["batch_date"])
+    elif mode == "replace_window" and options.get("partition"):
+        part = options["partition"]
+        shape = df if part in df.columns else df.selectExpr("*", f"CAST(NULL AS date) AS `{part}`")
+        create_like(spark, shape, table, [part])
+    elif mode == "replace_window" and options.get("column"):
+        create_window_target(spark, df, table, options["column"], grain_of(frequency))
     else:
         create_like(spark, df, table)
     seen = Observation()

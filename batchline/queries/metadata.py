@@ -136,7 +136,7 @@ def insert_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ddl_from_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = view(spark, sf_dir, "nodes").filter("label <> 'DataSource'")
-    return table_ddl(nodes, view(spark, sf_dir, "columns"))
+    return table_ddl(nodes, view(spark, sf_dir, "columns")).drop("layer")
 
 
 QUERIES = {

@@ -95,6 +95,11 @@ class Scratch:
                 files.delete(path)
                 self._stored.remove((stored, path))
 
+    def close(self) -> None:
+        """Delete everything saved here, the folder included."""
+        FileSystem(self.spark).delete(self.root.rpartition("/")[0])
+        self._stored.clear()
+
     def forget_all(self, *, but: tuple[DataFrame, ...] = ()) -> None:
         self.forget(*[t for t, _ in self._stored if not any(t is kept for kept in but)])
 
@@ -155,6 +160,16 @@ class FileSystem:
     def exists(self, path: str) -> bool:
         return self._fs(path).exists(self._path(path))
 
+    def put(self, path: str, text: str) -> None:
+        """Write a small text file, replacing an old one; readers see it whole or not at all."""
+        fs, partial = self._fs(path), self._path(f"{path}.partial")
+        out = fs.create(partial, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.delete(self._path(path), False)
+        if not fs.rename(partial, self._path(path)):
+            raise OSError(f"could not write {path}")
+
     def move(self, path: str, target: str) -> bool:
         """Rename; false when the file system refuses."""
         fs, destination = self._fs(path), self._path(target)

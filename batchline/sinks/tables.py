@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +24,6 @@ TYPE_NAMES = {
 }
 DEFAULT_DECIMAL = "(38,18)"
 
-# Fixed value: more columns than this no table of the described kind can have.
-MAX_COLUMNS = 1600
-
 
 def quoted(name: str) -> str:
     """A table name, with or without a database, quoted part by part."""
@@ -83,6 +79,37 @@ def create_like(
     return create_table(spark, table, with_audit_columns(source.schema), partition_by)
 
 
+#: Partition column of a target that is loaded by windows, and where it keeps what it holds.
+WINDOW_PART = "window_part"
+_WINDOW_COLUMN, _WINDOW_GRAIN = "window.column", "window.grain"
+
+
+def create_window_target(
+    spark: SparkSession, source: DataFrame, table: str, column: str, grain: str
+) -> bool:
+    """Like ``create_like``, partitioned by the window's date truncated to ``grain``.
+
+    The table remembers column and grain, so that later loads of any window, whatever its
+    length, rewrite only the partitions that it touches.
+    """
+    shape = source.selectExpr("*", f"CAST(NULL AS date) AS {WINDOW_PART}")
+    created = create_like(spark, shape, table, [WINDOW_PART])
+    if created:
+        known = next(c for c in source.columns if c.lower() == column.lower())
+        spark.sql(
+            f"ALTER TABLE {quoted(table)} SET TBLPROPERTIES "
+            f"('{_WINDOW_COLUMN}' = {_literal(known)}, '{_WINDOW_GRAIN}' = '{grain}')"
+        )
+    return created
+
+
+def window_layout(spark: SparkSession, table: str) -> tuple[str, str] | None:
+    """Column and grain of a target made by ``create_window_target``; null for any other."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {quoted(table)}").collect()  # a handful
+    found = {r["key"]: r["value"] for r in rows}
+    return (found[_WINDOW_COLUMN], found[_WINDOW_GRAIN]) if _WINDOW_GRAIN in found else None
+
+
 def spark_type(name: str) -> str:
     """The Spark type of a type name in metadata; an unknown one is an error."""
     text = " ".join(name.strip().lower().split())
@@ -117,24 +144,18 @@ def spark_type_column(name: Column) -> Column:
 
 
 def table_ddl(nodes: DataFrame, columns: DataFrame) -> DataFrame:
-    """The create statement of every described table: ``table_name, ddl, pk``.
+    """The create statement of every described table: ``table_name, layer, ddl, pk``.
 
     ``columns`` has ``table_name, column_id, en_name, data_type, name, is_pk``. Columns come
     in id order, then the audit columns that are absent; ``pk`` lists the key columns by
-    name. A table's columns are gathered into one text only after a count has shown that
-    there are no more than a table can have; more is an error.
+    name. The columns of a table are gathered, as its statement holds them.
     """
-    sizes = columns.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"))
-    too_many = F.raise_error(F.concat(F.lit("too many columns in "), F.col("table_name")))
-    bounded = columns.join(sizes, "table_name").filter(
-        F.when(F.col("n_columns") <= MAX_COLUMNS, True).otherwise(too_many.cast("boolean"))
-    )
     note = F.when(F.col("name") != "", F.concat(F.lit(" COMMENT '"), _escaped("name"), F.lit("'")))
     line = F.concat(
         F.lit("`"), "en_name", F.lit("` "), spark_type_column(F.col("data_type")),
         F.coalesce(note, F.lit("")),
     )
-    grouped = bounded.select("*", line.alias("line")).groupBy("table_name").agg(
+    grouped = columns.select("*", line.alias("line")).groupBy("table_name").agg(
         F.sort_array(F.collect_list(F.struct("column_id", "line"))).alias("lines"),
         F.collect_set(F.lower("en_name")).alias("present"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_pk"), F.col("en_name")))), ", ").alias("pk"),
@@ -155,7 +176,7 @@ def table_ddl(nodes: DataFrame, columns: DataFrame) -> DataFrame:
         F.lit("CREATE TABLE IF NOT EXISTS `"), "layer", F.lit("`.`"), "table_name", F.lit("` (\n  "),
         F.array_join(body, ",\n  "), F.lit("\n) USING parquet"), F.coalesce(title, F.lit("")),
     )
-    return grouped.join(described, "table_name").select("table_name", ddl.alias("ddl"), "pk")
+    return grouped.join(described, "table_name").select("table_name", "layer", ddl.alias("ddl"), "pk")
 
 
 def _escaped(column: str) -> Column:
@@ -171,7 +192,7 @@ def create_from_metadata(
     row = table_ddl(one, columns.filter(F.col("table_name") == table)).head()
     if row is None:
         raise LookupError(f"metadata does not describe {table}")
-    layer, name = re.search(r"`(\w+)`\.`([^`]+)`", row["ddl"]).groups()
+    layer, name = row["layer"], row["table_name"]
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{layer}`")
     if spark.catalog.tableExists(f"{layer}.{name}"):
         return False

@@ -10,18 +10,25 @@ must be run again, which gives the same result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchline.scratch import Scratch, settings
-from batchline.sinks.tables import quoted
+from batchline.sinks.tables import WINDOW_PART, quoted, window_layout
 
 MODES = ("append", "full_refresh", "replace_window", "replace_batch")
 GRAINS = ("day", "month", "quarter", "year")
 
 
+def grain_of(frequency: str) -> str:
+    """Partitions of a target that is loaded with this frequency."""
+    return {"monthly": "month", "quarterly": "quarter", "yearly": "year"}.get(frequency.lower(), "day")
+
+
 def aligned(df: DataFrame, table: DataFrame) -> DataFrame:
     """``df`` with the table's columns, order and types; columns it lacks are null.
 
@@ -56,7 +63,15 @@ def _insert(df: DataFrame, table: str, overwrite: bool, partitions: list[str], d
 def append(df: DataFrame, table: str) -> None:
     """Append by column name."""
     spark = df.sparkSession
-    _insert(aligned(df, spark.table(table)), table, False, partition_columns(spark, table))
+    _insert(aligned(_dated(df, table), spark.table(table)), table, False, partition_columns(spark, table))
+
+
+def _dated(df: DataFrame, table: str) -> DataFrame:
+    """Rows for a target that is partitioned by windows, with their partition."""
+    layout = window_layout(df.sparkSession, table)
+    if layout is None or WINDOW_PART in df.columns or layout[0].lower() not in [c.lower() for c in df.columns]:
+        return df
+    return df.withColumn(WINDOW_PART, _truncated(F.col(layout[0]), layout[1]))
 
 
 def full_refresh(df: DataFrame, table: str, staged: bool = False) -> None:
@@ -67,12 +82,21 @@ def full_refresh(df: DataFrame, table: str, staged: bool = False) -> None:
     target as it was when the source fails.
     """
     spark = df.sparkSession
-    rows = _staged(aligned(df, spark.table(table)), staged)
-    _insert(rows, table, True, partition_columns(spark, table))
+    with _staged(aligned(_dated(df, table), spark.table(table)), staged) as rows:
+        _insert(rows, table, True, partition_columns(spark, table))
 
 
-def _staged(rows: DataFrame, staged: bool) -> DataFrame:
-    return Scratch(rows.sparkSession, "staged").save(rows, "rows")[0] if staged else rows
+@contextmanager
+def _staged(rows: DataFrame, staged: bool = True) -> Iterator[DataFrame]:
+    """The rows from a copy in the shared folder, which is deleted at the end whatever happens."""
+    if not staged:
+        yield rows
+        return
+    scratch = Scratch(rows.sparkSession, "staged")
+    try:
+        yield scratch.save(rows, "rows")[0]
+    finally:
+        scratch.close()
 
 
 def replace_batch(
@@ -87,7 +111,8 @@ def replace_batch(
     if partition_columns(spark, table) != [column]:
         raise ValueError(f"{table} is not partitioned by {column}")
     rows = aligned(df.drop(column), spark.table(table).drop(column))
-    _overwrite_partition(_staged(rows, staged), table, column, batch_date)
+    with _staged(rows, staged) as held:
+        _overwrite_partition(held, table, column, batch_date)
 
 
 def _overwrite_partition(rows: DataFrame, table: str, column: str, value: date) -> None:
@@ -121,9 +146,12 @@ def replace_window(
     """
     spark = df.sparkSession
     target = spark.table(table)
+    layout = window_layout(spark, table)
+    if partition is None and layout is not None and layout[0].lower() == column.lower():
+        partition, grain = WINDOW_PART, layout[1]
     if partition is None:
-        rows = _staged(replaced(target, df, column, start, end), True)
-        _insert(rows, table, True, partition_columns(spark, table))
+        with _staged(replaced(target, _dated(df, table), column, start, end)) as rows:
+            _insert(rows, table, True, partition_columns(spark, table))
         return
     if grain not in GRAINS:
         raise ValueError(f"unknown grain: {grain}")
@@ -138,31 +166,32 @@ def replace_window(
     if cut:
         in_cut = F.col(partition).isin(cut) & touched
         staged = target.filter(in_cut).filter(~in_window(F.col(column), start, end)).unionByName(staged)
-    staged = _staged(staged, True)
-    rewritten = staged.filter(touched)
-    _insert(rewritten, table, True, [partition], dynamic=True)
-    _clear(spark, table, partition, target, touched, rewritten)
-    outside = staged.filter(~F.coalesce(touched, F.lit(False)))
-    if not outside.isEmpty():
-        _insert(outside, table, False, [partition])
+    with _staged(staged) as staged:
+        rewritten = staged.filter(touched)
+        _insert(rewritten, table, True, [partition], dynamic=True)
+        _clear(spark, table, partition, target, touched, rewritten)
+        outside = staged.filter(~F.coalesce(touched, F.lit(False)))
+        if not outside.isEmpty():
+            _insert(outside, table, False, [partition])
 
 
 def _clear(
     spark: SparkSession, table: str, partition: str, target: DataFrame, touched: Column, rewritten: DataFrame
 ) -> None:
-    """Empty the touched partitions that got no rows: at most one per day of the window."""
+    """Empty the touched partitions that got no rows: at most one per day of the window. Their
+    files go first, each by an overwrite; then one statement takes all their names away."""
     names = spark.sql(f"SHOW PARTITIONS {quoted(table)}")
     listed = names.select(
         F.to_date(F.nullif(F.substring_index("partition", "=", -1), F.lit("__HIVE_DEFAULT_PARTITION__"))).alias(partition)
     )
     filled = rewritten.select(partition).distinct()
-    for row in listed.filter(touched).join(filled, partition, "left_anti").collect():
-        nothing = spark.createDataFrame([], target.drop(partition).schema)
-        _overwrite_partition(nothing, table, partition, row[partition])
-        spark.sql(
-            f"ALTER TABLE {quoted(table)} DROP IF EXISTS PARTITION "
-            f"({quoted(partition)} = DATE'{row[partition].isoformat()}')"
-        )
+    empty = [row[partition] for row in listed.filter(touched).join(filled, partition, "left_anti").collect()]
+    nothing = spark.createDataFrame([], target.drop(partition).schema)
+    for day in empty:
+        _overwrite_partition(nothing, table, partition, day)
+    if empty:
+        specs = ", ".join(f"PARTITION ({quoted(partition)} = DATE'{day.isoformat()}')" for day in sorted(empty))
+        spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS {specs}")
 
 
 def _truncated(column: Column, grain: str) -> Column:

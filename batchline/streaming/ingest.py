@@ -2,7 +2,10 @@
 
 The stream carries file names, not rows: each micro-batch hands its names to the batch
 reader, so encodings and headers may differ from file to file. A batch overwrites its own
-partition of the target, so a batch that is replayed after a failure leaves no duplicate.
+partition of the target and then leaves a mark with the names of the files it has written. A
+batch that is replayed finds the mark and only archives those files; without a mark it is loaded
+(again), so a failure leaves neither a duplicate nor a gap. A file that is gone before it was
+loaded is an error: what is there is loaded first, so that the replay can go on.
 """
 
 from __future__ import annotations
@@ -62,6 +65,8 @@ def ingest(
 ) -> int:
     """Load every new file below ``drop`` into ``table`` and stop; return the batches run.
 
+    Raises ``FileNotFoundError`` once for files that vanished before they were loaded.
+
     ``table`` is partitioned by ``ingest_batch``. ``checkpoint`` remembers which files were
     seen: keep it with the table, for batch numbers start again without it.
     """
@@ -77,10 +82,11 @@ def ingest(
         # at most files_per_batch names
         paths = sorted(row["path"] for row in names.select("path").collect())
         present = [p for p in paths if files.exists(p)]
-        # only archiving removes files, and it follows the write: a replay with files
-        # missing has been written already
-        if len(present) == len(paths):
-            rows = load_files(session, paths, comments)
+        mark = f"{checkpoint.rstrip('/')}/written/{int(batch)}"
+        if files.exists(mark):
+            written = {row["value"] for row in session.read.text(mark).collect()}
+        else:
+            rows = load_files(session, present, comments) if present else None
             if rows is not None:
                 stamped = load_stamp(rows, naive(stamp or datetime.now()), list(comments))
                 target = session.table(table).drop(BATCH_COLUMN)
@@ -89,8 +95,12 @@ def ingest(
                     "SELECT * FROM {rows}",
                     rows=aligned(stamped, target),
                 )
+            files.put(mark, "\n".join(present))
+            written = set(present)
+            if len(present) < len(paths):
+                raise FileNotFoundError(f"gone before they were loaded: {sorted(set(paths) - written)}")
         if archive is not None:
-            archive_files(session, present, archive, relative)
+            archive_files(session, [p for p in present if p in written], archive, relative)
         batches += 1
 
     names = (

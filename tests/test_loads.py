@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from batchline.plans import transforms
 from batchline.plans.loads import copy_source, load_location
 from batchline.queries import scratch_table
 from batchline.queries.loading import _workbook
+from batchline.scratch import shared_dir
 from batchline.sinks.tables import create_table
+from batchline.sinks.writes import full_refresh
 
 DAY = date(2024, 3, 5)
 
@@ -56,6 +59,56 @@ def test_copy_of_a_window(spark):
     assert ids(spark, name) == [1, 2, 3]
 
 
+def _files(spark, table):
+    rows = spark.table(table).select("d", F.col("_metadata.file_path").alias("f")).collect()
+    return {(r["d"], r["f"]) for r in rows}
+
+
+def _left_behind(spark):
+    return [p for p in Path(shared_dir(spark), "batchline").rglob("*-rows") if "staged" in str(p)]
+
+
+@pytest.mark.parametrize("way", ["copy", "store", "store_named"])
+def test_a_window_rewrites_only_its_partitions(spark, way):
+    days = [date(2024, m, d) for m in (1, 2, 3) for d in (1, 5, 20)]
+    source = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "id int, d date")
+    name, before = scratch_table(spark, "windowed"), _left_behind(spark)
+
+    def load(day, frequency):
+        if way == "copy":
+            copy_source(source, name, "replace_window", exec_date=day, frequency=frequency, column="d")
+        else:
+            start, end = transforms.period_bounds(day, frequency)
+            named = {"partition": "p", "grain": "month"} if way == "store_named" else {}
+            transforms.store(source.filter(F.col("d") >= F.lit(start)).filter(F.col("d") < F.lit(end)), name, str(day), frequency, "replace_window", column="d", **named)
+
+    for month in (1, 2, 3):
+        load(date(2024, month, 10), "monthly")
+    assert ids(spark, name) == list(range(9))
+    old = _files(spark, name)
+    load(date(2024, 2, 1), "monthly")
+    load(date(2024, 2, 5), "daily")  # a shorter window of the same table
+    new = _files(spark, name)
+    assert ids(spark, name) == list(range(9))
+    assert {x for x in old if x[0].month != 2} == {x for x in new if x[0].month != 2}
+    assert not {x for x in old if x[0].month == 2} & {x for x in new if x[0].month == 2}
+    copy_source(source.filter("id < 0"), name, "replace_window", exec_date=date(2024, 3, 1), frequency="monthly", column="d")
+    assert ids(spark, name) == list(range(6))
+    if way != "store_named":
+        copy_source(source.filter("id = 8"), name, "append")
+        copy_source(source.filter("id < 0"), name, "replace_window", exec_date=date(2024, 3, 20), column="d")
+        assert ids(spark, name) == list(range(6))
+    assert _left_behind(spark) == before
+
+
+def test_staged_rows_go_when_the_write_fails(spark):
+    name, before = scratch_table(spark, "failing"), _left_behind(spark)
+    create_table(spark, name, spark.createDataFrame([], "id int").schema)
+    with pytest.raises(Exception):
+        full_refresh(spark.sql("SELECT CAST(raise_error('no') AS int) AS id"), name, staged=True)
+    assert _left_behind(spark) == before
+
+
 def test_store_counts_rows(spark):
     name = scratch_table(spark, "stored")
     df = spark.sql("SELECT 1 AS id UNION ALL SELECT 2")
@@ -68,4 +121,29 @@ def test_plan_log(spark):
     plans = spark.createDataFrame([(DAY, 0, 1, "{}")], "exec_date date, part int, parts int, plan string")
     row = documents.plan_log(plans, "d", "r", datetime(2024, 3, 4, 20), datetime(2024, 3, 4, 21)).head()
     assert row["local_logical_date"] == datetime(2024, 3, 5, 4)
-    assert documents.keep_latest(plans.select(F.lit("d").alias("dag_id"), "exec_date", F.lit("r").alias("run_id"), F.lit(1).alias("create_time"))).count() == 1
+
+
+def _logged(spark, runs, parts):
+    """A plan log: runs are (run id, hour saved); every plan has so many parts."""
+    rows = [
+        ("d", run, datetime(2024, 3, 4), DAY, part, parts, f"{run} {hour} {part}", datetime(2024, 3, 4, hour))
+        for run, hour in runs for part in range(parts)
+    ]
+    return spark.createDataFrame(rows, "dag_id string, run_id string, logical_date timestamp_ntz, exec_date date, part int, parts int, plan string, create_time timestamp_ntz")
+
+
+def test_retention_keeps_whole_plans(spark):
+    log = _logged(spark, [(f"r{i}", i) for i in range(8)], 7)
+    kept = documents.keep_latest(log, 5).collect()
+    assert sorted({r["run_id"] for r in kept}) == ["r3", "r4", "r5", "r6", "r7"] and len(kept) == 35
+    assert documents.keep_latest(log, 0).count() == 56
+
+
+def test_as_of_finds_all_parts_of_one_saved_plan(spark):
+    log = _logged(spark, [("r1", 1), ("r2", 2), ("r2", 5)], 6)  # r2 saved its plan twice
+    asked = spark.createDataFrame([("d", date(2024, 3, 9)), ("d", date(2024, 1, 1)), ("x", DAY)], "dag_id string, ds date")
+    found = documents.latest_as_of(asked, log).collect()
+    assert sorted(r["plan"] for r in found if r["plan"]) == [f"r2 5 {i}" for i in range(6)]
+    assert sorted(str(r["ds"]) for r in found if not r["plan"]) == ["2024-01-01", "2024-03-05"]
+    assert sorted(r["plan"] for r in documents.latest_for(log, "d", "2024-03-09").collect()) == [f"r2 5 {i}" for i in range(6)]
+    assert documents.latest_for(log, "d", "2024-03-01").collect() == []

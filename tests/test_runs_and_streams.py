@@ -149,6 +149,41 @@ def test_a_failing_batch_is_replayed_once(spark, tmp_path, ingested):
     assert ids(spark, ingested) == [1, 2]
 
 
+def test_a_file_that_vanishes_is_an_error_and_the_others_are_loaded(spark, tmp_path, ingested, monkeypatch):
+    drop, archive, checkpoint = tmp_path / "drop", tmp_path / "archive", new_dir(spark, "checkpoint")
+    drop.mkdir()
+    for i in (1, 2, 3):
+        (drop / f"{i}.csv").write_text(f"id\n{i}\n")
+    there = stream.FileSystem.exists
+    monkeypatch.setattr(stream.FileSystem, "exists", lambda self, path: not path.endswith("/2.csv") and there(self, path))
+    run = lambda: stream.ingest(spark, f"file:{drop}", ingested, checkpoint, archive=f"file:{archive}")
+    with pytest.raises(Exception, match="2.csv"):
+        run()
+    assert ids(spark, ingested) == [1, 3] and len(list(drop.glob("*.csv"))) == 3  # loaded, nothing archived yet
+    monkeypatch.undo()
+    assert run() == 1  # the replay finds the mark: archives what was loaded, and only that
+    assert ids(spark, ingested) == [1, 3] and [p.name for p in drop.glob("*.csv")] == ["2.csv"]
+
+
+def test_a_replay_after_the_write_does_not_lose_rows(spark, tmp_path, ingested, monkeypatch):
+    drop, archive, checkpoint = tmp_path / "drop", tmp_path / "archive", new_dir(spark, "checkpoint")
+    drop.mkdir()
+    (drop / "a.csv").write_text("id\n1\n")
+    (drop / "b.csv").write_text("id\n2\n")
+    moved = stream.archive_files
+
+    def stop(session, paths, *rest):
+        moved(session, paths[:1], *rest)
+        raise RuntimeError("stopped between two moves")
+
+    run = lambda: stream.ingest(spark, f"file:{drop}", ingested, checkpoint, archive=f"file:{archive}")
+    monkeypatch.setattr(stream, "archive_files", stop)
+    with pytest.raises(Exception, match="between two moves"):
+        run()
+    monkeypatch.undo()
+    assert run() == 1 and ids(spark, ingested) == [1, 2] and not list(drop.glob("*.csv"))
+
+
 def test_archive_path():
     assert stream.archive_path("/arc/", "in/x", date(2024, 1, 2), "file:/d/a.b.csv", 7) == "/arc/in/x/2024-01-02/a.b_7.csv"
     assert stream.archive_path("/arc", "", date(2024, 1, 2), "plain", 7) == "/arc/2024-01-02/plain_7"

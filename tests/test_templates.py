@@ -5,7 +5,10 @@ from datetime import date
 import pytest
 
 from batchline.plans import transforms
-from batchline.plans.templates import TemplateError, UndefinedVariable, bind, run_statement, split_insert
+from batchline.plans.templates import (
+    TemplateError, UndefinedVariable, bind, run_statement, run_statements, split_insert, statements,
+)
+from batchline.queries import scratch_table
 
 NAMES = {"start_date", "end_date", "t"}
 
@@ -19,6 +22,9 @@ NAMES = {"start_date", "end_date", "t"}
         ("x >= DATE '{{ start_date }}'", "x >= CAST(:start_date AS DATE)"),
         ("x = 'it''s {fine}' -- {{ nothing }}\nAND 1", "x = 'it''s {fine}'  \nAND 1"),
         ("{# note {{ x }} #} SELECT '{{- end_date -}}'", "SELECT :end_date"),
+        ("x >= '{{ start_date }} 00:00:00'", "x >= concat(CAST(:start_date AS string), ' 00:00:00')"),
+        ("'a{{ t }}b{{t}}'", "concat('a', CAST(:t AS string), 'b', CAST(:t AS string))"),
+        ("SELECT /*+ BROADCAST(b) */ /* no hint */ 1", "SELECT /*+ BROADCAST(b) */   1"),
     ],
 )
 def test_bind(text, bound):
@@ -26,7 +32,7 @@ def test_bind(text, bound):
 
 
 @pytest.mark.parametrize(
-    "text", ["'day {{ start_date }}'", "{% if x %} 1", "{{ start_date | upper }}", "{{ a.b }}", "''{{ missing }}''"]
+    "text", ["{% if x %} 1", "'day {{ start_date }} {{ a.b }}'", "{{ start_date | upper }}", "{{ a.b }}", "''{{ missing }}''"]
 )
 def test_what_cannot_be_bound(text):
     with pytest.raises(TemplateError):
@@ -54,6 +60,42 @@ def test_split_insert():
     assert split_insert("SELECT 1") == (None, None, "SELECT 1")
 
 
+@pytest.mark.parametrize(
+    ("text", "split"),
+    [
+        ("-- daily load\nINSERT INTO t (a) SELECT 1", ("t", ["a"], "SELECT 1")),
+        ("/* x */ insert /* y */ into table `ods`.`my t` select 1", ("ods.my t", None, "select 1")),
+        ("INSERT INTO t (SELECT 1)", ("t", None, "(SELECT 1)")),
+        ("WITH q AS (SELECT 1 AS a), r(x) AS (SELECT 2)\nINSERT INTO b SELECT * FROM q", ("b", None, "WITH q AS (SELECT 1 AS a), r(x) AS (SELECT 2)\n SELECT * FROM q")),
+        ("SELECT 'INSERT INTO t SELECT 1'", (None, None, "SELECT 'INSERT INTO t SELECT 1'")),
+    ],
+)
+def test_split_insert_reads_tokens(text, split):
+    assert split_insert(text) == split
+
+
+@pytest.mark.parametrize("text", ["DELETE FROM t", "INSERT OVERWRITE t SELECT 1", "DROP TABLE t", "SELECT 1; SELECT 2", "", "-- nothing", "INSERT INTO t"])
+def test_what_is_no_query_is_refused_before_it_runs(spark, text):
+    with pytest.raises(TemplateError):
+        transforms.sql_frame(spark, text, "2024-01-01", "daily")
+
+
+def test_a_commented_insert_does_not_run(spark):
+    name = scratch_table(spark, "kept")
+    spark.sql(f"CREATE TABLE {name} (a int) USING parquet")
+    df = transforms.sql_frame(spark, f"-- daily load\nINSERT INTO {name} (a) SELECT 1", "2024-01-01", "daily")
+    assert [tuple(r) for r in df.collect()] == [(1,)] and spark.table(name).count() == 0
+
+
+def test_statements_in_order(spark):
+    name = scratch_table(spark, "several")
+    spark.sql(f"CREATE TABLE {name} (a string) USING parquet")
+    text = f"INSERT INTO {name} VALUES ('x;{{{{ t }}}}'); -- next; one\nINSERT INTO {name} SELECT 'y' ;; SELECT * FROM {name};"
+    assert len(statements(text)) == 3
+    assert run_statements(spark, text, {"t": 7})[-1] == 2
+    assert sorted(r[0] for r in spark.table(name).collect()) == ["x;7", "y"]
+
+
 def test_sql_frame_names_and_period(spark):
     df = transforms.sql_frame(spark, "INSERT INTO t (a, b) SELECT '{{ start_date }}', '{{ end_date }}'", "2024-02-10", "monthly")
     assert df.head().asDict() == {"a": date(2024, 2, 1), "b": date(2024, 3, 1)}
