@@ -6,12 +6,14 @@ try_number``; times are naive UTC. All statistics are per run and use partial ag
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchline.functions.periods import elapsed_seconds, hours_text, local_time_text, minutes_text
+from batchline.scratch import Scratch
 
 # States, the mark of a script task and how many slowest tasks are shown.
 FAILED_STATES = ("failed", "upstream_failed")
@@ -103,13 +105,29 @@ def run_spans(task_runs: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """Add the running number (from 1) of each row within its ``keys`` in the given order.
+
+    The rows are range-sorted over all tasks and stored with their range, so that even a key with
+    a third of all rows is numbered piece by piece: counts per key and range give each piece its
+    first number.
+    """
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    stored, _ = Scratch(rows.sparkSession, "numbered").save(ranged, "rows")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    numbers = stored.withColumn("_within", within).join(first, [*keys, "_range"])
+    return numbers.withColumn(name, F.col("_before") + F.col("_within")).drop("_before", "_within", "_range")
+
+
 def report_lines(task_runs: DataFrame, runs: DataFrame) -> DataFrame:
     """The report of each run as ordered lines: ``dag_id, run_id, section, place, item, line``.
 
     ``runs`` has ``dag_id, run_id, exec_date, status, started, ended``. Sorting the lines of
     a run by ``section, item, place`` gives its report; no run is gathered into one row.
-    ``item`` is the failed task a line belongs to. Failed tasks carry no running number:
-    numbering them would put a whole run into one task.
+    ``item`` is the failed task a line belongs to; failed tasks are numbered by task id.
     """
     # Headings and line texts of the report.
     heading = "========== 脚本执行报告 =========="
@@ -166,19 +184,19 @@ def report_lines(task_runs: DataFrame, runs: DataFrame) -> DataFrame:
         ).alias("line"),
     )
     details = F.array(
-        F.format_string("任务ID: %s", "task_id"),
+        F.format_string("%d. 任务ID: %s", "number", "task_id"),
         F.format_string("   状态: %s", "state"),
         F.concat(F.lit("   尝试次数: "), F.coalesce(F.col("try_number").cast("string"), F.lit("N/A"))),
         F.concat(F.lit("   执行时间: "), minutes_text(F.col("duration"))),
     )
-    failed = failed_tasks(task_runs).select(
+    failed = numbered(failed_tasks(task_runs), list(RUN), ["task_id", "try_number", "state", "duration"]).select(
         *RUN, F.lit(6).alias("section"), F.col("task_id").alias("item"), F.posexplode(details).alias("at", "line")
     ).select(*RUN, "section", (F.col("at") + 1).alias("place"), "item", "line")
     return reduce(
         DataFrame.unionByName,
         [
-            of_runs, slow, _headed(slow, 5, top_heading),
-            failed, _headed(failed, 6, failed_heading),
+            of_runs, slow, _headed(_finished(task_runs), 5, top_heading),
+            failed, _headed(head.filter("fail_count + upstream_failed_count > 0"), 6, failed_heading),
         ],
     )
 
@@ -196,17 +214,24 @@ def _lines(fixed: list[tuple[int, int, Column]]) -> Column:
     )
 
 
+def _finished(task_runs: DataFrame) -> DataFrame:
+    """Runs with a task whose duration is known: a partial aggregate, without a rank."""
+    known = F.count_if(F.col("start_date").isNotNull() & F.col("end_date").isNotNull())
+    return task_runs.groupBy(*RUN).agg(known.alias("known")).filter("known > 0")
+
+
 def _headed(lines: DataFrame, section: int, text: str) -> DataFrame:
-    """The heading of a section that only runs with lines in it have."""
-    return lines.select(*RUN).distinct().select(
+    """The heading of a section, for runs that have lines in it: one row each."""
+    return lines.select(
         *RUN, F.lit(section).alias("section"), F.lit(0).alias("place"), F.lit("").alias("item"),
         F.lit(text).alias("line"),
     )
 
 
-def chain_report_lines(results: DataFrame) -> DataFrame:
+def chain_report_lines(results: DataFrame, generated: datetime | None = None) -> DataFrame:
     """Counts of a chain of scripts by outcome and type, then one line per script.
 
+    ``generated`` is the clock reading that the report names as its time; now by default.
     ``results`` has ``exec_date, step, script_name, target_table, script_type, success``;
     lines sort as in ``report_lines``.
     """
@@ -218,10 +243,11 @@ def chain_report_lines(results: DataFrame) -> DataFrame:
     fixed = [
         (1, 0, F.lit("========== 脚本执行报告 ==========")),
         (1, 1, F.format_string("执行日期: %s", F.date_format("exec_date", "yyyy-MM-dd"))),
-        (1, 2, F.format_string("总脚本数: %d", "total")),
-        (1, 3, F.format_string("成功数: %d", "good")),
-        (1, 4, F.format_string("失败数: %d", F.col("total") - F.col("good"))),
-        (1, 5, F.format_string("成功率: %.2f%%", rate)),
+        (1, 2, F.lit(f"报告生成时间: {generated or datetime.now():%Y-%m-%d %H:%M:%S}")),
+        (1, 3, F.format_string("总脚本数: %d", "total")),
+        (1, 4, F.format_string("成功数: %d", "good")),
+        (1, 5, F.format_string("失败数: %d", F.col("total") - F.col("good"))),
+        (1, 6, F.format_string("成功率: %.2f%%", rate)),
         (2, 0, F.lit("--- 脚本类型统计 ---")),
         (3, 0, F.lit("--- 执行详情 ---")),
         (4, 0, F.lit("========== 报告结束 ==========")),

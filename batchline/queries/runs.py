@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def chain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("script_name").endswith(".sql"), "sql").otherwise("python_script").alias("script_type"),
         F.col("source_b").isNull().alias("success"),
     )
-    return runlog.chain_report_lines(results)
+    return runlog.chain_report_lines(results, datetime(2024, 1, 2, 3, 4, 5))
 
 
 def run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +135,7 @@ def _local(t: str) -> str:
     return f"coalesce(strftime({t} + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S'), 'N/A')"
 
 
+# Headings and line texts of the reports.
 _FIXED = [
     (1, 0, "'========== 脚本执行报告 =========='"),
     (1, 1, "'执行日期: ' || CAST(exec_date AS string)"),
@@ -165,11 +168,12 @@ _REPORT = (
     + " UNION ALL SELECT DISTINCT dag_id, run_id, 5, 0, '', '--- 执行时间最长的任务 ---' FROM slow "
     f"UNION ALL SELECT dag_id, run_id, 5, place, '', place || '. ' || task_id || ': ' || {_minutes('duration')} || ' (' || state || ')' FROM slow "
     "UNION ALL SELECT DISTINCT dag_id, run_id, 6, 0, '', '--- 失败任务详情 ---' FROM bad "
-    "UNION ALL SELECT dag_id, run_id, 6, 1, task_id, '任务ID: ' || task_id FROM bad "
+    "UNION ALL SELECT dag_id, run_id, 6, 1, task_id, row_number() OVER (PARTITION BY dag_id, run_id ORDER BY task_id, try_number, state, duration) || '. 任务ID: ' || task_id FROM bad "
     "UNION ALL SELECT dag_id, run_id, 6, 2, task_id, '   状态: ' || state FROM bad "
     "UNION ALL SELECT dag_id, run_id, 6, 3, task_id, '   尝试次数: ' || try_number FROM bad "
     f"UNION ALL SELECT dag_id, run_id, 6, 4, task_id, '   执行时间: ' || {_minutes('duration')} FROM bad"
 )
+# Headings and line texts of the reports.
 _CHAIN = (
     ", r AS (SELECT exec_date, CAST(substr(target_table, 2) AS bigint) AS step, script_name, target_table, "
     "CASE WHEN script_name LIKE '%.sql' THEN 'sql' ELSE 'python_script' END AS script_type, source_b IS NULL AS success FROM plan_scripts), "
@@ -179,10 +183,11 @@ _CHAIN = (
         for s, p, line in [
             (1, 0, "'========== 脚本执行报告 =========='"),
             (1, 1, "'执行日期: ' || CAST(exec_date AS string)"),
-            (1, 2, "'总脚本数: ' || total"),
-            (1, 3, "'成功数: ' || good"),
-            (1, 4, "'失败数: ' || (total - good)"),
-            (1, 5, "format('成功率: {:.2f}%', round(good * 100.0 / total, 2))"),
+            (1, 2, "'报告生成时间: 2024-01-02 03:04:05'"),
+            (1, 3, "'总脚本数: ' || total"),
+            (1, 4, "'成功数: ' || good"),
+            (1, 5, "'失败数: ' || (total - good)"),
+            (1, 6, "format('成功率: {:.2f}%', round(good * 100.0 / total, 2))"),
             (2, 0, "'--- 脚本类型统计 ---'"),
             (3, 0, "'--- 执行详情 ---'"),
             (4, 0, "'========== 报告结束 =========='"),

@@ -82,17 +82,28 @@ def test_report_of_a_run(spark):
     )
     runs = runlog.run_spans(tasks).withColumns({"exec_date": F.lit(date(2024, 1, 1)), "status": F.lit("failed")})
     lines = [r["line"] for r in runlog.report_lines(tasks, runs).orderBy("section", "item", "place").collect()]
+    # Headings and line texts of the report.
     assert lines == [
         "========== 脚本执行报告 ==========", "执行日期: 2024-01-01", "DAG ID: d", "Run ID: r", "状态: failed", "总任务数: 2",
         "--- 任务状态统计 ---", "成功任务: 1 个", "失败任务: 1 个", "跳过任务: 0 个", "上游失败任务: 0 个",
         "--- 任务类型统计 ---", "脚本执行任务: 1 个",
         "--- 执行时间统计 ---", "总执行时间: N/A", "开始时间(北京时间): 2024-01-01 08:00:00", "结束时间(北京时间): N/A",
         "--- 执行时间最长的任务 ---", "1. a-TO-b: 2分钟 5秒 (success)",
-        "--- 失败任务详情 ---", "任务ID: c", "   状态: failed", "   尝试次数: 2", "   执行时间: N/A",
+        "--- 失败任务详情 ---", "1. 任务ID: c", "   状态: failed", "   尝试次数: 2", "   执行时间: N/A",
         "--- 总结 ---", "任务成功率: 50.00%", "脚本执行过程中出现失败。有 1 个任务失败。", "========== 报告结束 ==========",
     ]
 
 
+def test_numbers_within_a_large_key(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id * 7919 % 3001 AS v", "id")
+    numbers = runlog.numbered(rows.repartition(7), ["k"], ["v", "id"]).collect()
+    by_key = {}
+    for r in sorted(numbers, key=lambda r: (r["k"], r["v"], r["id"])):
+        by_key[r["k"]] = by_key.get(r["k"], 0) + 1
+        assert r["number"] == by_key[r["k"]]
+    assert len(numbers) == 3000 and runlog.numbered(rows.limit(0), ["k"], ["v"]).collect() == []
+
+
 def test_fold_keeps_the_last_event(spark):
     events = spark.createDataFrame(
         [
