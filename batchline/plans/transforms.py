@@ -1,4 +1,5 @@
-"""Running a transform for the period of a date and writing its result."""
+"""Running a transform for the period of a date and writing its result: step by step, or a stored
+script from its metadata to its target."""
 
 from __future__ import annotations
 
@@ -9,12 +10,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from batchline.functions.periods import period_bounds
+from batchline.functions.values import layer_of
 from batchline.plans.templates import TemplateError, is_query, run_statement, split_insert, statements
-from batchline.sinks.tables import create_like, create_window_target
-from batchline.sinks.writes import grain_of, write
+from batchline.sinks.tables import create_from_metadata, create_like, create_window_target
+from batchline.sinks.writes import grain_of, mode_of, write
+from batchline.sources.metadata import date_column_of, script_of
 
 PythonTransform = Callable[..., DataFrame]
 
+BATCH_COLUMN = "batch_date"
+
 _REGISTRY: dict[str, PythonTransform] = {}
 
 
@@ -87,3 +92,44 @@ def store(
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     write(counted, table, mode, window=period_bounds(day, frequency), batch_date=day, **options)
     return seen.get["rows"]
+
+
+def run_script(
+    spark: SparkSession, nodes: DataFrame, columns: DataFrame, scripts: DataFrame, target: str, script_name: str,
+    exec_date: date | str, frequency: str, update_mode: str | None = None, manual: bool = False,
+    params: Mapping[str, object] | None = None,
+) -> int:
+    """Run one stored script for the period of a date and return the rows it wrote.
+
+    The text comes from ``scripts`` (a registered function of that name is taken instead), the
+    target from ``nodes`` and ``columns``: made on first use in its layer, partitioned by
+    ``batch_date``, the date of the run. The mode follows from ``update_mode`` and ``manual``. A
+    run that is repeated gives the same table.
+    """
+    day = date.fromisoformat(exec_date) if isinstance(exec_date, str) else exec_date
+    node = nodes.filter(F.col("en_name") == target).select(F.array("label").alias("labels"))
+    found = node.select(layer_of(F.col("labels")).alias("layer")).head()
+    if found is None:
+        raise LookupError(f"metadata does not describe {target}")
+    if script_name in _REGISTRY:
+        df = python_frame(spark, script_name, day, frequency, params)
+    else:
+        text, _ = script_of(scripts, target, script_name)
+        df = sql_frame(spark, text, day, frequency, params)
+    create_from_metadata(spark, nodes, columns, target, BATCH_COLUMN)
+    mode = mode_of(update_mode, manual)
+    options = {}
+    if mode == "replace_window":
+        request = spark.createDataFrame([(target, script_name)], "target_table string, script_name string")
+        options["column"] = date_column_of(request, nodes, scripts).head()["dt_column"]
+        if options["column"].lower() not in [c.lower() for c in df.columns]:
+            raise ValueError(f"{script_name} has no column {options['column']} to replace a window by")
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if mode != "replace_batch":
+        rows = rows.withColumn(BATCH_COLUMN, F.lit(day))
+    table = f"{found['layer']}.{target}"
+    # staged: a script may read its own target
+    staged = {"staged": True} if mode != "replace_window" else {}
+    write(rows, table, mode, window=period_bounds(day, frequency), batch_date=day, **options, **staged)
+    return seen.get["rows"]

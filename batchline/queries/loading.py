@@ -18,7 +18,7 @@ from batchline.functions.periods import naive
 from batchline.operators.headers import select_matched
 from batchline.plans import transforms
 from batchline.plans.loads import copy_source
-from batchline.plans.templates import run_statement
+from batchline.plans.templates import run_statement, run_statements
 from batchline.queries import scratch_table
 from batchline.scratch import new_dir
 from batchline.sinks import writes
@@ -303,6 +303,48 @@ def windowed_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(target).select("nation", "biz_month", "orders", "revenue", "batch_date")
 
 
+def script_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored script from metadata to target: scheduled twice for March, then for April, then
+    March again by hand, which replaces the month's rows whichever batch wrote them."""
+    _register(spark, sf_dir)
+    target = scratch_table(spark, "t").rpartition(".")[2]
+    nodes = spark.createDataFrame([(target, "Revenue", "DataModel", "biz_month")], "en_name string, name string, label string, target_dt_column string")
+    described = [("nation", "varchar(25)"), ("biz_month", "date"), ("orders", "bigint"), ("revenue", "double precision")]
+    columns = spark.createDataFrame(
+        [(target, i, name, kind, "", name == "nation") for i, (name, kind) in enumerate(described)],
+        "table_name string, column_id int, en_name string, data_type string, name string, is_pk boolean",
+    )
+    text = "-- revenue by nation and month" + _TEMPLATE.replace("nation_revenue", target)
+    scripts = spark.createDataFrame([(target, "revenue.sql", text, None)], "target_table string, script_name string, script_content string, target_dt_column string")
+    for day, manual in (("1996-03-17", False), ("1996-03-17", False), ("1996-04-02", False), ("1996-03-30", True)):
+        transforms.run_script(spark, nodes, columns, scripts, target, "revenue.sql", day, "monthly", "append", manual)
+    return spark.table(f"ads.{target}").select("nation", "biz_month", "orders", "revenue", "batch_date")
+
+
+def template_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers inside longer literals."""
+    _register(spark, sf_dir)
+    text = (
+        "SELECT o_orderkey, 'from {{ start_date }} to {{ end_date }}' AS period FROM batchline_t_orders "
+        "WHERE CAST(o_orderdate AS timestamp) >= TIMESTAMP '{{ start_date }}' AND CAST(o_orderdate AS timestamp) < CAST('{{ end_date }} 00:00:00' AS timestamp)"
+    )
+    return run_statement(spark, text, {"start_date": _WINDOW[0], "end_date": _WINDOW[1]})
+
+
+def multi_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text that fills a table in two statements and reads it in a third."""
+    _register(spark, sf_dir)
+    target = scratch_table(spark, "several")
+    create_table(spark, target, spark.createDataFrame([], "o_orderkey bigint, half string").schema)
+    run_statements(
+        spark,
+        f"INSERT INTO {target} SELECT o_orderkey, 'first; half' FROM batchline_t_orders WHERE o_orderdate < '{{{{ start_date }}}}'; -- then; the rest\n"
+        f"INSERT INTO {target} SELECT o_orderkey, 'second' FROM batchline_t_orders WHERE o_orderdate >= '{{{{ start_date }}}}';",
+        {"start_date": _WINDOW[0]},
+    )
+    return spark.table(target)
+
+
 @transforms.python_transform("events_by_user.py")
 def _events_by_user(spark: SparkSession, start: date, end: date, *, events: DataFrame) -> DataFrame:
     inside = window_scan(events, "ts", start, end)
@@ -340,6 +382,9 @@ QUERIES = {
     "batch_replace": batch_replace,
     "sql_template": sql_template,
     "sql_select": sql_select,
+    "script_run": script_run,
+    "template_literal": template_literal,
+    "multi_statement": multi_statement,
     "windowed_transform": windowed_transform,
     "python_transform": python_transform,
 }
@@ -386,6 +431,15 @@ ORACLE = {
     "windowed_transform": "SELECT n_name AS nation, DATE '1996-03-01' AS biz_month, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue, "
     "DATE '1996-03-17' AS batch_date FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey "
     "WHERE o_orderdate >= DATE '1996-03-01' AND o_orderdate < DATE '1996-04-01' GROUP BY n_name",
+    "script_run": " UNION ALL ".join(
+        f"SELECT n_name AS nation, DATE '{first}' AS biz_month, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue, "
+        f"DATE '{batch}' AS batch_date FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey "
+        f"WHERE o_orderdate >= DATE '{first}' AND o_orderdate < DATE '{after}' GROUP BY n_name"
+        for first, after, batch in (("1996-03-01", "1996-04-01", "1996-03-30"), ("1996-04-01", "1996-05-01", "1996-04-02"))
+    ),
+    "template_literal": "SELECT o_orderkey, 'from 1996-01-01 to 1996-02-01' AS period FROM orders "
+    "WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-02-01'",
+    "multi_statement": "SELECT o_orderkey, CASE WHEN o_orderdate < DATE '1996-01-01' THEN 'first; half' ELSE 'second' END AS half FROM orders",
     "python_transform": "SELECT user_id, count(*) AS events, round(sum(value), 4) AS value, max(ts) AS last_ts FROM events "
     "WHERE ts >= DATE '2024-01-08' AND ts < DATE '2024-01-15' GROUP BY user_id",
 }

@@ -27,6 +27,25 @@ def keep_latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("dag_id", "run_id", "exec_date", "create_time")
 
 
+def _parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan log with every plan in three rows, and plans of every seventh order saved twice."""
+    plans = view(spark, sf_dir, "exec_plans")
+    twice = F.when(F.substring("run_id", 2, 20).cast("bigint") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    saved = plans.withColumn("again", F.explode(twice)).withColumn("part", F.explode(F.array(*map(F.lit, range(3)))))
+    return saved.withColumn("create_time", F.col("create_time") + F.make_dt_interval(F.lit(0), F.col("again"))).drop("again")
+
+
+def asof_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``asof_latest``, over plans of several rows of which some were saved twice."""
+    plans = _parted(spark, sf_dir)
+    requests = plans.select("dag_id", F.date_add("exec_date", 3).alias("ds")).distinct()
+    return documents.latest_as_of(requests, plans).select("dag_id", "ds", "exec_date", "run_id", "part")
+
+
+def keep_latest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.keep_latest(_parted(spark, sf_dir)).select("dag_id", "run_id", "exec_date", "create_time", "part")
+
+
 def run_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by day; orders ask for them by id, by an id that is too new, or for a later day."""
     tasks = view(spark, sf_dir, "task_runs")
@@ -100,7 +119,9 @@ def run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "asof_latest": asof_latest,
+    "asof_parts": asof_parts,
     "json_validate": json_validate,
+    "keep_latest_parts": keep_latest_parts,
     "keep_latest_n": keep_latest_n,
     "run_match": run_match,
     "run_counts": run_counts,
@@ -206,6 +227,21 @@ ORACLE = {
         "SELECT a.dag_id, a.ds, d.exec_date, d.logical_date, d.run_id, d.plan FROM asked a "
         "ASOF LEFT JOIN days d ON a.dag_id = d.dag_id AND a.ds >= d.exec_date",
     ),
+    "asof_parts": with_views(
+        ["exec_plans"],
+        ", days AS (SELECT * FROM exec_plans QUALIFY row_number() OVER (PARTITION BY dag_id, exec_date ORDER BY logical_date DESC, run_id DESC) = 1), "
+        "asked AS (SELECT DISTINCT dag_id, CAST(exec_date + INTERVAL 3 DAY AS date) AS ds FROM exec_plans) "
+        "SELECT a.dag_id, a.ds, d.exec_date, d.run_id, CAST(part AS int) AS part FROM asked a "
+        "ASOF LEFT JOIN days d ON a.dag_id = d.dag_id AND a.ds >= d.exec_date CROSS JOIN range(3) AS p(part)",
+    ),
+    "keep_latest_parts": with_views(
+        ["exec_plans"],
+        ", saved AS (SELECT p.* REPLACE (create_time + INTERVAL 1 HOUR * again AS create_time) FROM exec_plans p, range(2) AS a(again) "
+        "WHERE again = 0 OR CAST(substr(run_id, 2) AS bigint) % 7 = 0), "
+        "kept AS (SELECT dag_id, run_id, exec_date, create_time FROM saved "
+        "QUALIFY row_number() OVER (PARTITION BY dag_id, exec_date ORDER BY create_time DESC, run_id) <= 5) "
+        "SELECT kept.*, CAST(part AS int) AS part FROM kept, range(3) AS p(part)",
+    ),
     "json_validate": with_views(
         ["exec_plans"],
         "SELECT run_id, contains(plan, '\"exec_date\"') AND NOT contains(plan, '\"bad\"') AS valid FROM exec_plans",

@@ -185,9 +185,12 @@ def _escaped(column: str) -> Column:
 
 
 def create_from_metadata(
-    spark: SparkSession, nodes: DataFrame, columns: DataFrame, table: str
+    spark: SparkSession, nodes: DataFrame, columns: DataFrame, table: str, batch_column: str | None = None
 ) -> bool:
-    """Create one described table in its layer; an undescribed one is an error."""
+    """Create one described table in its layer; an undescribed one is an error.
+
+    With ``batch_column`` it also gets that date column and is partitioned by it.
+    """
     one = nodes.filter((F.col("en_name") == table) & (F.col("label") != "DataSource"))
     row = table_ddl(one, columns.filter(F.col("table_name") == table)).head()
     if row is None:
@@ -196,7 +199,10 @@ def create_from_metadata(
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{layer}`")
     if spark.catalog.tableExists(f"{layer}.{name}"):
         return False
-    spark.sql(row["ddl"])
+    ddl, head = row["ddl"], "\n) USING parquet"
+    if batch_column:
+        ddl = ddl.replace(head, f",\n  {quoted(batch_column)} DATE{head} PARTITIONED BY ({quoted(batch_column)})", 1)
+    spark.sql(ddl)
     if row["pk"]:
         spark.sql(f"ALTER TABLE `{layer}`.`{name}` SET TBLPROPERTIES ('pk' = {_literal(row['pk'])})")
     return True

@@ -29,6 +29,17 @@ def grain_of(frequency: str) -> str:
     return {"monthly": "month", "quarterly": "quarter", "yearly": "year"}.get(frequency.lower(), "day")
 
 
+def mode_of(update_mode: str | None, manual: bool) -> str:
+    """The write mode of a metadata mode. ``append`` (the default) never duplicates what a run
+    wrote before: a manual run replaces the window, a scheduled one the batch of its date."""
+    name = (update_mode or "append").strip().lower()
+    if name == "full_refresh":
+        return name
+    if name != "append":
+        raise ValueError(f"unknown update mode: {update_mode}")
+    return "replace_window" if manual else "replace_batch"
+
+
 def aligned(df: DataFrame, table: DataFrame) -> DataFrame:
     """``df`` with the table's columns, order and types; columns it lacks are null.
 

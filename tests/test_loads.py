@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 from pathlib import Path
 
@@ -109,6 +110,61 @@ def test_staged_rows_go_when_the_write_fails(spark):
     assert _left_behind(spark) == before
 
 
+@pytest.fixture
+def described(spark):
+    target = f"run_{uuid.uuid4().hex[:8]}"
+    source = scratch_table(spark, "sold")
+    spark.sql(f"CREATE TABLE {source} (sold date, amount int) USING parquet")
+    spark.sql(f"INSERT INTO {source} VALUES (DATE'2024-02-05', 1), (DATE'2024-02-20', 2), (DATE'2024-03-05', 4)")
+    nodes = spark.createDataFrame([(target, "Sums", "DataModel", "biz_date")], "en_name string, name string, label string, target_dt_column string")
+    columns = spark.createDataFrame(
+        [(target, 1, "biz_date", "date", "", True), (target, 2, "amount", "bigint", "", False)],
+        "table_name string, column_id int, en_name string, data_type string, name string, is_pk boolean",
+    )
+    text = (
+        f"-- daily sums\nINSERT INTO ads.{target} (biz_date, amount) SELECT sold, CAST(sum(amount) AS bigint) FROM {source} "
+        "WHERE sold >= '{{ start_date }}' AND sold < DATE '{{ end_date }}' GROUP BY sold"
+    )
+    scripts = spark.createDataFrame([(target, "sums.sql", text, None)], "target_table string, script_name string, script_content string, target_dt_column string")
+
+    def run(day, **options):
+        written = transforms.run_script(spark, nodes, columns, scripts, target, "sums.sql", day, "monthly", **options)
+        rows = spark.table(f"ads.{target}").select("biz_date", "amount", "batch_date").collect()
+        return written, sorted(tuple(r) for r in rows)
+
+    run.source, run.target, run.frames = source, target, (nodes, columns, scripts)
+    yield run
+    spark.sql(f"DROP TABLE IF EXISTS ads.{target}")
+
+
+def test_a_stored_script_from_metadata_to_target(spark, described):
+    feb, mar = date(2024, 2, 10), date(2024, 3, 10)
+    both = [(date(2024, 2, 5), 1, feb), (date(2024, 2, 20), 2, feb)]
+    for _ in range(2):  # scheduled: the batch of the date is replaced
+        assert described(feb) == (2, both)
+    assert described(mar, update_mode="append") == (1, both + [(date(2024, 3, 5), 4, mar)])
+    spark.sql(f"INSERT INTO {described.source} VALUES (DATE'2024-02-07', 8)")
+    later = date(2024, 2, 28)
+    for _ in range(2):  # manual: the window is replaced, whatever batch wrote it
+        written, rows = described(later, manual=True)
+        assert written == 3 and [r[:2] for r in rows] == [(date(2024, 2, 5), 1), (date(2024, 2, 7), 8), (date(2024, 2, 20), 2), (date(2024, 3, 5), 4)]
+        assert {r[2] for r in rows if r[0].month == 2} == {later}
+    assert described(mar, update_mode="full_refresh") == (1, [(date(2024, 3, 5), 4, mar)])
+
+
+def test_a_stored_script_that_cannot_run(spark, described):
+    nodes, columns, scripts = described.frames
+    with pytest.raises(LookupError, match="no script"):
+        transforms.run_script(spark, nodes, columns, scripts, described.target, "gone.sql", DAY, "daily")
+    with pytest.raises(LookupError, match="does not describe"):
+        transforms.run_script(spark, nodes, columns, scripts, "nobody", "sums.sql", DAY, "daily")
+    with pytest.raises(ValueError, match="unknown update mode"):
+        described(DAY, update_mode="merge")
+    unnamed = nodes.withColumn("target_dt_column", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="data_date"):
+        transforms.run_script(spark, unnamed, columns, scripts, described.target, "sums.sql", DAY, "monthly", manual=True)
+
+
 def test_store_counts_rows(spark):
     name = scratch_table(spark, "stored")
     df = spark.sql("SELECT 1 AS id UNION ALL SELECT 2")
