@@ -9,10 +9,10 @@ shuffle it (with AQE splitting hot keys on the edge side) when it is not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchline.scratch import Rounds, Scratch
+from batchline.scratch import Rounds, Scratch, nothing
 
 
 def as_edges(df: DataFrame, src: str, dst: str) -> DataFrame:
@@ -127,50 +127,62 @@ def _inside(edges: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _peel(
-    scratch: Scratch, edges: DataFrame, nodes: DataFrame, n_nodes: int
-) -> tuple[Rounds, DataFrame, int]:
-    """Place nodes level by level, each when all it needs is placed.
+_LOG = "node {kind}, filled bigint, top int, degree bigint, level int"
+_FOLD = 16
 
-    A round looks only at nodes that need one placed in the round before. The edge table is
-    written anew, without the edges to placed nodes, only when as many nodes have been
-    placed since the last time as are still to be placed. Gives the placed nodes, the edges
-    among nodes that a cycle keeps from being placed, and the number of those nodes.
+
+class _Peel:
+    """Nodes placed one after another, each when all it needs is placed.
+
+    A round joins the edges with the nodes placed in the round before and adds one row for every
+    node that this reached: how many of its needs are placed by now, and the highest level among
+    them. A node whose needs are all placed is one level above the highest. So a round is one
+    write; edges are never rewritten. Rows of nodes that still wait are folded now and then.
     """
-    placed = Rounds(scratch, f"placed{scratch.serial}", f"node {dict(nodes.dtypes)['node']}", "level")
-    needy = edges.select(F.col("src").alias("node")).distinct()
-    frontier, size = placed.add(nodes.join(needy, "node", "left_anti"), 0)
-    level, left, since, settled, waiting = 0, n_nodes - size, 0, size, edges
-    while size and left:
-        level += 1
-        if settled >= left:
-            waiting, _ = scratch.save(_without(waiting, placed.since(since)), "waiting")
-            since, settled = level, 0
-            # the nodes of the last round are gone from the edges: look at all that remain free
-            ready = _sources(edges.join(frontier, edges["dst"] == frontier["node"], "left_semi"))
-            ready = ready.join(waiting, ready["node"] == waiting["src"], "left_anti")
-        else:
-            reached, _ = scratch.save(
-                _sources(waiting.join(frontier, waiting["dst"] == frontier["node"], "left_semi")), "reached"
-            )
-            theirs = waiting.join(reached, waiting["src"] == reached["node"], "left_semi")
-            held = _without(theirs, placed.since(since)).select(F.col("src").alias("node")).distinct()
-            ready = reached.join(held, "node", "left_anti")
-        frontier, size = placed.add(ready, level)
-        left, settled = left - size, settled + size
-    if left:
-        waiting, _ = scratch.save(_without(waiting, placed.since(since)), "waiting")
-    return placed, waiting, left
 
+    def __init__(self, scratch: Scratch, degrees: DataFrame):
+        self.scratch, self.degrees = scratch, degrees
+        self.columns = _LOG.format(kind=dict(degrees.dtypes)["node"])
+        self.log = Rounds(scratch, "placed", self.columns, "round")
+        self.number, self.placed = 0, 0
+        self.waiting, self.folded = nothing(scratch.spark, "node {}, filled bigint, top int".format(dict(degrees.dtypes)["node"])), 0
+
+    def _add(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        stored, size = self.log.add(rows, self.number, counted="level IS NOT NULL")
+        self.number, self.placed = self.number + 1, self.placed + size
+        return stored.filter("level IS NOT NULL").select("node", "level"), size
+
+    def _partly(self) -> DataFrame:
+        """Nodes that wait for some of their needs: ``node, filled, top``."""
+        recent = self.log.since(self.folded).filter("level IS NULL").select("node", "filled", "top")
+        together = self.waiting.unionByName(recent).groupBy("node").agg(F.max("filled").alias("filled"), F.max("top").alias("top"))
+        return together
+
+    def run(self, edges: DataFrame, start: DataFrame) -> None:
+        """Place ``start`` (rows of the log) and, as long as there is one, what that frees."""
+        frontier, size = self._add(start)
+        while size:
+            if self.number - self.folded >= _FOLD:
+                done = self.log.all().filter("level IS NOT NULL").select("node")
+                self.waiting, _ = self.scratch.save(self._partly().join(done, "node", "left_anti"), "waiting")
+                self.folded = self.number
+            reached = edges.join(frontier, edges["dst"] == frontier["node"]).groupBy(F.col("src").alias("node")).agg(
+                F.count(F.lit(1)).alias("more"), F.max("level").alias("high")
+            )
+            before = reached.join(self._partly(), "node", "left").join(self.degrees, "node")
+            filled = F.col("more") + F.coalesce("filled", F.lit(0))
+            top = F.greatest("high", F.coalesce("top", F.lit(-1)))
+            frontier, size = self._add(
+                before.select("node", filled.alias("filled"), top.alias("top"), "degree", F.when(filled == F.col("degree"), top + 1).alias("level"))
+            )
 
-def _sources(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).distinct()
+    def result(self) -> DataFrame:
+        return self.log.all().filter("level IS NOT NULL").select("node", "level")
 
 
-def _without(edges: DataFrame, placed: DataFrame) -> DataFrame:
-    """Edges whose ``dst`` is not among the placed nodes."""
-    done = placed.select(F.col("node").alias("dst"))
-    return edges.join(done, "dst", "left_anti").select("src", "dst")
+def _rows(degrees: DataFrame, filled: Column, top: Column) -> DataFrame:
+    """Rows of the log for nodes with nothing left to wait for."""
+    return degrees.select("node", filled.alias("filled"), top.alias("top"), "degree", (top + 1).cast("int").alias("level"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,13 +193,26 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ``nodes`` has one column ``node``; nodes of edges are added to it.
     """
     scratch = Scratch(edges.sparkSession, "levels")
-    edges, _ = scratch.save(edges, "edges")
+    edges, _ = scratch.save(edges.select("src", "dst"), "edges")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
-    everything, n_nodes = scratch.save(nodes.select("node").unionByName(ends).distinct(), "nodes")
-    placed, waiting, stuck = _peel(scratch, edges, everything, n_nodes)
-    if stuck:
-        inner = _inside(waiting, components(waiting))
-        acyclic, _ = scratch.save(edges.join(inner, ["src", "dst"], "left_anti"), "acyclic")
-        placed, _, _ = _peel(scratch, acyclic, everything, n_nodes)
+    everything = nodes.select("node").unionByName(ends).distinct()
+    needs = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    degrees, n_nodes = scratch.save(everything.join(needs, "node", "left").fillna(0, ["degree"]), "degrees")
+    peel = _Peel(scratch, degrees)
+    peel.run(edges, _rows(degrees.filter("degree = 0"), F.lit(0).cast("long"), F.lit(-1)))
+    if peel.placed < n_nodes:
+        # go on with the nodes that cycles hold, without the edges inside cycles
+        held, _ = scratch.save(degrees.join(peel.result(), "node", "left_anti"), "held")
+        known = held.select("node")
+        inner_ends = edges.join(known, edges["src"] == known["node"], "left_semi")
+        waiting, _ = scratch.save(inner_ends.join(known, inner_ends["dst"] == known["node"], "left_semi"), "between")
+        inner, _ = scratch.save(_inside(waiting, components(waiting)).distinct(), "inner")
+        ignored = waiting.join(inner, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("ignored"))
+        fewer = held.join(ignored, "node", "left").select("node", (F.col("degree") - F.coalesce("ignored", F.lit(0))).alias("degree"))
+        peel.degrees, _ = scratch.save(fewer, "degrees")
+        partly = peel.degrees.join(peel._partly(), "node", "left").fillna(0, ["filled"]).fillna(-1, ["top"])
+        free = partly.filter("filled = degree")
+        rest, _ = scratch.save(waiting.join(inner, ["src", "dst"], "left_anti"), "rest")
+        peel.run(rest, _rows(free, F.col("filled"), F.col("top")))
     scratch.forget_all()
-    return placed.all()
+    return peel.result()

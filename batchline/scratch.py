@@ -116,10 +116,10 @@ class Rounds:
         self._columns, self._round = columns, round_column
         self._empty = True
 
-    def add(self, df: DataFrame, number: int) -> tuple[DataFrame, int]:
-        """Write one round; return it read back and its row count."""
+    def add(self, df: DataFrame, number: int, counted: str = "true") -> tuple[DataFrame, int]:
+        """Write one round; return it read back and its count of rows (``counted``)."""
         path = f"{self._path}/{self._round}={number}"
-        size = _store(df, path, "true")
+        size = _store(df, path, counted)
         self._empty = False
         return self._spark.read.schema(self._columns).parquet(path), size
 
