@@ -61,6 +61,24 @@ def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_delimited(spark, paths, COMMENTS)
 
 
+def _headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for number, batch in enumerate(batches):
+        if number == 0:
+            yield pd.DataFrame({"value": ["id,name,note"]})
+        yield batch
+
+
+def csv_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers dropped with quotes inside plain fields and quoted line breaks of both kinds."""
+    drop = new_dir(spark, "drop")
+    broken = F.when(F.col("c_custkey") % 2 == 0, "\n").otherwise("\r\n")
+    line = F.format_string('%d,5" %s,"a ""b"",%s%d"', "c_custkey", "c_name", broken, "c_custkey")
+    rows = table(spark, sf_dir, "customer").select(line.alias("value"))
+    rows.mapInPandas(_headed, "value string").write.text(f"{drop}/lines")
+    paths = [row["path"] for row in spark.read.format("binaryFile").load(f"{drop}/lines").select("path").collect()]
+    return load_delimited(spark, paths, COMMENTS)
+
+
 def csv_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers dropped in three encodings."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -363,6 +381,7 @@ def python_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "csv_load": csv_load,
+    "csv_irregular": csv_irregular,
     "csv_encoding": csv_encoding,
     "xlsx_load": xlsx_load,
     "stream_ingest": stream_ingest,
@@ -396,6 +415,8 @@ _IN_REPLACED = "biz_time >= DATE '1996-01-10' AND biz_time < DATE '1996-03-20'"
 
 ORACLE = {
     "csv_load": f"WITH d AS ({_DUCK_DROPPED}) SELECT id, CASE WHEN name NOT IN {_TOKENS} THEN name END AS name, segment, note FROM d",
+    "csv_irregular": "SELECT CAST(c_custkey AS string) AS id, '5\" ' || c_name AS name, "
+    "'a \"b\",' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) ELSE chr(13) || chr(10) END || c_custkey AS note FROM customer",
     "csv_encoding": "SELECT CAST(c_custkey AS string) AS id, c_name || CASE WHEN c_custkey % 3 = 0 THEN ' 商é' "
     "WHEN c_custkey % 3 = 1 THEN ' 商' ELSE ' é' END AS name FROM customer",
     "xlsx_load": f"WITH d AS ({_DUCK_DROPPED}) SELECT id, CASE WHEN name NOT IN {_TOKENS} THEN name END AS name, segment FROM d",

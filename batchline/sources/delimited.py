@@ -2,7 +2,8 @@
 
 One scan of the raw lines finds, per file, its encoding, its header line and whether a
 quoted field spans lines. Files that agree on all three are read together, in splits. Only
-a file that has quoted line breaks and irregular quotes as well is read by one task.
+a file with quoted line breaks in which a lone carriage return ends lines is read by one task.
+A quoted field that is still open at the end of its file is an error.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from batchline.functions.values import drop_empty_rows, nullify_tokens
 from batchline.operators.headers import select_matched
-from batchline.sources.spanning import data_records, regular_paths
+from batchline.sources.spanning import data_records, headers, opens, place, with_lone_returns, without_mark
 
 # The encodings tried, in order, under their Java names.
 UTF8, GBK, LATIN1 = "UTF-8", "GBK", "ISO-8859-1"
@@ -43,6 +44,7 @@ class FileClass:
     header: tuple[str, ...]
     layout: str
     paths: tuple[str, ...]
+    placed: DataFrame | None = None
 
 
 @F.pandas_udf(T.BooleanType())
@@ -71,18 +73,17 @@ def classify(spark: SparkSession, paths: Sequence[str]) -> list[FileClass]:
     The result has one small row per file, no more than the list of paths itself.
     """
     value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
     # narrow rows before the grouping: only the first split of a file can hold its header
     facts = _raw_lines(spark, paths).select(
         "path",
         F.monotonically_increasing_id().alias("at"),
         F.is_valid_utf8(value).alias("utf8"),
-        (quotes % 2 == 1).alias("odd"),
+        opens(without_mark(value)).alias("opens"),
         F.when((F.col("block") == 0) & (F.trim(value) != ""), value.cast("binary")).alias("head"),
     )
     found = facts.groupBy("path").agg(
         F.every("utf8").alias("utf8"),
-        F.some("odd").alias("spans"),
+        F.some("opens").alias("spans"),
         F.min_by("head", F.when(F.col("head").isNotNull(), F.col("at"))).alias("head"),
     )
     rows = [row for row in found.collect() if row["head"] is not None]
@@ -94,34 +95,28 @@ def classify(spark: SparkSession, paths: Sequence[str]) -> list[FileClass]:
         gbk = {row["path"] for row in checked.collect() if row["gbk"]}
     encodings = {r["path"]: UTF8 if r["utf8"] else GBK if r["path"] in gbk else LATIN1 for r in rows}
     spanning = [r["path"] for r in rows if r["spans"]]
-    in_records: set[str] = set()
+    lone, placed, first = set(), {}, {}
     for encoding in sorted({encodings[path] for path in spanning}):
         _allow(spark, encoding)
         same = [path for path in spanning if encodings[path] == encoding]
-        in_records |= regular_paths(spark, same, encoding)
+        placed[encoding] = place(spark, same, encoding)
+        lone |= with_lone_returns(placed[encoding])
+        first |= headers(placed[encoding])
     groups: dict[tuple, list[str]] = {}
     for row in sorted(rows, key=lambda r: r["path"]):
         path, encoding = row["path"], encodings[row["path"]]
         text = bytes(row["head"]).decode(_PYTHON_NAME[encoding], errors="replace")
-        if row["spans"] and text.count('"') % 2 == 1:
-            text = _long_header(spark, path, encoding)
-        layout = LINES if not row["spans"] else RECORDS if path in in_records else WHOLE
+        if row["spans"]:
+            text = first[path]
+        layout = LINES if not row["spans"] else WHOLE if path in lone else RECORDS
         groups.setdefault((encoding, _field_names(text), layout), []).append(path)
-    return [FileClass(*key, tuple(files)) for key, files in groups.items()]
-
-
-def _long_header(spark: SparkSession, path: str, encoding: str) -> str:
-    """The header record of a file whose header itself has a quoted line break."""
-    record = _reader(spark, encoding, WHOLE).option("header", False).csv(path).head()
-    line = io.StringIO()
-    csv.writer(line).writerow(["" if v is None else v for v in record])
-    return line.getvalue()
+    return [FileClass(*key, tuple(files), placed.get(key[0])) for key, files in groups.items()]
 
 
 def _field_names(line: str) -> tuple[str, ...]:
     """Names of the header fields; empty and repeated ones get a number."""
     names: list[str] = []
-    for position, name in enumerate(next(csv.reader([line], strict=False))):
+    for position, name in enumerate(next(csv.reader(io.StringIO(line, newline=""), strict=False))):
         name = name or f"Unnamed: {position}"
         candidate, copies = name, 0
         while candidate in names:
@@ -152,8 +147,7 @@ def _read_class(spark: SparkSession, files: FileClass) -> DataFrame:
     names = [*(f"c{i}" for i in range(len(files.header))), _EXTRA]
     schema = ", ".join(f"{name} string" for name in names)
     if files.layout == RECORDS:
-        _allow(spark, files.encoding)
-        texts = data_records(spark, files.paths, files.encoding)
+        texts = data_records(files.placed, files.paths)
         rows = texts.select(F.from_csv("text", schema, _FIELDS).alias("r")).select("r.*")
     else:
         rows = _reader(spark, files.encoding, files.layout).schema(schema).csv(list(files.paths))

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import csv
 import io
+import random
 import zipfile
 
 import pytest
 
 from batchline.queries.loading import _workbook
-from batchline.sources import delimited, discovery, workbook
+from batchline.sources import delimited, discovery, spanning, workbook
 
 COMMENTS = {"id": "编号", "name": "名称", "note": "note"}
 
@@ -156,17 +158,73 @@ def test_a_large_file_with_line_breaks_is_read_in_splits(spark, tmp_path, encodi
 
 def test_lone_carriage_returns(spark, tmp_path):
     path = put(tmp_path, "mac.csv", b'id,note\r1,"a\rb"\r2,c\r')
-    assert [c.layout for c in delimited.classify(spark, [path])] == ["whole"]
+    assert [c.layout for c in delimited.classify(spark, [path])] == ["records"]
     assert [r[0] for r in load(spark, path)] == ["1", "2"]
 
 
-def test_irregular_quotes_are_read_in_order(spark, tmp_path):
+def test_irregular_quotes_are_read_in_splits(spark, tmp_path):
     body = "".join(f'{i},5" pipe {i},"a\nb"\n' for i in range(600))
     path = put(tmp_path, "odd.csv", ("id,name,note\n" + body).encode())
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        assert [c.layout for c in delimited.classify(spark, [path])] == ["whole"]
+        assert [c.layout for c in delimited.classify(spark, [path])] == ["records"]
         assert load(spark, path) == sorted([(str(i), f'5" pipe {i}', "a\nb") for i in range(600)], key=str)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("text", ['id,name\n1,a\n2,"open\n3,b\n4,c\n', 'id,name\n1,"a""\n', 'id,"na\nme'])
+def test_a_quote_that_is_never_closed_is_an_error(spark, tmp_path, text):
+    path = put(tmp_path, "open.csv", text.encode())
+    with pytest.raises(ValueError, match="not closed.*open.csv"):
+        load(spark, path)
+
+
+def test_line_breaks_in_quotes_stay_as_they_are(spark, tmp_path):
+    path = put(tmp_path, "crlf.csv", b'id,name,note\r\n1,"x\r\ny",5" z\r\n2,"a\nb",c\r\n')
+    assert load(spark, path) == [("1", "x\r\ny", '5" z'), ("2", "a\nb", "c")]
+
+
+def test_one_stray_quote_does_not_put_a_file_into_one_task(spark, tmp_path):
+    path = put(tmp_path, "stray.csv", ("id,name\n" + "".join(f'{i},{"5 inch" if i == 50 else "n"}{chr(34) * (i == 50)}\n' for i in range(3000))).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = delimited.load_delimited(spark, [path], COMMENTS)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 3000
+        assert df.filter("id = '50'").head()["name"] == '5 inch"'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("size", ["64", "1m"])
+def test_records_are_those_of_a_reader_in_order(spark, tmp_path, size):
+    """Random texts of quotes, commas and line breaks, in splits of any size."""
+    rnd, texts = random.Random(9), {}
+    while len(texts) < 25:
+        text = "h,i\n" + "".join(rnd.choice(['"', '"', ",", "\n", "a", "bb", '"x"', ',"', '",', '""']) for _ in range(120))
+        text = text.replace('\n"', '\nq,"') if rnd.random() < 0.5 else text
+        reader, begin, records = csv.reader(io.StringIO(text, newline="")), 0, []
+        lines = text.split("\n")
+        try:
+            for _ in reader:
+                records.append("\n".join(lines[begin : reader.line_num]))
+                begin = reader.line_num
+        except csv.Error:
+            continue
+        reopened = csv.reader(io.StringIO(text + "\n,end,", newline=""))
+        if [r for r in reopened][-1][-2:] != ["end", ""]:
+            continue  # a quote is open at the end
+        path = put(tmp_path, f"r{len(texts)}.csv", text.encode())
+        texts[path.removeprefix("file:")] = [r for r in records if r.strip(" ")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        placed = spanning.place(spark, [f"file:{p}" for p in texts], "UTF-8")
+        found = {}
+        for r in spanning.records(placed).orderBy("path", "first").collect():
+            found.setdefault("/" + r["path"].removeprefix("file:").lstrip("/"), []).append(r["text"])
+        assert found == texts
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
