@@ -3,18 +3,18 @@
 A text is its sequence of five-word shingles (of all its words, if fewer), each labelled with how
 often it has occurred before. A sketch takes the ``KEPT`` least labelled shingles under its own
 hash and keeps them in text order, so texts share a sketch only where the same shingles stand in
-the same order. ``SKETCHES`` of them are taken: a pair of similarity 0.8 shares none with
-probability 0.36**16.
+the same order. ``SKETCHES`` of them are taken, two to a bucket.
 
 Similarity is that of the best banded alignment of the labelled shingles: with M aligned out of
 m and n, M / (m + n - M); only shingles at places that differ by no more than a pair of the
 wanted similarity allows can be aligned. Pairs from 0.8 on are links, linked texts are a class.
 
-Texts with the same words are one node from the start. In every bucket (texts that share a
-sketch) each node is aligned with the bucket's least node: links grow with the nodes, not with
-the pairs. Where a bucket then still holds several classes, its nodes meet in narrower buckets
-(two shared sketches), cut into chunks of bounded size, and every pair of different classes that
-shares ``AGREED`` sketches is aligned as well. No bucket is capped.
+Texts with the same words are one node from the start. Every node is tied to the least node of
+each of its buckets if the two share ``AGREED`` sketches: ties grow with the nodes, not with the
+pairs, and what they connect is a cluster of candidates. Within a cluster every pair is considered:
+first by how many labelled shingles it shares (a product of two matrices of bounded size), then by
+alignment, unless the two are connected already. Large clusters are cut into chunks, with a cell
+for each two chunks; a cell yields a spanning forest of its links. Nothing is capped.
 
 Defined cases: a text without words, null included, is a class of its own; an empty table gives
 no rows; repeated rows are rows of one class; classes are named by their least ``doc_id``.
@@ -32,19 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchline.llm.common import by_bytes, mixed, saved, segments
+from batchline.llm.common import by_bytes, discard, mixed, saved, segments
 from batchline.llm.links import components
 from batchline.llm.words import words_of
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 16
+SKETCHES = 32
 KEPT = 2
-#: Sketches that a pair must share to be aligned beyond the first round: a pair of similarity 0.8
-#: shares fewer with probability 3e-5.
-AGREED = 3
-#: Nodes that are compared with one another at a time.
-CHUNK = 1000
+#: Sketches to a bucket: a pair of similarity 0.8 shares none of the 16 buckets with 2e-4.
+BAND = 2
+#: Sketches that a node must share with its bucket's least node to join that node's cluster.
+AGREED = 8
+#: Nodes of a cluster, and shingles, that are compared with one another at a time.
+CHUNK, SHINGLES = 1000, 4_000_000
+#: Different shingles that are counted at a time.
+COLUMNS = 4096
 AT_ONCE = 4 << 20
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -167,72 +170,95 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return best / (m + n - best)
 
 
-def verified(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The ``a, b`` whose aligned similarity is enough; ``shingles`` has ``node, shingles``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = shingles.join(ends, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
-    held = saved(wanted, "aligned-texts", compression="none")
-    both = pairs.join(held.toDF("a", "of_a"), "a").join(held.toDF("b", "of_b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = zip(batch.column("of_a"), batch.column("of_b"), strict=True)
-            enough = [aligned(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), similarity) >= similarity for x, y in texts]
-            yield batch.select(["a", "b"]).filter(pa.array(enough, pa.bool_()))
-
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
-
-
-def _unsettled(rows: DataFrame, *key: str) -> DataFrame:
-    """Buckets with more than one class in them, and their size."""
-    sizes = rows.groupBy(*key).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("size"))
-    return sizes.filter("least <> most").select(*key, "size")
-
-
-def _meeting(rows: DataFrame, agreed: int, similarity: float) -> DataFrame:
-    """Pairs of different classes in a chunk pair that share enough sketches."""
-
-    def compare(table: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        sketch = np.array([r[1] for r in table], np.int64)
-        n = np.array([r[2] for r in table], np.float64)
-        names = {c: k for k, c in enumerate(dict.fromkeys(r[3] for r in table))}
-        of_class = np.array([names[r[3]] for r in table])
-        chunk = np.array([r[4] for r in table])
-        low, high = chunk.min(), chunk.max()
-        for at in range(len(table)):
-            if low != high and chunk[at] != low:
-                continue
-            others = np.flatnonzero(chunk == high) if low != high else np.arange(at + 1, len(table))
-            others = others[of_class[others] != of_class[at]]
-            ratio = np.minimum(n[others], n[at]) / np.maximum(n[others], n[at])
-            others = others[ratio >= similarity]
-            same = (sketch[others] == sketch[at]).sum(axis=1)
-            for k in others[same >= agreed].tolist():
-                yield table[at][0], table[k][0]
+def agreeing(pairs: DataFrame, nodes: DataFrame, agreed: int = AGREED) -> DataFrame:
+    """The ``a, b`` that share enough sketches."""
+    of = {c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"of_{c}")) for c in ("a", "b")}
+    both = pairs.join(of["a"], "a").join(of["b"], "b")
+    shared = F.size(F.filter(F.zip_with("of_a", "of_b", lambda x, y: x == y), lambda same: same))
+    return both.filter(shared >= agreed).select("a", "b")
+
+
+def _shared(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many labelled shingles each of ``left`` has in common with each of ``right``."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    _, code, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    several = counts > 1
+    column = np.cumsum(several) - 1
+    held = several[code]
+    owner, code = owner[held], column[code[held]]
+    total = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for begin in range(0, int(several.sum()), COLUMNS):
+        a, b = np.searchsorted(code, [begin, begin + COLUMNS])
+        has = np.zeros((len(lists), COLUMNS), np.float32)
+        has[owner[a:b], code[a:b] - begin] = 1
+        total += has[left] @ has[right].T
+    return total
+
+
+def _links(table: list[tuple], similarity: float) -> Iterator[tuple[bytes, bytes]]:
+    """A spanning forest of the links in a cell: ``(node, shingles, chunk)`` of each row. Links are
+    between the two chunks of the cell, or within its only one."""
+    lists = [np.frombuffer(raw, "<u4") for _, raw, _ in table]
+    chunk = np.array([r[2] for r in table])
+    left, right = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
+    n = np.array([len(x) for x in lists], np.float64)
+    # what is aligned is shared, so pairs that share too little need no alignment
+    needed = similarity * (n[left][:, None] + n[right][None, :]) / (1 + similarity) - 1e-6
+    i, j = np.nonzero(_shared(lists, left, right) >= needed)
+    i, j = left[i], right[j]
+    if chunk.min() == chunk.max():
+        i, j = i[i < j], j[i < j]
+    root = list(range(len(table)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q and aligned(lists[x], lists[y], similarity) >= similarity:
+            root[max(p, q)] = min(p, q)
+            yield table[x][0], table[y][0]
+
+
+def verified(clusters: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``a, b`` (saved) that connect whatever is similar within a cluster.
+
+    ``clusters`` has ``node, cluster, n``; ``shingles`` has ``node, shingles``. A cluster is cut
+    into chunks of bounded size, with a cell for each two of them.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("all"))
+    chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("all") / SHINGLES)).cast("int")
+    sized = clusters.join(sizes, "cluster").withColumn("chunks", chunks)
+    dealt = sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "node", "chunk", F.xxhash64("cluster", F.least("chunk", "with"), F.greatest("chunk", "with")).alias("cell")
+    )
+    texts = shingles.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = None, []
-        found: list[tuple[bytes, bytes]] = []
 
         def out() -> pa.RecordBatch:
+            found = list(_links(held, similarity)) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            cells = batch.select(["cell"]).to_pydict()["cell"]
-            values = zip(*(batch.column(c).to_pylist() for c in ("node", "sketch", "n", "class", "chunk")), strict=True)
-            for cell, row in zip(cells, values, strict=True):
+            values = zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "shingles", "chunk")), strict=True)
+            for cell, *row in values:
                 if cell != own:
-                    found += compare(held) if held else ()
-                    own, held = cell, []
-                    if len(found) > 10_000:
+                    if held:
                         yield out()
-                        found.clear()
-                held.append(row)
-        found += compare(held) if held else ()
+                    own, held = cell, []
+                held.append(tuple(row))
         yield out()
 
-    dealt = rows.repartition(F.col("cell")).sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    together = cells.join(texts, "node").select("cell", "node", "shingles", "chunk")
+    return saved(together.repartition(F.col("cell")).sortWithinPartitions("cell", "node").mapInArrow(run, "a binary, b binary"), "links")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
@@ -242,36 +268,18 @@ def classes(docs: DataFrame, key: str = "doc_id", words: int = WORDS, similarity
     shingles = rows.filter("node IS NOT NULL").select("node", "shingles")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     nodes = saved(nodes, "nodes")
-    buckets = nodes.select("node", "n", F.posexplode("sketch").alias("number", "mark"))
-    # round 1: every node of a bucket with its least node
-    centres = buckets.groupBy("number", "mark").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    near = buckets.join(centres, ["number", "mark"]).filter("node <> c.node").filter(
-        F.least("n", "c.n") >= similarity * F.greatest("n", "c.n")
-    )
-    tested = saved(near.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct(), "pairs")
-    links = saved(verified(tested, shingles, similarity), "links")
-    found = saved(components(links), "classes")
-    # round 2: what different classes of a bucket still have to do with each other
-    label = F.coalesce("component", "node").alias("class")
-    classed = nodes.join(found, "node", "left").select("node", "n", "sketch", label)
-    single = classed.select("*", F.posexplode("sketch").alias("number", "mark"))
-    open_ = single.join(_unsettled(single, "number", "mark").drop("size"), ["number", "mark"])
-    second = open_.select("node", "n", "sketch", "class", "number", "mark", F.posexplode("sketch").alias("other", "other_mark")).filter("other > number")
-    narrow = ["number", "mark", "other", "other_mark"]
-    sized = second.join(_unsettled(second, *narrow), narrow)
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = sized.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cell = F.xxhash64(*narrow, F.least("chunk", "with"), F.greatest("chunk", "with"))
-    pairs = _meeting(dealt.select(cell.alias("cell"), "node", "sketch", "n", "class", "chunk"), AGREED, similarity)
-    ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = saved(ordered.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = saved(verified(rest, shingles, similarity), "more")
-        if not more.isEmpty():
-            found = saved(components(links.union(more)), "classes")
-    named = found.toDF("node", "class")
-    return rows.select("key", "node").join(named, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
+    # clusters of candidates: every node with the least node of each of its buckets
+    keys = [F.xxhash64(F.lit(b), F.slice("sketch", b * BAND + 1, BAND)) for b in range(sketches // BAND)]
+    buckets = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    centres = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    near = buckets.join(centres, "bucket").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    tied = saved(agreeing(near, nodes), "candidates")
+    clusters = saved(components(tied).withColumnRenamed("component", "cluster").join(nodes.select("node", "n"), "node"), "clusters")
+    links = verified(clusters, shingles, similarity)
+    found = saved(components(links), "classes").toDF("node", "class")
+    thin = saved(rows.select("key", "node"), "nodes-of-rows")
+    discard(rows, nodes, tied, clusters, links)
+    return thin.join(found, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -155,11 +155,11 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (r["doc_id"] == r["class_id"]) for r in got.values())
 
 
-@pytest.mark.parametrize(("narrow", "chunk"), [(1, 1000), (1, 3), (200, 1000)])
-def test_second_round_finds_what_the_least_node_misses(spark, monkeypatch, narrow, chunk):
+@pytest.mark.parametrize("chunk", [1000, 3])
+def test_chains_whatever_the_chunks(spark, monkeypatch, chunk):
     """Chains in which the ends are unlike: every cell size gives the same classes."""
-    monkeypatch.setattr(near_dup, "NARROW", narrow)
     monkeypatch.setattr(near_dup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dup, "COLUMNS", 4 * chunk)
     rows = []
     for g in range(6):
         words = cases.prose(40 + g, 200).split()
