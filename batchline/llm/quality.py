@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchline.llm.common import by_bytes, remainder, saved, segments
+from batchline.llm.common import by_bytes, remainder, saved
 from batchline.llm.words import Words, words_of
 
 #: Weight of the pooled covariance, and of the identity, in a class's covariance.
