@@ -46,6 +46,8 @@ BAND = 2
 AGREED = 8
 #: Nodes of a cluster, and shingles, that are compared with one another at a time.
 CHUNK, SHINGLES = 1000, 4_000_000
+#: Bits of the map of nodes in clusters: 16 MB.
+BITS = 1 << 27
 #: Different shingles that are counted at a time.
 COLUMNS = 4096
 AT_ONCE = 4 << 20
@@ -225,6 +227,19 @@ def _links(table: list[tuple], similarity: float) -> Iterator[tuple[bytes, bytes
             yield table[x][0], table[y][0]
 
 
+def _likely(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``node`` is in ``nodes``, and few others: a bitmap of node hashes, ``BITS``
+    long whatever the corpus, goes to every task, so that other rows are not shuffled."""
+
+    def hashed(frame: DataFrame) -> DataFrame:
+        at = F.pmod(F.xxhash64("node"), F.lit(BITS))
+        return frame.withColumns({"part": F.floor(at / 32768), "bit": at % 32768})
+
+    maps = hashed(nodes.select("node")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    marked = "shiftright(CAST(conv(hex(substring(bits, CAST(bit DIV 8 AS int) + 1, 1)), 16, 10) AS int), CAST(bit % 8 AS int)) & 1 = 1"
+    return hashed(rows).join(F.broadcast(maps), "part").filter(F.expr(marked)).drop("part", "bit", "bits")
+
+
 def verified(clusters: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``a, b`` (saved) that connect whatever is similar within a cluster.
 
@@ -238,7 +253,8 @@ def verified(clusters: DataFrame, shingles: DataFrame, similarity: float = SIMIL
     cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "node", "chunk", F.xxhash64("cluster", F.least("chunk", "with"), F.greatest("chunk", "with")).alias("cell")
     )
-    texts = shingles.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    # those that are not in a cluster after all find no cell
+    texts = _likely(shingles, clusters).groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = None, []
