@@ -5,7 +5,7 @@ one after the other. A batch is split into words by Arrow, its distinct words ar
 and the ids are gathered by word. Plain texts (ASCII and Latin letters, digits, marks) are
 lowered and cut by Arrow as the tokenizer cuts them, so that "The", "the" and "the," share one
 entry; in other texts the cut is made word by word, and words that are not plain go through the
-whole tokenizer. Per worker at most ``REMEMBERED`` words are kept (about 100 MB), after which the
+whole tokenizer. Per worker at most ``REMEMBERED`` words are kept (about 50 MB), after which the
 memory starts anew; results don't depend on it.
 """
 
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 from batchline.llm.common import by_bytes, segments, spread
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 4 << 20
 #: The id that ends a document.

@@ -37,7 +37,7 @@ FEATURES = 4096
 LEAST = 4
 #: Score from which a document is toxic, and from which a sentence is pointed out.
 THRESHOLD = 0.5
-AT_ONCE = 8 << 20
+AT_ONCE = 2 << 20
 
 
 def features_of(word: str) -> tuple[str, ...]:
