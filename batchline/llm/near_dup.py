@@ -9,9 +9,12 @@ Similarity is that of the best banded alignment of the labelled shingles: with M
 m and n, M / (m + n - M); only shingles at places that differ by no more than a pair of the
 wanted similarity allows can be aligned. Pairs from 0.8 on are links, linked texts are a class.
 
-Texts with the same words are one node from the start. Every node is tied to the least node of
-each of its buckets if the two share ``AGREED`` sketches: ties grow with the nodes, not with the
-pairs, and what they connect is a cluster of candidates. Within a cluster every pair is considered:
+Texts with the same words are one node from the start. Two nodes of a bucket that share ``AGREED``
+sketches are in one cluster of candidates. First every node is tied to the least node of each of its
+buckets: such ties grow with the nodes, not with the pairs. Where a bucket then still holds nodes of
+several clusters, all its nodes meet, chunk by chunk, and those of different clusters that share
+enough sketches are tied too: the least node may be a third text that only has a passage in common
+with them. Within a cluster every pair is considered:
 first by how many labelled shingles it shares (a product of two matrices of bounded size), then by
 alignment, unless the two are connected already. Large clusters are cut into chunks, with a cell
 for each two chunks; a cell yields a spanning forest of its links. Nothing is capped.
@@ -42,9 +45,9 @@ SKETCHES = 32
 KEPT = 2
 #: Sketches to a bucket: a pair of similarity 0.8 shares none of the 16 buckets with 2e-4.
 BAND = 2
-#: Sketches that a node must share with its bucket's least node to join that node's cluster.
+#: Sketches that two nodes of a bucket must share to be in one cluster.
 AGREED = 8
-#: Nodes of a cluster, and shingles, that are compared with one another at a time.
+#: Nodes of a bucket or a cluster, and shingles, that are compared with one another at a time.
 CHUNK, SHINGLES = 1000, 4_000_000
 #: Bits of the map of nodes in clusters: 16 MB.
 BITS = 1 << 27
@@ -180,6 +183,81 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, agreed: int = AGREED) -> DataFr
     return both.filter(shared >= agreed).select("a", "b")
 
 
+def _root(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _joining(sketch: np.ndarray, cluster: np.ndarray, chunk: np.ndarray, agreed: int) -> Iterator[tuple[int, int]]:
+    """Rows of a cell that share enough sketches, as many as connect their clusters. Compared are
+    rows of the cell's two chunks, or of its only one."""
+    left, right = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
+    same = np.zeros((len(left), len(right)), np.uint16)
+    for s in range(sketch.shape[1]):
+        same += sketch[left, s][:, None] == sketch[right, s][None, :]
+    i, j = np.nonzero((same >= agreed) & (cluster[left][:, None] != cluster[right][None, :]))
+    i, j = left[i], right[j]
+    root = list(range(int(cluster.max()) + 1))
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = _root(root, cluster[x]), _root(root, cluster[y])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            yield x, y
+
+
+def joining(met: DataFrame, clusters: DataFrame, nodes: DataFrame, agreed: int = AGREED) -> DataFrame:
+    """Ties ``a, b`` (saved) between clusters: nodes of one bucket that share enough sketches.
+
+    ``met`` has ``node, bucket`` without the least node of the bucket, which all others have met;
+    ``clusters`` has ``node, cluster`` of the nodes that are tied to another.
+    """
+    rows = met.join(clusters, "node", "left").select("node", "bucket", F.coalesce("cluster", "node").alias("cluster"))
+    sizes = rows.groupBy("bucket").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.count("*").alias("size"))
+    several = sizes.filter("least <> most").select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    dealt = rows.join(several, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "node", "cluster", "chunk", F.xxhash64("bucket", F.least("chunk", "with"), F.greatest("chunk", "with")).alias("cell")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, found = None, [], []
+
+        def compare() -> None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            node = table.column("node")
+            cluster = table.column("cluster").combine_chunks().dictionary_encode().indices.to_numpy()
+            sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            pairs = _joining(sketch, cluster, table.column("chunk").to_numpy(), agreed)
+            found.extend((node[x].as_py(), node[y].as_py()) for x, y in pairs)
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+            found.clear()
+            return batch
+
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if begin == end:
+                    continue
+                if cell[begin] != own:
+                    if held:
+                        compare()
+                    own, held = cell[begin], []
+                    if len(found) > 10_000:
+                        yield out()
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            compare()
+        yield out()
+
+    together = cells.join(nodes.select("node", "sketch"), "node").select("cell", "node", "cluster", "sketch", "chunk")
+    return saved(together.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary"), "joining")
+
+
 def _shared(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many labelled shingles each of ``left`` has in common with each of ``right``."""
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -213,15 +291,8 @@ def _links(table: list[tuple], similarity: float) -> Iterator[tuple[bytes, bytes
     if chunk.min() == chunk.max():
         i, j = i[i < j], j[i < j]
     root = list(range(len(table)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = find(x), find(y)
+        p, q = _root(root, x), _root(root, y)
         if p != q and aligned(lists[x], lists[y], similarity) >= similarity:
             root[max(p, q)] = min(p, q)
             yield table[x][0], table[y][0]
@@ -284,17 +355,23 @@ def classes(docs: DataFrame, key: str = "doc_id", words: int = WORDS, similarity
     shingles = rows.filter("node IS NOT NULL").select("node", "shingles")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     nodes = saved(nodes, "nodes")
-    # clusters of candidates: every node with the least node of each of its buckets
+    # clusters of candidates: first every node with the least node of each of its buckets
     keys = [F.xxhash64(F.lit(b), F.slice("sketch", b * BAND + 1, BAND)) for b in range(sketches // BAND)]
     buckets = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    near = buckets.join(centres, "bucket").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    met = saved(buckets.join(centres, "bucket").filter("node <> b"), "buckets")
+    near = met.select(F.col("node").alias("a"), "b").distinct()
     tied = saved(agreeing(near, nodes), "candidates")
-    clusters = saved(components(tied).withColumnRenamed("component", "cluster").join(nodes.select("node", "n"), "node"), "clusters")
+    stars = saved(components(tied).toDF("node", "cluster"), "stars")
+    # nodes of a bucket that did not come together through its least node
+    more = joining(met, stars, nodes)
+    whole = stars if more.isEmpty() else components(stars.toDF("a", "b").union(more)).toDF("node", "cluster")
+    clusters = saved(whole.join(nodes.select("node", "n"), "node"), "clusters")
+    discard(met, tied, stars, more)
     links = verified(clusters, shingles, similarity)
     found = saved(components(links), "classes").toDF("node", "class")
     thin = saved(rows.select("key", "node"), "nodes-of-rows")
-    discard(rows, nodes, tied, clusters, links)
+    discard(rows, nodes, clusters, links)
     return thin.join(found, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
 
 

@@ -172,6 +172,42 @@ def test_chains_whatever_the_chunks(spark, monkeypatch, chunk):
     assert got == {d: want[i] for i, (d, _) in enumerate(rows)}
 
 
+def test_pair_whose_buckets_have_a_third_text_as_least_node(spark):
+    """Every bucket that the pair shares is led by a text that has only a few shingles of it."""
+    rng, width = np.random.default_rng(11), near_dup.BAND
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9))
+    sketches = lambda texts: {r["key"]: r for r in near_dup.sketched(cases.documents(spark, texts)).drop("shingles").collect()}
+    bands = lambda row: [tuple(row["sketch"][k : k + width]) for k in range(0, near_dup.SKETCHES, width)]
+    agree = lambda p, q: sum(x == y for x, y in zip(p["sketch"], q["sketch"], strict=True))
+    x = [word() for _ in range(104)]
+    pairs = [[(2 * k, " ".join(x + [tail])), (2 * k + 1, " ".join([*x[:20], "other", *x[21:60], "other", *x[61:], tail]))] for k, tail in enumerate(word() for _ in range(30))]
+    rows = sketches([t for pair in pairs for t in pair])
+    # the pair whose lesser node is greatest, so that there is room for lesser ones
+    own = max(range(30), key=lambda k: min(rows[2 * k]["node"], rows[2 * k + 1]["node"]))
+    pair, (p, q) = pairs[own], (rows[2 * own], rows[2 * own + 1])
+    assert similarity(*(labelled(text) for _, text in pair)) >= 0.8
+    words = pair[0][1].split()
+    value = near_dup._shingles(np.fromiter(map(near_dup.xxhash.xxh64_intdigest, words), np.uint64), np.array([0, len(words)]), near_dup.WORDS)[0]
+    shared = [b for b, (m, n) in enumerate(zip(bands(p), bands(q), strict=True)) if m == n]
+    assert shared
+    tries = []
+    for b in shared:
+        least = [np.argsort(near_dup.mixed(value ^ near_dup.mixed(np.array([s + 1], np.uint64))))[: near_dup.KEPT] for s in range(b * width, b * width + width)]
+        places = sorted({int(i) for at in least for i in at})
+        for _ in range(100):
+            text = [w for i in places for w in (*words[i : i + near_dup.WORDS], word())]
+            tries.append((1000 + len(tries), " ".join(text), b))
+    found = sketches([t[:2] for t in tries])
+    third = {}
+    for doc, text, b in tries:
+        r = found[doc]
+        if bands(r)[b] == bands(p)[b] and r["node"] < min(p["node"], q["node"]) and max(agree(r, p), agree(r, q)) < near_dup.AGREED:
+            third[b] = (doc, text)
+    assert set(third) == set(shared)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.report(cases.documents(spark, pair + list(third.values()))).collect()}
+    assert got[2 * own] == got[2 * own + 1] == 2 * own and all(got[doc] >= 1000 for doc, _ in third.values())
+
+
 def test_alignment_keeps_order_and_band():
     rnd = np.random.default_rng(7)
     for _ in range(60):
