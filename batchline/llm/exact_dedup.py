@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchline.llm.common import BLANK, discard, saved
-from batchline.scratch import new_dir, settings
+from batchline.scratch import ANY_AGE, new_dir, settings
 
 #: Micro-batches that the files of a backlog are dealt to.
 BATCHES = 3
@@ -69,7 +69,8 @@ def remember(spark: SparkSession, path: str, schema: T.StructType, batches: int
 
     # written as a pattern, the path may be one file as well as a folder
     pattern = f"{path[:-1]}[{path[-1]}]"
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, math.ceil(files / batches))).parquet(pattern)
+    options = {"maxFilesPerTrigger": max(1, math.ceil(files / batches)), "maxFileAge": ANY_AGE}
+    source = spark.readStream.schema(schema).options(**options).parquet(pattern)
     state = _rows(source, digest).groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     with settings(spark, **_STATE):
         query = (

@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: For file streams: Spark passes over files that are older than this against the newest one seen,
+#: after 7 days if nothing is said. No file is that old.
+ANY_AGE = "365000d"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local session without one gets a temporary folder."""
     context = spark.sparkContext

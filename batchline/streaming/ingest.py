@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from batchline.functions.periods import naive
 from batchline.functions.values import load_stamp
 from batchline.operators.headers import column_comments
-from batchline.scratch import FileSystem
+from batchline.scratch import ANY_AGE, FileSystem
 from batchline.sinks.tables import quoted
 from batchline.sinks.writes import aligned, partition_columns
 from batchline.sources.files import load_files
@@ -106,6 +106,7 @@ def ingest(
     names = (
         spark.readStream.format("binaryFile").schema(_FILES)
         .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", ANY_AGE)
         .load(drop).select("path")
     )
     query = (

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -82,6 +85,18 @@ def test_state_goes_on_with_new_files(spark):
     assert sorted((r["first"]["doc_id"], r["n"]) for r in state) == [(1, 2), (6, 1), (7, 1)]
 
 
+def test_state_takes_late_files_of_an_old_time(spark):
+    folder, path = folder_of(cases.documents(spark, [])), folder_of(cases.documents(spark, [(5, "a")]))
+    schema = cases.documents(spark, []).schema
+    exact_dedup.remember(spark, path, schema, folder=folder).collect()
+    before = set(Path(path).glob("*.parquet"))
+    cases.documents(spark, [(1, "a"), (7, "c")]).write.mode("append").parquet(path)
+    for late in set(Path(path).glob("*.parquet")) - before:
+        os.utime(late, (time.time() - 30 * 86400,) * 2)
+    state = exact_dedup.remember(spark, path, schema, folder=folder).collect()
+    assert sorted((r["first"]["doc_id"], r["n"]) for r in state) == [(1, 2), (7, 1)]
+
+
 # --- near duplicates
 
 

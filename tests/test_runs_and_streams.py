@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+import time
 from datetime import date, datetime
 
 import pytest
@@ -147,6 +149,17 @@ def test_each_file_once_then_archived(spark, tmp_path, ingested):
     assert {r["created_at"] for r in spark.table(ingested).collect()} == {datetime(2024, 1, 1)}
 
 
+def test_a_late_file_of_an_old_time_is_loaded(spark, tmp_path, ingested):
+    drop, archive, checkpoint = tmp_path / "drop", tmp_path / "archive", new_dir(spark, "checkpoint")
+    drop.mkdir()
+    run = lambda: stream.ingest(spark, f"file:{drop}", ingested, checkpoint, archive=f"file:{archive}")
+    (drop / "new.csv").write_text("id\n1\n")
+    assert run() == 1
+    (drop / "old.csv").write_text("id\n2\n")
+    os.utime(drop / "old.csv", (time.time() - 30 * 86400,) * 2)
+    assert run() == 1 and ids(spark, ingested) == [1, 2] and not list(drop.glob("*.csv"))
+
+
 def test_a_failing_batch_is_replayed_once(spark, tmp_path, ingested):
     drop, checkpoint = tmp_path / "drop", new_dir(spark, "checkpoint")
     drop.mkdir()
