@@ -128,14 +128,16 @@ def fit(bag: Bags, toxic: np.ndarray, features: int, steps: int = 400, rate: flo
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> DataFrame:
-    """``text, toxic`` of labelled rows that are not held out, ``most`` at most, by hash."""
+    """``text, toxic`` of labelled documents that are not held out, ``most`` at most, by hash; of
+    rows that share a ``doc_id`` the one with the least text."""
     told = (
         labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .filter(remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     some = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # ``most`` rows of two numbers: small enough to send to the texts
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

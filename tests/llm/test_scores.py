@@ -187,3 +187,11 @@ def test_language_awkward_rows(spark):
     no_lang = cases.table(spark, [(i, t, None, s, n, x, y, z) for i, t, _, s, n, x, y, z in cases.awkward()])
     assert {r["lang_pred"] for r in language.report(no_lang).collect()} == {"und"}
     assert language.report(cases.table(spark, [])).collect() == []
+
+
+def test_training_rows_are_bounded_where_doc_ids_repeat(spark):
+    own = [i for i in range(200) if rest(i, 5)][:20]
+    docs = cases.documents(spark, [(i, f"text {i}") for i in own] + [(own[0], f"again {k}") for k in range(300)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in own], LABELS)
+    rows = toxicity.training_rows(docs, labels, 20).collect()
+    assert len(rows) == 20 and {r["text"] for r in rows} == {"again 0", *(f"text {i}" for i in own[1:])}
