@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from batchline.llm.common import by_bytes, mixed, remainder, saved, segments
 from batchline.llm.words import Words, words_of
+from batchline.scratch import settings
 
 TRAIN = 4000
 GRAMS = (3, 4, 5)
@@ -169,7 +170,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, most: int = TRAIN, share: float = SHARE) -> Filters:
-    rows = saved(training_rows(docs, most), "language-training")
+    # Spark applies a rank limit before the shuffle only up to a threshold, 1000 if nothing is said
+    with settings(docs.sparkSession, spark__sql__optimizer__windowGroupLimitThreshold=str(max(most, 1000))):
+        rows = saved(training_rows(docs, most), "language-training")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("docs"))
     counted = rows.mapInArrow(_frequencies, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept = counted.join(sizes, "lang").filter((F.col("n") >= share * F.col("docs"))).select("lang", "gram")

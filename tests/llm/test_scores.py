@@ -195,3 +195,10 @@ def test_training_rows_are_bounded_where_doc_ids_repeat(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in own], LABELS)
     rows = toxicity.training_rows(docs, labels, 20).collect()
     assert len(rows) == 20 and {r["text"] for r in rows} == {"again 0", *(f"text {i}" for i in own[1:])}
+
+
+def test_language_rank_is_limited_before_the_shuffle(spark, monkeypatch):
+    plans, write = [], language.saved
+    monkeypatch.setattr(language, "saved", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or write(df, label))
+    language.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang"))
+    assert len(plans) == 1 and "WindowGroupLimit" in plans[0]
