@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,6 +122,12 @@ def _plan_key(plans: DataFrame) -> list[str]:
     return [c for c in PLAN_KEY if c in plans.columns]
 
 
+def _same_plan(key: Sequence[str], found: str) -> Column:
+    """The row's plan is that of the struct ``found``; times and run may be null in a log."""
+    same = [F.col(c) == F.col(f"{found}.{c}") if c in PLAN_KEY[:2] else F.col(c).eqNullSafe(F.col(f"{found}.{c}")) for c in key]
+    return reduce(and_, same)
+
+
 def latest_as_of(requests: DataFrame, plans: DataFrame) -> DataFrame:
     """For ``dag_id, ds`` the latest plan of that date, else of the nearest earlier date.
 
@@ -140,9 +148,10 @@ def latest_as_of(requests: DataFrame, plans: DataFrame) -> DataFrame:
     asof = carried.select("dag_id", F.col("day").alias("ds"), "found.*")
     matched = requests.join(asof, ["dag_id", "ds"], "left")
     parts = [c for c in ("part", "parts") if c in plans.columns]
-    wanted = plans.join(matched.select(*key).distinct(), key, "left_semi")
-    documents = wanted.select(*key, *parts, "plan")
-    return matched.join(documents, key, "left").select(
+    of_plan = F.struct(*key).alias("of_plan")
+    wanted = plans.join(matched.select(of_plan).distinct(), _same_plan(key, "of_plan"), "left_semi")
+    documents = wanted.select(of_plan, *parts, "plan")
+    return matched.join(documents, _same_plan(key, "of_plan"), "left").select(
         *requests.columns, "exec_date", "logical_date", "run_id", *parts, "plan"
     )
 
@@ -152,7 +161,7 @@ def latest_for(plans: DataFrame, dag_id: str, ds: str) -> DataFrame:
     known = plans.filter((F.col("dag_id") == dag_id) & (F.col("exec_date") <= F.lit(ds).cast("date")))
     key = _plan_key(plans)
     newest = known.agg(F.max(F.struct(*key[1:])).alias("found")).select(F.lit(dag_id).alias("dag_id"), "found.*")
-    return known.join(newest, key, "left_semi")
+    return known.join(newest.select(F.struct(*key).alias("of_plan")), _same_plan(key, "of_plan"), "left_semi")
 
 
 def keep_latest(plans: DataFrame, keep: int = KEEP_COUNT) -> DataFrame:

@@ -195,6 +195,14 @@ def test_retention_keeps_whole_plans(spark):
     assert documents.keep_latest(log, 0).count() == 56
 
 
+def test_as_of_finds_a_plan_without_create_time(spark):
+    log = _logged(spark, [("r1", 1)], 3).withColumn("create_time", F.lit(None).cast("timestamp_ntz"))
+    asked = spark.createDataFrame([("d", date(2024, 3, 9)), ("d", date(2024, 1, 1))], "dag_id string, ds date")
+    found = documents.latest_as_of(asked, log).collect()
+    assert sorted((str(r["ds"]), r["plan"] or "") for r in found) == [("2024-01-01", ""), *(("2024-03-09", f"r1 1 {i}") for i in range(3))]
+    assert documents.latest_for(log, "d", "2024-03-09").count() == 3
+
+
 def test_as_of_finds_all_parts_of_one_saved_plan(spark):
     log = _logged(spark, [("r1", 1), ("r2", 2), ("r2", 5)], 6)  # r2 saved its plan twice
     asked = spark.createDataFrame([("d", date(2024, 3, 9)), ("d", date(2024, 1, 1)), ("x", DAY)], "dag_id string, ds date")
