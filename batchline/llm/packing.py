@@ -6,7 +6,8 @@ the corpus). A configuration is a multiset of lengths that fits one sequence. It
 has a weight that falls as it is covered; a knapsack table over the capacity, filled by dynamic
 programming, prices the best configuration for each length that is behind; the configurations
 enter with a step of the scarcest length in them. The result is rounded down and the rest goes
-through the same program again; the last few thousand pieces are placed best fit. Only the
+through the same program again; 20,000 pieces or fewer, a whole table of that size included, are
+placed best fit, and a rest above 200,000 as copies of a best fit of a fraction of it. Only the
 histogram and the configurations are on the driver. On the executors each piece gets its rank
 among pieces of its length (counted per hash bucket, so that a length that a third of all pieces
 have is spread) and looks its sequence up by (length, rank).
