@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchline.llm import exact_dedup, language, lengths, mixing, near_dup, packing, quality, rans, toxicity, vectors
+from batchline.llm import clusters, exact_dedup, language, lengths, mixing, near_dup, packing, quality, rans, toxicity, vectors
 from batchline.llm.common import table
 
 
@@ -50,11 +50,16 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(table(spark, sf_dir, "documents")))
 
 
+def op12_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_quadratic_discriminant, op2_best_fit_packing, op3_curriculum_mix, op4_rans_tokens, op5_order_minhash,
         op6_noisy_or_toxicity, op7_stream_dedup, op8_language_filters, op9_subspace_join, op10_length_histogram,
+        op12_simplex_clusters,
     )
 }
 ORACLE: dict[str, str] = {
@@ -66,4 +71,5 @@ ORACLE: dict[str, str] = {
           count(*) OVER (PARTITION BY text_sha256) AS group_size,
           doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM digests""",
+    "op12_simplex_clusters": clusters.oracle(),
 }
