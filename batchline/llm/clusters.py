@@ -249,7 +249,7 @@ def oracle(centroids: int = CENTROIDS, rounds: int = ROUNDS, salt: int = SALT, w
     """The rows of ``report`` as SQL: every round compares every vector with every centroid."""
     step = """,
         a{i} AS (SELECT vec_id, v, arg_min(c, (dist, c)) AS cluster, min(dist) AS distance FROM (
-            SELECT k.vec_id, k.r, k.v, c{i}.c, list_sum(list_transform(list_zip(k.v, c{i}.v), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist
+            SELECT k.vec_id, k.r, k.v, c{i}.c, list_sum([(k.v[i] - c{i}.v[i]) * (k.v[i] - c{i}.v[i]) for i in range(1, {width} + 1)])::BIGINT AS dist
             FROM kept k, c{i}) GROUP BY r, vec_id, v)"""
     move = """,
         m{i} AS (SELECT cluster, place, sum(x) AS s, count(*) AS n FROM (
@@ -257,12 +257,12 @@ def oracle(centroids: int = CENTROIDS, rounds: int = ROUNDS, salt: int = SALT, w
         c{j} AS (SELECT c, coalesce((SELECT list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) FROM m{i} WHERE m{i}.cluster = c{i}.c), v) AS v FROM c{i})"""
     text = f"""
         WITH kept AS (
-            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-            WHERE len(embedding) = {width} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            SELECT row_number() OVER () AS r, vec_id, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+            WHERE len(embedding) = {width} AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
         c0 AS (SELECT (row_number() OVER (ORDER BY sha256('{salt}:' || vec_id)))::INTEGER - 1 AS c, v FROM kept ORDER BY c LIMIT {centroids})"""
     for i in range(rounds):
-        text += step.format(i=i) + move.format(i=i, j=i + 1, width=width)
-    text += step.format(i=rounds)
+        text += step.format(i=i, width=width) + move.format(i=i, j=i + 1, width=width)
+    text += step.format(i=rounds, width=width)
     return text + f"""
         SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
             (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
