@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchline.llm import clusters, exact_dedup, language, lengths, mixing, near_dup, packing, quality, rans, repeats, toxicity, vectors
+from batchline.llm import clusters, exact_dedup, language, lengths, mixing, near_dup, packing, quality, rans, repeats, toxicity, url_templates, vectors
 from batchline.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(table(spark, sf_dir, "documents")))
 
 
+def op11_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.report(table(spark, sf_dir, "pages"))
+
+
 def op12_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.report(table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_quadratic_discriminant, op2_best_fit_packing, op3_curriculum_mix, op4_rans_tokens, op5_order_minhash,
         op6_noisy_or_toxicity, op7_stream_dedup, op8_language_filters, op9_subspace_join, op10_length_histogram,
-        op12_simplex_clusters, op13_grammar_runs,
+        op11_path_templates, op12_simplex_clusters, op13_grammar_runs,
     )
 }
 ORACLE: dict[str, str] = {
