@@ -20,7 +20,7 @@ from batchline.plans import transforms
 from batchline.plans.loads import copy_source
 from batchline.plans.templates import run_statement, run_statements
 from batchline.queries import scratch_table
-from batchline.scratch import new_dir
+from batchline.scratch import FileSystem, new_dir
 from batchline.sinks import writes
 from batchline.sinks.tables import create_like, create_table
 from batchline.sources.database import window_scan
@@ -145,6 +145,24 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(target).select("id", "name", "segment", "create_time")
 
 
+def stream_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers dropped in three turns under the same file names, each archived once loaded."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_name", F.col("c_mktsegment").alias("segment"))
+    drop, archive, target = new_dir(spark, "drop"), new_dir(spark, "archive"), scratch_table(spark, "recurring")
+    create_table(
+        spark, target, spark.createDataFrame([], "id bigint, c_name string, segment string, create_time timestamp_ntz, ingest_batch bigint").schema,
+        ["ingest_batch"],
+    )
+    checkpoint, files = new_dir(spark, "checkpoint"), FileSystem(spark)
+    for turn in range(3):
+        written = new_dir(spark, f"turn{turn}")
+        _csv(rows.filter(F.col("id") % 3 == turn), written)
+        for number, path in enumerate(find_files(spark, written, "*.csv")):
+            files.move(path, f"{drop}/customers{number}.csv")
+        ingest(spark, drop, target, checkpoint, archive=archive, relative="customers", stamp=STAMP)
+    return spark.table(target).select("id", F.col("c_name").alias("name"), "segment", "create_time", (F.col("ingest_batch") >= 0).alias("batched"))
+
+
 def full_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders copied into a table created like them, stamped."""
     target = scratch_table(spark, "copy")
@@ -385,6 +403,7 @@ QUERIES = {
     "csv_encoding": csv_encoding,
     "xlsx_load": xlsx_load,
     "stream_ingest": stream_ingest,
+    "stream_recurring": stream_recurring,
     "full_copy": full_copy,
     "window_copy": window_copy,
     "create_like": create_like_query,
@@ -421,6 +440,7 @@ ORACLE = {
     "WHEN c_custkey % 3 = 1 THEN ' 商' ELSE ' é' END AS name FROM customer",
     "xlsx_load": f"WITH d AS ({_DUCK_DROPPED}) SELECT id, CASE WHEN name NOT IN {_TOKENS} THEN name END AS name, segment FROM d",
     "stream_ingest": f"SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, {STAMP_SQL} AS create_time FROM customer",
+    "stream_recurring": f"SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, {STAMP_SQL} AS create_time, true AS batched FROM customer",
     "full_copy": f"SELECT *, {_AUDIT} FROM orders",
     "window_copy": f"SELECT o_orderkey, o_orderdate, {STAMP_SQL} AS create_time FROM orders "
     "WHERE o_orderdate >= DATE '1996-04-01' AND o_orderdate < DATE '1996-07-01'",

@@ -185,8 +185,10 @@ def test_a_file_that_vanishes_is_an_error_and_the_others_are_loaded(spark, tmp_p
         run()
     assert ids(spark, ingested) == [1, 3] and len(list(drop.glob("*.csv"))) == 3  # loaded, nothing archived yet
     monkeypatch.undo()
-    assert run() == 1  # the replay finds the mark: archives what was loaded, and only that
-    assert ids(spark, ingested) == [1, 3] and [p.name for p in drop.glob("*.csv")] == ["2.csv"]
+    archived = []
+    monkeypatch.setattr(stream, "archive_files", lambda session, paths, *rest: archived.append([p[-5:] for p in paths]))
+    assert run() == 2  # what was loaded is only archived; the file is back, and loaded
+    assert archived == [["1.csv", "3.csv"], ["2.csv"]] and ids(spark, ingested) == [1, 2, 3]
 
 
 def test_a_replay_after_the_write_does_not_lose_rows(spark, tmp_path, ingested, monkeypatch):
@@ -208,6 +210,50 @@ def test_a_replay_after_the_write_does_not_lose_rows(spark, tmp_path, ingested,
     assert run() == 1 and ids(spark, ingested) == [1, 2] and not list(drop.glob("*.csv"))
 
 
+def test_a_name_that_recurs_is_loaded_each_time(spark, tmp_path, ingested):
+    drop, archive, checkpoint = tmp_path / "drop", tmp_path / "archive", new_dir(spark, "checkpoint")
+    drop.mkdir()
+    run = lambda: stream.ingest(spark, f"file:{drop}", ingested, checkpoint, archive=f"file:{archive}")
+    for turn in (1, 2, 3):
+        (drop / "sales.csv").write_text(f"id\n{turn}\n")
+        os.utime(drop / "sales.csv", (1_700_000_000,) * 2)  # the same time and length as before
+        assert run() == 1 and not list(drop.glob("*.csv"))
+    assert run() == 0 and ids(spark, ingested) == [1, 2, 3]
+    assert len([p for p in archive.rglob("sales_*.csv")]) == 3
+    assert stream.Ledger(spark, checkpoint).entries().count() == 0  # nothing is left in the drop
+
+
+def test_the_ledger_holds_what_is_in_the_drop(spark, tmp_path, ingested):
+    drop, checkpoint = tmp_path / "drop", new_dir(spark, "checkpoint")
+    drop.mkdir()
+    run = lambda n: stream.ingest(spark, f"file:{drop}", ingested, checkpoint, files_per_batch=n)
+    for i in range(5):
+        (drop / f"{i}.csv").write_text(f"id\n{i}\n")
+    assert run(2) == 3 and run(2) == 0
+    ledger = stream.Ledger(spark, checkpoint)
+    assert (ledger.done, ledger.entries().count(), len(ledger.entries().inputFiles())) == (2, 5, 1)
+    for i in (0, 1, 2):
+        (drop / f"{i}.csv").unlink()
+    (drop / "3.csv").write_text("id\n33\n")  # a new version under a known name
+    assert run(2) == 1 and ids(spark, ingested) == [0, 1, 2, 3, 4, 33]
+    ledger = stream.Ledger(spark, checkpoint)
+    assert sorted(r["path"][-5:] for r in ledger.entries().collect()) == ["3.csv", "4.csv"] and ledger.done == 3
+
+
+def test_a_stop_after_the_entry_neither_loads_again_nor_loses(spark, tmp_path, ingested, monkeypatch):
+    drop, archive, checkpoint = tmp_path / "drop", tmp_path / "archive", new_dir(spark, "checkpoint")
+    drop.mkdir()
+    run = lambda: stream.ingest(spark, f"file:{drop}", ingested, checkpoint, archive=f"file:{archive}")
+    (drop / "a.csv").write_text("id\n1\n")
+    finish = stream.Ledger.finish
+    monkeypatch.setattr(stream.Ledger, "finish", lambda self, batch: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(RuntimeError):
+        run()
+    monkeypatch.setattr(stream.Ledger, "finish", finish)
+    (drop / "a.csv").write_text("id\n22\n")  # the next file of that name is already there
+    assert run() == 2 and ids(spark, ingested) == [1, 22] and not list(drop.glob("*.csv"))
+
+
 def test_archive_path():
     assert stream.archive_path("/arc/", "in/x", date(2024, 1, 2), "file:/d/a.b.csv", 7) == "/arc/in/x/2024-01-02/a.b_7.csv"
     assert stream.archive_path("/arc", "", date(2024, 1, 2), "plain", 7) == "/arc/2024-01-02/plain_7"
