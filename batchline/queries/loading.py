@@ -79,6 +79,18 @@ def csv_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_delimited(spark, paths, COMMENTS)
 
 
+def csv_lone_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers dropped with records that end in a carriage return, and quoted breaks of all kinds."""
+    drop = new_dir(spark, "drop")
+    kind = F.col("c_custkey") % 3
+    broken = F.when(kind == 0, "\n").when(kind == 1, "\r\n").otherwise("\r")
+    line = F.format_string('%d,%s,"a%sb, ""c"""', "c_custkey", "c_name", broken)
+    rows = table(spark, sf_dir, "customer").select(line.alias("value"))
+    rows.mapInPandas(_headed, "value string").write.option("lineSep", "\r").text(f"{drop}/lines")
+    paths = [row["path"] for row in spark.read.format("binaryFile").load(f"{drop}/lines").select("path").collect()]
+    return load_delimited(spark, paths, COMMENTS)
+
+
 def csv_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers dropped in three encodings."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -400,6 +412,7 @@ def python_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "csv_load": csv_load,
     "csv_irregular": csv_irregular,
+    "csv_lone_return": csv_lone_return,
     "csv_encoding": csv_encoding,
     "xlsx_load": xlsx_load,
     "stream_ingest": stream_ingest,
@@ -436,6 +449,8 @@ ORACLE = {
     "csv_load": f"WITH d AS ({_DUCK_DROPPED}) SELECT id, CASE WHEN name NOT IN {_TOKENS} THEN name END AS name, segment, note FROM d",
     "csv_irregular": "SELECT CAST(c_custkey AS string) AS id, '5\" ' || c_name AS name, "
     "'a \"b\",' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) ELSE chr(13) || chr(10) END || c_custkey AS note FROM customer",
+    "csv_lone_return": "SELECT CAST(c_custkey AS string) AS id, c_name AS name, "
+    "'a' || CASE c_custkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) || chr(10) ELSE chr(13) END || 'b, \"c\"' AS note FROM customer",
     "csv_encoding": "SELECT CAST(c_custkey AS string) AS id, c_name || CASE WHEN c_custkey % 3 = 0 THEN ' 商é' "
     "WHEN c_custkey % 3 = 1 THEN ' 商' ELSE ' é' END AS name FROM customer",
     "xlsx_load": f"WITH d AS ({_DUCK_DROPPED}) SELECT id, CASE WHEN name NOT IN {_TOKENS} THEN name END AS name, segment FROM d",

@@ -162,6 +162,14 @@ class FileSystem:
     def size(self, path: str) -> int:
         return self._fs(path).getFileStatus(self._path(path)).getLen()
 
+    def start(self, path: str, most: int) -> bytes:
+        """The first bytes of a file."""
+        stream = self._fs(path).open(self._path(path))
+        try:
+            return bytes(stream.readNBytes(most))
+        finally:
+            stream.close()
+
     def exists(self, path: str) -> bool:
         return self._fs(path).exists(self._path(path))
 

@@ -1,8 +1,7 @@
 """Dropped CSV files: any of three encodings, any header, one job for all files.
 
 One scan of the raw lines finds, per file, its encoding, its header line and whether a
-quoted field spans lines. Files that agree on all three are read together, in splits. Only
-a file with quoted line breaks in which a lone carriage return ends lines is read by one task.
+quoted field spans lines. Files that agree on all three are read together, in splits.
 A quoted field that is still open at the end of its file is an error.
 """
 
@@ -21,7 +20,8 @@ from pyspark.sql import types as T
 
 from batchline.functions.values import drop_empty_rows, nullify_tokens
 from batchline.operators.headers import select_matched
-from batchline.sources.spanning import data_records, headers, opens, place, with_lone_returns, without_mark
+from batchline.scratch import FileSystem
+from batchline.sources.spanning import data_records, headers, line_end, opens, place, without_mark
 
 # The encodings tried, in order, under their Java names.
 UTF8, GBK, LATIN1 = "UTF-8", "GBK", "ISO-8859-1"
@@ -29,8 +29,10 @@ _PYTHON_NAME = {UTF8: "utf-8-sig", GBK: "gbk", LATIN1: "latin-1"}
 
 _EXTRA = "_extra_field"
 
-# how a file is read: line by line in splits, as a whole, or record by record in splits
-LINES, WHOLE, RECORDS = "lines", "whole", "records"
+# how a file is read in splits: line by line, or record by record
+LINES, RECORDS = "lines", "records"
+# bytes at the beginning of a file that tell which line ends it mostly has
+_START = 1 << 16
 
 # a frame with numbered columns, and the file's own headers for them
 Headed = tuple[DataFrame, tuple[str, ...]]
@@ -95,22 +97,22 @@ def classify(spark: SparkSession, paths: Sequence[str]) -> list[FileClass]:
         gbk = {row["path"] for row in checked.collect() if row["gbk"]}
     encodings = {r["path"]: UTF8 if r["utf8"] else GBK if r["path"] in gbk else LATIN1 for r in rows}
     spanning = [r["path"] for r in rows if r["spans"]]
-    lone, placed, first = set(), {}, {}
-    for encoding in sorted({encodings[path] for path in spanning}):
+    files, placed, first = FileSystem(spark), {}, {}
+    ends = {path: line_end(files.start(path, _START)) for path in spanning}
+    for encoding, end in sorted({(encodings[path], ends[path]) for path in spanning}):
         _allow(spark, encoding)
-        same = [path for path in spanning if encodings[path] == encoding]
-        placed[encoding] = place(spark, same, encoding)
-        lone |= with_lone_returns(placed[encoding])
-        first |= headers(placed[encoding])
+        same = [path for path in spanning if (encodings[path], ends[path]) == (encoding, end)]
+        placed[encoding, end] = place(spark, same, encoding, end)
+        first |= headers(placed[encoding, end])
     groups: dict[tuple, list[str]] = {}
     for row in sorted(rows, key=lambda r: r["path"]):
         path, encoding = row["path"], encodings[row["path"]]
         text = bytes(row["head"]).decode(_PYTHON_NAME[encoding], errors="replace")
         if row["spans"]:
             text = first[path]
-        layout = LINES if not row["spans"] else WHOLE if path in lone else RECORDS
-        groups.setdefault((encoding, _field_names(text), layout), []).append(path)
-    return [FileClass(*key, tuple(files), placed.get(key[0])) for key, files in groups.items()]
+        layout = RECORDS if row["spans"] else LINES
+        groups.setdefault((encoding, _field_names(text), layout, ends.get(path)), []).append(path)
+    return [FileClass(*key[:3], tuple(same), placed.get((key[0], key[3]))) for key, same in groups.items()]
 
 
 def _field_names(line: str) -> tuple[str, ...]:
@@ -137,9 +139,9 @@ def _allow(spark: SparkSession, encoding: str) -> None:
 _FIELDS = {"escape": '"', "nullValue": "\u0000", "emptyValue": ""}
 
 
-def _reader(spark: SparkSession, encoding: str, layout: str):
+def _reader(spark: SparkSession, encoding: str):
     _allow(spark, encoding)
-    return spark.read.options(**_FIELDS, encoding=encoding, multiLine=layout == WHOLE, header=True)
+    return spark.read.options(**_FIELDS, encoding=encoding, header=True)
 
 
 def _read_class(spark: SparkSession, files: FileClass) -> DataFrame:
@@ -150,7 +152,7 @@ def _read_class(spark: SparkSession, files: FileClass) -> DataFrame:
         texts = data_records(files.placed, files.paths)
         rows = texts.select(F.from_csv("text", schema, _FIELDS).alias("r")).select("r.*")
     else:
-        rows = _reader(spark, files.encoding, files.layout).schema(schema).csv(list(files.paths))
+        rows = _reader(spark, files.encoding).schema(schema).csv(list(files.paths))
     whole = F.when(F.col(_EXTRA).isNull(), True).otherwise(
         F.raise_error(F.lit(f"a row has more than {len(files.header)} fields")).cast("boolean")
     )

@@ -162,6 +162,24 @@ def test_lone_carriage_returns(spark, tmp_path):
     assert [r[0] for r in load(spark, path)] == ["1", "2"]
 
 
+@pytest.mark.parametrize("end", ["\r", "\n", "\r\n"])
+def test_line_ends_of_both_kinds_in_one_file(spark, tmp_path, end):
+    """Each quoted text keeps its breaks, whatever ends the records, in splits of any size."""
+    notes = ["a\rb", "a\nb", "a\r\nb", "a\r\rb", "\n\r", "plain", 'say ""so""\r']
+    body = "".join(f'{i},"{notes[i % 7]}"' + (end if i % 5 else "\n") + "\r" * (i % 11 == 0) for i in range(2000))
+    path = put(tmp_path, "both.csv", f"id,note{end}{body}".encode())
+    want = sorted(((str(i), notes[i % 7].replace('""', '"')) for i in range(2000)), key=str)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("256", "4096"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert load(spark, path) == want
+            lines = spanning._lines(spark, [path], "UTF-8", spanning.line_end(body.encode()))
+            assert lines.rdd.getNumPartitions() > 4 and lines.count() > 2000
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_irregular_quotes_are_read_in_splits(spark, tmp_path):
     body = "".join(f'{i},5" pipe {i},"a\nb"\n' for i in range(600))
     path = put(tmp_path, "odd.csv", ("id,name,note\n" + body).encode())
