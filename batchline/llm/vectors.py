@@ -8,8 +8,9 @@ block's radius: a vector lies in its home cell and is copied to the later cells
 touches; a pair is compared in the later of its two home cells. Cells with many vectors are cut
 into chunks, and each pair of chunks is one task's work.
 
-Candidates of a block are verified by the cosine in double precision. A pair that an earlier block
-has found as well is left to that block, so each link counts once. No pairs leave the tasks: a
+Rotated vectors only choose candidates, with slack; the decision is the cosine of the vectors as
+they came, in double precision, so that ties with the limit are decided as they fall. A pair that an
+earlier block has found as well is left to that block, so each link counts once. No pairs leave the tasks: a
 cell yields, for each vector, its number of links and the root of a spanning forest of them.
 
 Equal vectors of one label are one node with a number of copies. Defined cases: vectors that are
@@ -60,32 +61,39 @@ def radius2(d: int, b: int, cosine: float) -> float:
     return (2 - 2 * cosine) * (last - first) / d + SLACK
 
 
+def _double(rows: DataFrame) -> bool:
+    return "double" in dict(rows.dtypes)["embedding"]
+
+
 def turned(rows: DataFrame) -> DataFrame:
-    """``vec_id, node, label, d, vector``: node null where nothing can link; the vector is of
-    length one and rotated, as 64-bit floats."""
+    """``vec_id, node, label, d, vector, raw``: node null where nothing can link; the vector is of
+    length one and rotated, as 64-bit floats; ``raw`` is as it came, in the table's own precision
+    (64-bit ones scaled by a power of two, so that squares neither overflow nor vanish)."""
+    double = _double(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_node, out_d, out_vector = [], [], []
+            out_node, out_d, out_vector, out_raw = [], [], [], []
             for raw, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 v = None
                 if raw and label is not None and not any(x is None for x in raw):
                     v = np.array(raw, np.float64) + 0.0
                     v = v if np.isfinite(v).all() and v.any() else None
                 if v is None:
-                    out_node.append(None), out_d.append(0), out_vector.append(None)
+                    out_node.append(None), out_d.append(0), out_vector.append(None), out_raw.append(None)
                     continue
                 key = hashlib.blake2b(f"{label}|".encode() + v.tobytes(), digest_size=16).digest()
+                out_raw.append(np.ldexp(v, -np.frexp(np.abs(v).max())[1]).tobytes() if double else v.astype("<f4").tobytes())
                 v = v / np.abs(v).max()  # lengths that would overflow or vanish
                 v /= np.sqrt(v @ v)
                 out_node.append(key), out_d.append(len(v)), out_vector.append((v @ rotation(len(v))).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(out_node, pa.binary()), batch.column("label"), pa.array(out_d, pa.int32()), pa.array(out_vector, pa.binary())],
-                ["vec_id", "node", "label", "d", "vector"],
+                [batch.column("vec_id"), pa.array(out_node, pa.binary()), batch.column("label"), pa.array(out_d, pa.int32()), pa.array(out_vector, pa.binary()), pa.array(out_raw, pa.binary())],
+                ["vec_id", "node", "label", "d", "vector", "raw"],
             )
 
     kinds = dict(rows.dtypes)
-    schema = f"vec_id {kinds['vec_id']}, node binary, label {kinds['label']}, d int, vector binary"
+    schema = f"vec_id {kinds['vec_id']}, node binary, label {kinds['label']}, d int, vector binary, raw binary"
     return rows.select("vec_id", "embedding", "label").mapInArrow(run, schema)
 
 
@@ -123,14 +131,20 @@ def dealt(nodes: DataFrame, cosine: float) -> DataFrame:
                         key = np.frombuffer(b"".join(own), np.int64) if own else np.zeros(0, np.int64)
                         rows = some.take(pa.array(at))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(key), pa.array(np.full(len(at), b, np.int32)), pa.array((cells == home[at]).all(axis=1)), *(rows.column(c) for c in ("node", "d", "copies", "vector"))],
-                            ["cell", "block", "home", "node", "d", "copies", "vector"],
+                            [pa.array(key), pa.array(np.full(len(at), b, np.int32)), pa.array((cells == home[at]).all(axis=1)), *(rows.column(c) for c in ("node", "d", "copies", "vector", "raw"))],
+                            ["cell", "block", "home", "node", "d", "copies", "vector", "raw"],
                         )
 
-    return nodes.mapInArrow(run, "cell long, block int, home boolean, node binary, d int, copies long, vector binary")
+    return nodes.mapInArrow(run, "cell long, block int, home boolean, node binary, d int, copies long, vector binary, raw binary")
+
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of ``a`` with that of ``b``, pair by pair, so that every task rounds alike."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
-def _pairs(x: np.ndarray, block: int, d: int, left: np.ndarray, right: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _pairs(x: np.ndarray, raw: np.ndarray, block: int, d: int, left: np.ndarray, right: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between rows ``left`` and ``right`` that this block is the first to find."""
     spans = blocks(d)
     first, last = spans[block]
@@ -144,8 +158,8 @@ def _pairs(x: np.ndarray, block: int, d: int, left: np.ndarray, right: np.ndarra
         for cut in range(0, len(i), PAIRS):
             p, q = part[i[cut : cut + PAIRS]], right[j[cut : cut + PAIRS]]
             u, v = x[p], x[q]
-            away = (u - v) ** 2  # pair by pair, so that every task rounds alike
-            good = (u * v).sum(axis=1) >= cosine
+            away = (u - v) ** 2  # pair by pair as well
+            good = cosines(raw[p], raw[q]) >= cosine
             good &= away[:, first:last].sum(axis=1) <= radius2(d, block, cosine)
             for earlier in range(block):
                 c, e = spans[earlier]
@@ -166,9 +180,11 @@ def _forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
             return root
 
 
-def counted(rows: DataFrame, cosine: float) -> DataFrame:
+def counted(rows: DataFrame, cosine: float, double: bool) -> DataFrame:
     """``node, links, root`` of each node that has links in a cell."""
 
+    kind = np.float64 if double else np.float32
+
     def work(table: list[tuple]) -> pa.RecordBatch | None:
         if len(table) < 2:
             return None
@@ -177,6 +193,7 @@ def counted(rows: DataFrame, cosine: float) -> DataFrame:
         copies = np.array([r[4] for r in table], np.int64)
         chunk = np.array([r[6] for r in table])
         x = np.frombuffer(b"".join(r[5] for r in table), np.float64).reshape(-1, d)
+        raw = np.frombuffer(b"".join(r[7] for r in table), kind).reshape(-1, d)
         low, high = chunk.min(), chunk.max()
         one, two = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
         links, pairs = np.zeros(len(table), np.int64), []
@@ -186,7 +203,7 @@ def counted(rows: DataFrame, cosine: float) -> DataFrame:
             jobs = [(one[home[one]], two, False), (one[~home[one]], two[home[two]], False)]
         for left, right, same in jobs:
             if len(left) and len(right):
-                for p, q in _pairs(x, block, d, left, right, same, cosine):
+                for p, q in _pairs(x, raw, block, d, left, right, same, cosine):
                     links += np.bincount(p, copies[q], len(table)).astype(np.int64) + np.bincount(q, copies[p], len(table)).astype(np.int64)
                     pairs.append((p, q))
         at = np.flatnonzero(links)
@@ -201,7 +218,7 @@ def counted(rows: DataFrame, cosine: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("work", "node", "block", "home", "d", "copies", "vector", "chunk")]
+            columns = [batch.column(c).to_pylist() for c in ("work", "node", "block", "home", "d", "copies", "vector", "chunk", "raw")]
             for key, *row in zip(*columns, strict=True):
                 if key != own:
                     if (out := work(held)) is not None:
@@ -218,7 +235,7 @@ def counted(rows: DataFrame, cosine: float) -> DataFrame:
     full = full.withColumns({"chunks": chunks}).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     each = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = F.xxhash64("cell", F.least("chunk", "with"), F.greatest("chunk", "with"))
-    work_rows = each.select(key.alias("work"), "node", "block", "home", "d", "copies", "vector", "chunk")
+    work_rows = each.select(key.alias("work"), "node", "block", "home", "d", "copies", "vector", "chunk", "raw")
     return work_rows.repartition(F.col("work")).sortWithinPartitions("work", "node").mapInArrow(run, "node binary, links long, root binary")
 
 
@@ -227,11 +244,12 @@ def report(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     all_ = saved(turned(rows), "turned", compression="none")
     able = all_.filter("node IS NOT NULL")
     nodes = able.groupBy("node").agg(
-        F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("d").alias("d"), F.any_value("vector").alias("vector")
+        F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("d").alias("d"), F.any_value("vector").alias("vector"),
+        F.any_value("raw").alias("raw"),
     )
     nodes = saved(nodes, "nodes", compression="none")
     cells = saved(dealt(nodes, cosine), "cells")
-    found = saved(counted(cells, cosine), "links")
+    found = saved(counted(cells, cosine, _double(rows)), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("node", "copies").join(links, "node", "left").join(classes, "node", "left").select(

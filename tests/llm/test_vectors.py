@@ -62,6 +62,25 @@ def test_against_all_pairs(spark, monkeypatch, chunk):
     check(spark, [(i, v.astype(np.float32).tolist(), label) for i, v, label in rows])
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_exact_ties_with_the_limit(spark, kind):
+    """Integer vectors whose cosine is 0.98 to the last bit are linked, at several widths."""
+    rows = []
+    for label, d in enumerate((4, 8, 16, 64)):
+        for scale in (1, 3, 1024):
+            for shift in range(3):
+                a, b = np.zeros(d), np.zeros(d)
+                a[shift : shift + 1], b[shift : shift + 1] = scale, -scale
+                for v in (a, b):
+                    v[[(shift + 1) % d, (shift + 2) % d, (shift + 3) % d]] = np.array([1, -7, 7]) * scale
+                rows += [(len(rows), a.tolist(), label), (len(rows) + 1, b.tolist(), label)]
+    want = [(i, n, c) for i, n, c in brute(rows)]
+    assert min(n for _, n, _ in want) > 0
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(3)
+    got = vectors.report(frame).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(want)
+
+
 def test_awkward_rows(spark):
     rows = [
         (1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, None], 1), (5, [float("nan"), 1.0], 1), (6, [float("inf"), 1.0], 1),
