@@ -31,6 +31,8 @@ from batchline.llm.words import Words, words_of
 from batchline.scratch import settings
 
 TRAIN = 4000
+#: Parts of a language, by hash, that are ranked apart before the language is.
+PARTS = 64
 GRAMS = (3, 4, 5)
 SHARE = 0.05
 HASHES = 4
@@ -137,12 +139,18 @@ def _per_text(of_word: np.ndarray, words: Words) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, most: int = TRAIN) -> DataFrame:
-    """``text, lang`` of rows that are not held out, at most ``most`` of a language, by hash."""
+    """``text, lang`` of rows that are not held out, at most ``most`` of a language, by hash; of
+    rows that share ``doc_id`` and language the one with the least text."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(remainder(F.col("doc_id"), 3) != 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    thin = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    chosen = thin.select("doc_id", "lang").distinct()
-    return known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("text", "lang")
+    names = known.select("doc_id", "lang").filter("doc_id IS NOT NULL").distinct().withColumn("at", F.xxhash64("doc_id"))
+    # first within parts of a language, then among what is left of its parts
+    for part in (["lang", F.pmod("at", F.lit(PARTS))], ["lang"]):
+        order = Window.partitionBy(*part).orderBy("at", "doc_id")
+        names = names.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
+    # stored, its size is known: a few ids go to the texts, not the texts to the ids
+    chosen = saved(names.select("doc_id", "lang"), "language-chosen")
+    rows = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,4 +201,16 @@ def test_language_rank_is_limited_before_the_shuffle(spark, monkeypatch):
     plans, write = [], language.saved
     monkeypatch.setattr(language, "saved", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or write(df, label))
     language.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang"))
-    assert len(plans) == 1 and "WindowGroupLimit" in plans[0]
+    assert "WindowGroupLimit" in plans[0] and "BroadcastHashJoin" in plans[1]
+
+
+def test_language_training_is_bounded_where_doc_ids_repeat(spark, monkeypatch):
+    own = [i for i in range(200) if rest(i, 3) != 1][:30]
+    pairs = [(i, f"text {i}", "en") for i in own] + [(own[0], f"again {k}", "en") for k in range(300)] + [(own[1], "texte", "fr")]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string, lang string").repartition(3)
+    assert len([r for r in language.training_rows(docs, 30).collect() if r["lang"] == "en"]) == 30
+    rows = language.training_rows(docs, 10)
+    texts = [r["text"] for r in rows.collect() if r["lang"] == "en"]
+    assert len(texts) == 10 and rows.count() == 11
+    monkeypatch.setattr(language, "PARTS", 3)
+    assert sorted(texts) == sorted(r["text"] for r in language.training_rows(docs, 10).collect() if r["lang"] == "en")
