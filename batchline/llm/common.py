@@ -43,6 +43,16 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     return stored
 
 
+def held(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` as a table of files with a place for each row: itself if it reads all parquet files
+    of one folder and nothing else, or else a stored copy."""
+    files = docs.inputFiles()
+    folders = {path.rpartition("/")[0] for path in files}
+    if len(folders) == 1 and docs.sparkSession.read.parquet(*folders).sameSemantics(docs):
+        return docs
+    return saved(docs, label)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete saved tables that nothing will read again."""
     for stored in tables:

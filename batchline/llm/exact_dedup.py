@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchline.llm.common import BLANK, discard, saved
+from batchline.llm.common import BLANK, discard, held, saved
 from batchline.scratch import ANY_AGE, new_dir, settings
 
 #: Micro-batches that the files of a backlog are dealt to.
@@ -119,13 +119,13 @@ def report(spark: SparkSession, path: str, batches: int = BATCHES) -> DataFrame:
 def distinct_documents(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     spark = docs.sparkSession
-    held = saved(docs, "arrived")
-    if not held.inputFiles():
-        return held
-    path = held.inputFiles()[0].rpartition("/")[0]
-    schema = held.select("doc_id", "text").schema
+    rows = held(docs, "arrived")
+    if not rows.inputFiles():
+        return rows
+    path = rows.inputFiles()[0].rpartition("/")[0]
+    schema = rows.select("doc_id", "text").schema
     dropped = decisions(spark, path, schema, batches).filter("at <> first")
     gone = saved(dropped.select(F.col("at.file").alias("gone_file"), F.col("at.row").alias("gone_row")), "dropped")
-    placed = held.select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = rows.select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     here = (F.col("file") == F.col("gone_file")) & (F.col("row") == F.col("gone_row"))
     return placed.join(gone, here, "left_anti").select("doc.*")

@@ -13,8 +13,9 @@ has a place of its own; the last round takes words until the target is met, cutt
 ``in_order`` range-sorts the copies by time.
 
 Words before a document are summed in two steps (hash ranges of a source, then inside a range), so
-a source with a third of all rows is spread. On the driver is one row per source, as the schedule
-is given per source.
+a source with a third of all rows is spread. All of this is done on rows without texts; copies are
+then joined to their texts by place (file and row) and range-sorted. On the driver is one row per
+source, as the schedule is given per source.
 
 Defined cases: null text has size 0; a document of size 0 is taken 0 times; a null source is a
 source of its own; rows with equal id and text follow one another; without any word all targets
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchline.llm.common import BLANK, saved
+from batchline.llm.common import BLANK, held, saved
 
 #: Weights, taken in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -106,19 +107,30 @@ def time_of(share: Column, pieces: list[Piece]) -> Column:
     return out
 
 
-def assigned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules=SCHEDULES, most: float = MOST) -> DataFrame:
-    """One row per row of ``docs`` (as ``doc``): ``source, size, source_size, target, before,
-    rounds, last, taken, turn``.
+#: A row's place: a hash of its file's name, and its number there.
+_PLACE = ["file", "row"]
 
-    ``before``: words of the source before this document; ``rounds``: whole copies; ``last``: words
-    of a further, cut copy (0: none).
-    """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("source"), size_of(F.col("text")).alias("size"),
-        F.xxhash64(F.col("doc_id"), F.col("text")).alias("hash"), F.col("doc_id").alias("id"),
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """The rows of a table of files as ``doc``, with their place."""
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
-    thin = saved(rows.select("source", "size", "hash"), "sizes")
+
+
+def _thin(docs: DataFrame, *keep: Column) -> DataFrame:
+    """What the assignment needs of each row, stored; no text."""
+    facts = docs.select(
+        *keep, F.col("doc_id").alias("id"), F.col("source").alias("source"), size_of(F.col("text")).alias("size"),
+        F.xxhash64(F.col("doc_id"), F.col("text")).alias("hash"),
+    )
+    return saved(facts, "sizes")
+
+
+def _assigned(thin: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """``thin`` with ``source_size, target, before, rounds, last, taken, turn``."""
+    spark = thin.sparkSession
     sources = thin.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
     # by code point, null last: one row per source
     sources.sort(key=lambda r: (r["source"] is None, [ord(c) for c in str(r["source"])] if r["source"] is not None else []))
@@ -126,7 +138,7 @@ def assigned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules=SC
     turns = [i % len(weights) for i in range(len(sources))]
     aims = targets(np.array([r["size"] for r in sources], float), np.array([weights[t] for t in turns], float), most)
     given = [(r["source"], int(r["size"]), float(a), t) for r, a, t in zip(sources, aims.tolist(), turns, strict=True)]
-    kind = dict(docs.dtypes)["source"]
+    kind = dict(thin.dtypes)["source"]
     plan = spark.createDataFrame(given, f"source {kind}, source_size long, target double, turn int")
     # ranges of the hash, in its order
     cut = F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * ranges).alias("part")
@@ -135,17 +147,30 @@ def assigned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules=SC
     bases = parts.select("source", "part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
     known = bases.join(plan, bases["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     inside = Window.partitionBy("source", "part").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("part", cut).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    numbered = thin.withColumn("part", cut).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     own = known.withColumnsRenamed({"source": "of", "part": "of_part"})
     both = numbered.join(own, numbered["source"].eqNullSafe(own["of"]) & (numbered["part"] == own["of_part"]))
     before = F.col("base") + F.col("within")
     rounds = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.round("target").cast("long") - F.col("rounds") * F.col("source_size")
-    out = both.select("doc", "source", "size", "source_size", "target", "turn", before.alias("before"), rounds.alias("rounds"))
+    out = both.withColumns({"before": before, "rounds": rounds}).drop("of", "of_part", "part", "base", "within")
     out = out.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long"))
     return out.withColumn("taken", F.col("rounds") * F.col("size") + F.col("last"))
 
 
+def assigned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """One row per row of ``docs`` (as ``doc``): ``source, size, source_size, target, before,
+    rounds, last, taken, turn``.
+
+    ``before``: words of the source before this document; ``rounds``: whole copies; ``last``: words
+    of a further, cut copy (0: none). All of it is found on rows without texts.
+    """
+    docs = held(docs, "mixed")
+    rows = _placed(docs)
+    thin = _thin(docs, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(_assigned(thin, weights, most).drop("id", "hash"), _PLACE).drop(*_PLACE)
+
+
 def _time(words_before: Column, words: Column, schedules) -> Column:
     share = (words_before + words / 2) / F.col("target")
     out = F.lit(None).cast("double")
@@ -155,14 +180,20 @@ def _time(words_before: Column, words: Column, schedules) -> Column:
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules=SCHEDULES, most: float = MOST) -> DataFrame:
-    """One row per copy that the mix takes: ``doc, copy, words, size, time``."""
-    rows = assigned(docs, weights, schedules, most).filter("taken > 0")
+    """One row per copy that the mix takes: ``doc, copy, words, size, time``.
+
+    Copies and times are found on rows without texts; a text is joined once.
+    """
+    docs = held(docs, "mixed")
+    thin = _thin(docs, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = _assigned(thin, weights, most).filter("taken > 0")
     counts = F.expr("sequence(0, cast(rounds + if(last > 0, 0, -1) as int))")
     each = rows.withColumn("copy", F.explode(counts))
     words = F.when(F.col("copy") < F.col("rounds"), F.col("size")).otherwise(F.col("last"))
     each = each.withColumn("words", words)
     place = F.col("copy") * F.col("source_size") + F.col("before")
-    return each.select("doc", "copy", "words", "size", _time(place, F.col("words"), schedules).alias("time"))
+    each = saved(each.select(*_PLACE, "copy", "words", "size", _time(place, F.col("words"), schedules).alias("time")), "copies")
+    return _placed(docs).join(each, _PLACE).drop(*_PLACE)
 
 
 def in_order(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules=SCHEDULES, most: float = MOST) -> DataFrame:
@@ -183,6 +214,6 @@ def in_order(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules=SC
 
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` and the time of the first copy."""
-    rows = assigned(docs.select("doc_id", "text", "source"))
+    rows = _assigned(_thin(docs), WEIGHTS, MOST)
     first = F.when(F.col("taken") > 0, _time(F.col("before"), F.when(F.col("rounds") > 0, F.col("size")).otherwise(F.col("last")), SCHEDULES))
-    return rows.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("first_time"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("first_time"))

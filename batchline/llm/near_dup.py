@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchline.llm.common import by_bytes, discard, mixed, saved, segments
+from batchline.llm.common import by_bytes, discard, held, mixed, saved, segments
 from batchline.llm.links import components
 from batchline.llm.words import words_of
 
@@ -390,14 +390,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 def unlike_documents(docs: DataFrame) -> DataFrame:
     """One row of each class of ``docs``, that of the least ``doc_id``, with all its columns."""
-    held = saved(docs, "compared")
+    docs = held(docs, "compared")
     place = F.struct(
         F.col("doc_id").isNull().alias("unnamed"), "doc_id",
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
-    rows = saved(classes(held.select(place.alias("place"), "text"), "place"), "classed")
+    rows = saved(classes(docs.select(place.alias("place"), "text"), "place"), "classed")
     first = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
     gone = rows.join(first, "class").filter("key <> first").select(F.col("key.file").alias("gone_file"), F.col("key.row").alias("gone_row"))
-    placed = held.select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = docs.select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     here = (F.col("file") == F.col("gone_file")) & (F.col("row") == F.col("gone_row"))
     return placed.join(gone, here, "left_anti").select("doc.*")
