@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,13 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
 def held(docs: DataFrame, label: str) -> DataFrame:
     """``docs`` as a table of files with a place for each row: itself if it reads all parquet files
     of one folder and nothing else, or else a stored copy."""
-    files = docs.inputFiles()
-    folders = {path.rpartition("/")[0] for path in files}
-    if len(folders) == 1 and docs.sparkSession.read.parquet(*folders).sameSemantics(docs):
-        return docs
+    folders = {path.rpartition("/")[0] for path in docs.inputFiles()}
+    if len(folders) == 1:
+        # Spark compares relations by the folder as it was given: with scheme and authority or without
+        parts = urlsplit(folders.pop())
+        for folder in (parts.geturl(), f"{parts.scheme}://{parts.netloc}{parts.path}", f"{parts.scheme}:{parts.path}", parts.path):
+            if docs.sparkSession.read.schema(docs.schema).parquet(folder).sameSemantics(docs):
+                return docs
     return saved(docs, label)
 
 

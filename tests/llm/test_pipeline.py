@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from batchline.llm import mixing, near_dup, toxicity
-from batchline.llm.common import saved
+from batchline.llm.common import held, saved
 from batchline.llm.packing import CAPACITY
 from tests.llm import cases
 
@@ -41,11 +43,21 @@ def test_stages(spark, small):
     assert Counter(r["doc_id"] for r in rows[5] if r["piece"] == 0) == Counter(r["doc_id"] for r in rows[4])
 
 
+def test_a_stage_reads_its_input_where_it_lies(spark, tmp_path):
+    """No copy of a table of files; one of anything else."""
+    path = f"{tmp_path}/docs"
+    cases.table(spark).write.parquet(path)
+    for whole in (spark.read.parquet(path), spark.read.parquet(f"file:{path}"), spark.read.schema(cases.SCHEMA).parquet(f"file://{path}")):
+        assert held(whole, "x") is whole
+    for some in (whole.filter("doc_id > 3"), whole.withColumn("text", F.upper("text")), cases.table(spark), whole.union(whole)):
+        assert held(some, "x") is not some
+
+
 def test_stages_bear_awkward_and_empty_tables(spark, small):
     for docs in (cases.table(spark), cases.table(spark, [])):
-        held = docs
+        kept = docs
         for name, stage in corpus_pipeline.STAGES:
-            before, held = held, saved(stage(spark, held, small), name)
+            before, kept = kept, saved(stage(spark, kept, small), name)
             if name != "pack":
-                assert held.columns == docs.columns
-        assert bool(before.count()) == bool(held.count())
+                assert kept.columns == docs.columns
+        assert bool(before.count()) == bool(kept.count())
