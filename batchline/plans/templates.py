@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from batchline.sinks.tables import quoted
 
 _MARKER = r"\{\{-?\s*([^{}]*?)\s*-?\}\}"
 # a typed literal that is one marker, a literal, a comment, a bare marker, other template tags
@@ -103,10 +106,15 @@ def run_statement(
 def run_statements(
     spark: SparkSession, text: str, params: Mapping[str, object] | None = None
 ) -> list[int | None]:
-    """Run the statements of a text in order. For each the rows it affected, as far as Spark
-    tells (row-level commands of sources that have them), or the rows of a query; else null."""
+    """Run the statements of a text in order. For each the rows it affected: those that an
+    ``INSERT INTO`` wrote, counted on their way, those of a query, or what Spark tells of row-level
+    commands of sources that have them; else null."""
     counts: list[int | None] = []
     for statement in statements(text):
+        target, columns, query = split_insert(statement)
+        if target is not None and is_query(query):
+            counts.append(_insert(spark, target, columns, query, params))
+            continue
         result = run_statement(spark, statement, params)
         if is_query(statement):
             counts.append(result.count())
@@ -117,6 +125,17 @@ def run_statements(
     return counts
 
 
+def _insert(
+    spark: SparkSession, target: str, columns: list[str] | None, query: str, params: Mapping[str, object] | None
+) -> int:
+    """Run the query of an ``INSERT INTO``, write its rows and count them on the way."""
+    seen = Observation()
+    rows = run_statement(spark, query, params).observe(seen, F.count(F.lit(1)).alias("rows"))
+    names = f" ({', '.join(quoted(c) for c in columns)})" if columns else ""
+    spark.sql(f"INSERT INTO {quoted(target)}{names} SELECT * FROM {{rows}}", rows=rows)
+    return seen.get["rows"]
+
+
 def _after_with(found: list[tuple[str, str, int, int]]) -> int:
     """Place of the token that follows the definitions of a leading ``WITH``; 0 without one."""
     if not found or found[0][1].upper() != "WITH":
@@ -124,16 +143,21 @@ def _after_with(found: list[tuple[str, str, int, int]]) -> int:
     depth = 0
     for i, (kind, sign, _, _) in enumerate(found):
         depth += {"(": 1, ")": -1}.get(sign, 0) if kind == "sign" else 0
-        # the definitions end where a word follows a closed bracket, but for AS and commas
-        if depth == 0 and i and found[i - 1][1] == ")" and kind == "word" and sign.upper() != "AS":
+        # the definitions end where a word follows a closed bracket, but for AS, commas and a limit
+        # of recursion (MAX RECURSION LEVEL n)
+        limit = sign.upper() == "MAX" and i + 1 < len(found) and found[i + 1][1].upper() == "RECURSION"
+        if depth == 0 and i and found[i - 1][1] == ")" and kind == "word" and sign.upper() != "AS" and not limit:
             return i
     return 0
 
 
 def is_query(text: str) -> bool:
     """Whether a statement only reads: ``SELECT``, ``VALUES``, ``FROM`` or ``TABLE`` after any
-    definitions and brackets."""
+    definitions and brackets, and no ``INSERT INTO`` or ``INSERT OVERWRITE`` after that."""
     found = tokens(text)
+    words = [t[1].upper() if t[0] == "word" else "" for t in found]
+    if any(a == "INSERT" and b in ("INTO", "OVERWRITE") for a, b in zip(words, words[1:], strict=False)):
+        return False
     rest = [t for t in found[_after_with(found) :] if t[1] != "("]
     return bool(rest) and rest[0][1].upper() in ("SELECT", "VALUES", "FROM", "TABLE")
 

@@ -393,6 +393,54 @@ def multi_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(target)
 
 
+def affected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each statement of a text affected: two that insert, one that reads."""
+    _register(spark, sf_dir)
+    target = scratch_table(spark, "affected")
+    create_table(spark, target, spark.createDataFrame([], "o_orderkey bigint, half string").schema)
+    text = (
+        f"INSERT INTO {target} (half, o_orderkey) SELECT 'first', o_orderkey FROM batchline_t_orders WHERE o_orderdate < '{{{{ start_date }}}}';"
+        f"INSERT INTO {target} SELECT o_orderkey, 'second' FROM batchline_t_orders WHERE o_orderdate >= '{{{{ start_date }}}}';"
+        f"SELECT * FROM {target} WHERE half = 'first'"
+    )
+    counts = run_statements(spark, text, {"start_date": _WINDOW[0]})
+    stored = spark.table(target).groupBy("half").agg(F.count("*").alias("stored"))
+    told = spark.createDataFrame(list(zip((1, 2, 3), ("first", "second", "first"), counts, strict=True)), "statement int, half string, affected bigint")
+    return told.join(stored, "half").select("statement", "half", "affected", "stored")
+
+
+def replace_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches and a whole table published at once, each replaced by rows that it holds itself."""
+    batches, whole = scratch_table(spark, "committed"), scratch_table(spark, "committed")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    create_table(spark, batches, orders.withColumn("batch_date", F.lit(None).cast("date")).schema, ["batch_date"])
+    create_table(spark, whole, orders.schema)
+    first, second = date(2024, 5, 1), date(2024, 5, 2)
+    for day in (first, second):
+        writes.write(orders, batches, "replace_batch", batch_date=day, staged=True)
+    own = spark.table(batches).filter(F.col("batch_date") == first)
+    writes.write(own.withColumn("o_totalprice", -F.col("o_totalprice")).drop("batch_date"), batches, "replace_batch", batch_date=first, staged=True)
+    for factor in (1, 3, 2):
+        source = orders if factor == 1 else spark.table(whole)
+        writes.write(source.withColumn("o_totalprice", F.col("o_totalprice") * factor), whole, "full_refresh", staged=True)
+    return spark.table(batches).unionByName(spark.table(whole), allowMissingColumns=True)
+
+
+def key_checked_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders appended in two halves by key; a third append that overlaps is refused."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    target = scratch_table(spark, "keyed")
+    create_table(spark, target, orders.schema)
+    for half in (0, 1):
+        writes.append_checked(orders.filter(F.crc32(F.col("o_orderkey").cast("string")) % 2 == half), target, ["o_orderkey"])
+    try:
+        writes.append_checked(orders.filter("o_orderkey % 100 = 1"), target, ["o_orderkey"])
+        refused = False
+    except ValueError:
+        refused = True
+    return spark.table(target).withColumn("refused", F.lit(refused))
+
+
 @transforms.python_transform("events_by_user.py")
 def _events_by_user(spark: SparkSession, start: date, end: date, *, events: DataFrame) -> DataFrame:
     inside = window_scan(events, "ts", start, end)
@@ -436,6 +484,9 @@ QUERIES = {
     "script_run": script_run,
     "template_literal": template_literal,
     "multi_statement": multi_statement,
+    "affected_rows": affected_rows,
+    "replace_committed": replace_committed,
+    "key_checked_append": key_checked_append,
     "windowed_transform": windowed_transform,
     "python_transform": python_transform,
 }
@@ -495,6 +546,11 @@ ORACLE = {
     ),
     "template_literal": "SELECT o_orderkey, 'from 1996-01-01 to 1996-02-01' AS period FROM orders "
     "WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-02-01'",
+    "affected_rows": "WITH h AS (SELECT CASE WHEN o_orderdate < DATE '1996-01-01' THEN 'first' ELSE 'second' END AS half, count(*) AS n FROM orders GROUP BY half) "
+    "SELECT CAST(statement AS int) AS statement, half, n AS affected, n AS stored FROM (VALUES (1, 'first'), (2, 'second'), (3, 'first')) AS s(statement, half) JOIN h USING (half)",
+    "replace_committed": "SELECT o_orderkey, -o_totalprice AS o_totalprice, DATE '2024-05-01' AS batch_date FROM orders "
+    "UNION ALL SELECT o_orderkey, o_totalprice, DATE '2024-05-02' FROM orders UNION ALL SELECT o_orderkey, o_totalprice * 3 * 2, NULL FROM orders",
+    "key_checked_append": "SELECT o_orderkey, o_custkey, o_totalprice, true AS refused FROM orders",
     "multi_statement": "SELECT o_orderkey, CASE WHEN o_orderdate < DATE '1996-01-01' THEN 'first; half' ELSE 'second' END AS half FROM orders",
     "python_transform": "SELECT user_id, count(*) AS events, round(sum(value), 4) AS value, max(ts) AS last_ts FROM events "
     "WHERE ts >= DATE '2024-01-08' AND ts < DATE '2024-01-15' GROUP BY user_id",

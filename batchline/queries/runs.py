@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from batchline.fixtures import view, with_views
 from batchline.operators import documents, runlog
+from batchline.queries import scratch_table
+from batchline.sinks import writes
+from batchline.sinks.retention import delete_old_plans
+from batchline.sinks.tables import create_table
 
 
 def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +50,17 @@ def keep_latest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.keep_latest(_parted(spark, sf_dir)).select("dag_id", "run_id", "exec_date", "create_time", "part")
 
 
+def retention_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan log stored by month; old plans are deleted, twice."""
+    plans = view(spark, sf_dir, "exec_plans").withColumn("month", F.trunc("exec_date", "month"))
+    target = scratch_table(spark, "plans")
+    create_table(spark, target, plans.schema, ["month"])
+    writes.append(plans, target)
+    for _ in range(2):
+        delete_old_plans(spark, target)
+    return spark.table(target).select("dag_id", "run_id", "exec_date", "create_time")
+
+
 def run_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by day; orders ask for them by id, by an id that is too new, or for a later day."""
     tasks = view(spark, sf_dir, "task_runs")
@@ -123,6 +138,7 @@ QUERIES = {
     "json_validate": json_validate,
     "keep_latest_parts": keep_latest_parts,
     "keep_latest_n": keep_latest_n,
+    "retention_rewrite": retention_rewrite,
     "run_match": run_match,
     "run_counts": run_counts,
     "top_durations": top_durations,
@@ -276,3 +292,5 @@ ORACLE = {
         f"{_SECONDS} AS exec_duration, CASE WHEN end_date IS NOT NULL THEN state = 'success' END AS exec_result FROM task_runs",
     ),
 }
+
+ORACLE["retention_rewrite"] = ORACLE["keep_latest_n"]

@@ -159,6 +159,10 @@ class FileSystem:
         found = [s for s in statuses or [] if s.isFile()]
         return [s.getPath().toString() for s in found]
 
+    def children(self, path: str) -> list[str]:
+        """What lies in a folder."""
+        return [s.getPath().toString() for s in self._fs(path).listStatus(self._path(path))]
+
     def size(self, path: str) -> int:
         return self._fs(path).getFileStatus(self._path(path)).getLen()
 

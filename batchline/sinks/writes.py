@@ -2,23 +2,29 @@
 
 Plain parquet tables know no row-level delete, so a replacement rewrites partitions. A
 table partitioned by (a truncation of) the window's date rewrites only the partitions the
-window touches; any other table is rewritten as a whole. Rows that are kept, or that come
-from the target itself, are staged in the shared folder first. No replacement is atomic on
-plain parquet: a reader may see the target between its steps, and a run that dies there
-must be run again, which gives the same result.
+window touches; one that is partitioned by anything else, a batch date for instance, only those that
+hold rows of the window or get new ones, found by the files' own statistics of the window's date. A
+table without partitions is rewritten as a whole.
+
+Whole tables and batches can be published at once (``staged``): see ``sinks.publish``. A replacement
+of several partitions stages its rows in the shared folder and overwrites them; a reader may see the
+target between two of them, and a run that dies there must be run again, which gives the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from datetime import date
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchline.scratch import Scratch, settings
-from batchline.sinks.tables import WINDOW_PART, quoted, window_layout
+from batchline.sinks.publish import publish_partition, publish_table, publishable
+from batchline.sinks.tables import WINDOW_PART, duplicate_keys, quoted, window_layout
 
 MODES = ("append", "full_refresh", "replace_window", "replace_batch")
 GRAINS = ("day", "month", "quarter", "year")
@@ -88,13 +94,17 @@ def _dated(df: DataFrame, table: str) -> DataFrame:
 def full_refresh(df: DataFrame, table: str, staged: bool = False) -> None:
     """Replace the whole content; an empty source leaves an empty table.
 
-    ``staged`` writes the rows to the shared folder first: needed when ``df`` reads the
-    target (Spark refuses it otherwise), and at the price of a second write it leaves the
-    target as it was when the source fails.
+    ``staged`` writes the rows elsewhere first: needed when ``df`` reads the target (Spark refuses it
+    otherwise), and it leaves the target as it was when the source fails. A table without partitions
+    is then published at once; one with partitions is written a second time.
     """
     spark = df.sparkSession
-    with _staged(aligned(_dated(df, table), spark.table(table)), staged) as rows:
-        _insert(rows, table, True, partition_columns(spark, table))
+    rows, parts = aligned(_dated(df, table), spark.table(table)), partition_columns(spark, table)
+    if staged and not parts and publishable(spark, table):
+        publish_table(rows, table)
+        return
+    with _staged(rows, staged) as held:
+        _insert(held, table, True, parts)
 
 
 @contextmanager
@@ -116,12 +126,17 @@ def replace_batch(
     """Replace the one partition of a batch; an empty batch clears it.
 
     The partition is named by the execution date, not by the clock, so a later re-run
-    replaces what the first run loaded. ``staged`` as for ``full_refresh``.
+    replaces what the first run loaded. ``staged``: the batch is published at once, and its rows
+    may be read from the target.
     """
     spark = df.sparkSession
     if partition_columns(spark, table) != [column]:
         raise ValueError(f"{table} is not partitioned by {column}")
     rows = aligned(df.drop(column), spark.table(table).drop(column))
+    if staged and publishable(spark, table):
+        day = batch_date.isoformat()
+        publish_partition(rows, table, f"{quoted(column)} = DATE'{day}'", f"{column}={day}")
+        return
     with _staged(rows, staged) as held:
         _overwrite_partition(held, table, column, batch_date)
 
@@ -152,7 +167,8 @@ def replace_window(
     """Delete the target's rows in ``[start, end)`` of ``column`` and append ``df``.
 
     ``partition`` names the table's partition column if that is the window date truncated
-    to ``grain``; then only partitions that overlap the window are read and rewritten. Rows
+    to ``grain``; then only partitions that overlap the window are read and rewritten. Of a table
+    with other partitions those are rewritten that hold rows of the window or get new ones. Rows
     with a null date stay. New rows outside the window are appended.
     """
     spark = df.sparkSession
@@ -161,8 +177,15 @@ def replace_window(
     if partition is None and layout is not None and layout[0].lower() == column.lower():
         partition, grain = WINDOW_PART, layout[1]
     if partition is None:
-        with _staged(replaced(target, _dated(df, table), column, start, end)) as rows:
-            _insert(rows, table, True, partition_columns(spark, table))
+        parts = partition_columns(spark, table)
+        if not parts:
+            full_refresh(replaced(target, df, column, start, end), table, staged=True)
+            return
+        inside = in_window(F.col(column), start, end)
+        with _staged(aligned(df, target)) as new:
+            touched = partition_values(target.filter(inside).select(*parts).union(new.select(*parts)), parts)
+            kept = target.filter(among(parts, touched)).filter(~inside)
+            rewrite_partitions(kept.unionByName(new), table, touched)
         return
     if grain not in GRAINS:
         raise ValueError(f"unknown grain: {grain}")
@@ -186,6 +209,71 @@ def replace_window(
             _insert(outside, table, False, [partition])
 
 
+def partition_values(rows: DataFrame, parts: list[str]) -> list[tuple]:
+    """The partitions that rows lie in, a tuple of their columns' values for each: no more than the
+    catalog lists."""
+    return [tuple(row) for row in rows.select(*parts).distinct().collect()]
+
+
+def among(parts: list[str], values: list[tuple]) -> Column:
+    """Rows of these partitions, as a condition on partition columns only: others are not read."""
+    if len(parts) == 1 and all(v[0] is not None for v in values):
+        return F.col(parts[0]).isin([v[0] for v in values])
+    out = F.lit(False)
+    for value in values:
+        same = F.lit(True)
+        for part, v in zip(parts, value, strict=True):
+            same = same & (F.col(part).isNull() if v is None else F.col(part) == F.lit(v))
+        out = out | same
+    return out
+
+
+def rewrite_partitions(rows: DataFrame, table: str, touched: list[tuple]) -> None:
+    """Replace the content of the ``touched`` partitions by ``rows``, which may be read from them;
+    one that gets no rows is dropped. Files of other partitions stay as they are."""
+    spark = rows.sparkSession
+    parts = partition_columns(spark, table)
+    if not touched:
+        return
+    with _staged(rows) as held:
+        filled = set(partition_values(held, parts))
+        if filled:
+            _insert(held, table, True, parts, dynamic=True)
+        empty = [v for v in touched if v not in filled]
+        nothing = spark.createDataFrame([], spark.table(table).drop(*parts).schema)
+        specs = []
+        for values in empty:
+            text = [f"{quoted(p)} = " + ("NULL" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'") for p, v in zip(parts, values, strict=True)]
+            specs.append(f"PARTITION ({', '.join(text)})")
+            spark.sql(f"INSERT OVERWRITE TABLE {quoted(table)} {specs[-1]} SELECT * FROM {{rows}}", rows=nothing)
+        if specs:
+            spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS {', '.join(specs)}")
+
+
+def append_checked(df: DataFrame, table: str, key: Sequence[str]) -> None:
+    """Append rows whose key is new: a null key, one that occurs twice in ``df`` or one that the
+    target holds is an error, and nothing is written.
+
+    The rows are stored once. Of the target only the key columns are read, and of these only the row
+    groups whose statistics meet the range of the new keys; then an exact join decides.
+    """
+    spark = df.sparkSession
+    target, key = spark.table(table), list(key)
+    with _staged(aligned(_dated(df, table), target)) as new:
+        keys = new.select(*key)
+        ends = keys.agg(*[end(c) for c in key for end in (F.min, F.max)]).head()
+        near = reduce(and_, [F.col(c).between(ends[2 * i], ends[2 * i + 1]) for i, c in enumerate(key)])
+        problems = {
+            "null": keys.filter(reduce(or_, [F.col(c).isNull() for c in key])).limit(5).collect(),
+            "repeated": duplicate_keys(keys, key).select(*key).limit(5).collect(),
+            "known": target.select(*key).filter(near).join(keys, key, "left_semi").limit(5).collect(),
+        }
+        found = {kind: [tuple(row) for row in rows] for kind, rows in problems.items() if rows}
+        if found:
+            raise ValueError(f"keys {key} of {table}: {found}")
+        _insert(new, table, False, partition_columns(spark, table))
+
+
 def _clear(
     spark: SparkSession, table: str, partition: str, target: DataFrame, touched: Column, rewritten: DataFrame
 ) -> None:

@@ -1,12 +1,12 @@
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from batchline.queries import scratch_table
-from batchline.sinks import tables, writes
+from batchline.sinks import publish, retention, tables, writes
 from batchline.sources.database import MissingWindowColumn, Split, jdbc_options, window_scan
 
 START, END = date(2024, 1, 10), date(2024, 2, 5)
@@ -205,3 +205,102 @@ def test_create_like_leaves_an_existing_table(spark):
     other = scratch_table(spark, "like")
     assert tables.create_like(spark, spark.sql("SELECT 1 AS UPDATE_TIME"), other)
     assert spark.table(other).columns == ["UPDATE_TIME", "create_time"]
+
+
+def files_of(spark, name):
+    return set(spark.table(name).select("_metadata.file_path").distinct().toPandas()["file_path"])
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["write", "switch", "delete"])
+@pytest.mark.parametrize("kind", ["table", "partition"])
+def test_a_write_that_is_killed_leaves_old_or_new_rows(spark, monkeypatch, kind, step):
+    name = scratch_table(spark, "killed")
+    df = spark.createDataFrame([(1,), (2,)], "id int")
+    shape = df.withColumn("batch_date", F.lit(None).cast("date")) if kind == "partition" else df
+    tables.create_table(spark, name, shape.schema, ["batch_date"] if kind == "partition" else [])
+
+    def write(first):
+        rows = df.withColumn("id", F.col("id") + first)
+        if kind == "partition":
+            writes.replace_batch(rows, name, START, staged=True)
+        else:
+            writes.full_refresh(rows, name, staged=True)
+
+    def ids():
+        return sorted(r["id"] for r in spark.table(name).collect())
+
+    write(0)
+    write(10)
+    assert ids() == [11, 12]
+
+    def stop(*args, **kwargs):
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        if step == "write":  # new files are there, the catalog does not know them
+            real = type(spark).sql
+            patch.setattr(type(spark), "sql", lambda self, text, *a, **k: stop() if "LOCATION '" in text else real(self, text, *a, **k))
+        elif step == "switch":
+            patch.setattr(type(spark.catalog), "refreshTable", stop)
+        else:
+            patch.setattr(publish.FileSystem, "delete", stop)
+        with pytest.raises(Killed):
+            write(20)
+    spark.catalog.refreshTable(name)
+    assert ids() == ([11, 12] if step == "write" else [21, 22])
+    write(30)
+    assert ids() == [31, 32]
+    folder = files_of(spark, name).pop().rpartition("/")[0].rpartition("/")[0]
+    assert len(publish.FileSystem(spark).children(folder)) == 1  # nothing of the killed run is left
+
+
+def test_a_window_rewrites_only_the_batches_that_it_cuts(spark):
+    name = scratch_table(spark, "batched")
+    rows = [(i, START.replace(day=1 + i % 28), START.replace(month=1 + i // 28)) for i in range(28 * 4)]
+    df = spark.createDataFrame([(i, d.replace(month=b.month), b) for i, d, b in rows], "id int, d date, batch_date date")
+    tables.create_table(spark, name, df.schema, ["batch_date"])
+    writes.append(df, name)
+    before = {f for f in files_of(spark, name)}
+    new = spark.createDataFrame([(1000, START.replace(month=2, day=3), START.replace(month=12))], "id int, d date, batch_date date")
+    writes.replace_window(new, name, "d", START.replace(month=2, day=1), START.replace(month=2, day=20))
+    after = files_of(spark, name)
+    kept = {f for f in before if "batch_date=%d-02" % START.year not in f}
+    assert kept < after and not (before - kept) & after
+    want = sorted(r["id"] for r in df.collect() if not (r["d"].month == 2 and r["d"].day < 20)) + [1000]
+    assert sorted(r["id"] for r in spark.table(name).collect()) == want
+    writes.replace_window(new.limit(0), name, "d", START.replace(month=2, day=1), START.replace(month=4, day=1))
+    assert sorted({r["d"].month for r in spark.table(name).collect()}) == [1, 4]
+    assert {r["partition"] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()} == {f"batch_date={START.year}-0{m}-10" for m in (1, 4)}
+    assert {f for f in before if "-01-10/" in f or "-04-10/" in f} == files_of(spark, name)
+
+
+def test_old_plans_are_deleted_partition_by_partition(spark):
+    name = scratch_table(spark, "plans")
+    rows = [("d", START.replace(month=m), f"r{i}", datetime(2024, 1, 1, i), part) for m, n in ((1, 3), (2, 7), (3, 5)) for i in range(n) for part in (0, 1)]
+    df = spark.createDataFrame(rows, "dag_id string, exec_date date, run_id string, create_time timestamp_ntz, part int")
+    tables.create_table(spark, name, df.schema, ["exec_date"])
+    writes.append(df.unionByName(df.filter("exec_date IS NULL")), name)
+    before = files_of(spark, name)
+    assert retention.delete_old_plans(spark, name, 5) == 4
+    assert {f for f in before if "-02-" not in f} < files_of(spark, name)
+    left = spark.table(name).filter("month(exec_date) = 2").select("run_id").distinct().collect()
+    assert sorted(r["run_id"] for r in left) == ["r2", "r3", "r4", "r5", "r6"]
+    assert retention.delete_old_plans(spark, name, 5) == 0 == retention.delete_old_plans(spark, name, 0)
+
+
+def test_an_append_with_keys_that_are_not_new_is_refused(spark):
+    name = scratch_table(spark, "keyed")
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 3)], "id int, kind string, v int")
+    tables.create_table(spark, name, df.schema)
+    writes.append_checked(df, name, ["id", "kind"])
+    for bad, why in (([(2, "a", 9), (3, "a", 9)], "known"), ([(5, "x", 1), (5, "x", 2)], "repeated"), ([(None, "x", 1)], "null")):
+        with pytest.raises(ValueError, match=why):
+            writes.append_checked(spark.createDataFrame(bad, df.schema), name, ["id", "kind"])
+        assert spark.table(name).count() == 3
+    writes.append_checked(spark.createDataFrame([(2, "b", 4)], df.schema), name, ["id", "kind"])
+    writes.append_checked(df.limit(0), name, ["id", "kind"])
+    assert spark.table(name).count() == 4

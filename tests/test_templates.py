@@ -74,6 +74,29 @@ def test_split_insert_reads_tokens(text, split):
     assert split_insert(text) == split
 
 
+@pytest.mark.parametrize("text", ["FROM {src} INSERT INTO {tgt} SELECT a", "WITH q AS (SELECT a FROM {src}) FROM q INSERT INTO {tgt} SELECT a INSERT INTO {tgt} SELECT a + 1", "FROM {src} INSERT OVERWRITE TABLE {tgt} SELECT a"])
+def test_inserts_after_from_are_refused_and_write_nothing(spark, text):
+    src, tgt = scratch_table(spark, "src"), scratch_table(spark, "tgt")
+    for name in (src, tgt):
+        spark.sql(f"CREATE TABLE {name} (a int) USING parquet")
+    spark.sql(f"INSERT INTO {src} VALUES (1)")
+    with pytest.raises(TemplateError):
+        transforms.sql_frame(spark, text.format(src=src, tgt=tgt), "2024-01-01", "daily")
+    assert spark.table(tgt).count() == 0
+
+
+def test_a_recursive_query_with_a_limit_is_a_query(spark):
+    text = "WITH RECURSIVE t(n) MAX RECURSION LEVEL 50 AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 5) SELECT n FROM t"
+    assert sorted(r[0] for r in transforms.sql_frame(spark, text, "2024-01-01", "daily").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_rows_that_a_statement_affected(spark):
+    name = scratch_table(spark, "counted")
+    spark.sql(f"CREATE TABLE {name} (a int, b string) USING parquet")
+    text = f"INSERT INTO {name} (b, a) SELECT 'x', id FROM range(7); INSERT INTO TABLE {name} VALUES (8, 'y'); SELECT * FROM {name} WHERE a < 3; DROP TABLE {name}"
+    assert run_statements(spark, text) == [7, 1, 3, None]
+
+
 @pytest.mark.parametrize("text", ["DELETE FROM t", "INSERT OVERWRITE t SELECT 1", "DROP TABLE t", "SELECT 1; SELECT 2", "", "-- nothing", "INSERT INTO t"])
 def test_what_is_no_query_is_refused_before_it_runs(spark, text):
     with pytest.raises(TemplateError):
