@@ -227,12 +227,13 @@ def _places(text: str | None, p: np.ndarray) -> list[dict]:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document."""
+    """``doc_id, held_out, score, predicted`` of every document and ``offences``, the places of the
+    sentences that are themselves at the threshold or above (none in most documents)."""
     model = train(docs, labels)
-    out = scored(docs.select("doc_id", "text"), model)
+    out = scored(docs.select("doc_id", "text"), model, places=True)
     return out.select(
         "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offences",
     )
 
 

@@ -86,6 +86,7 @@ def test_toxicity_held_out_and_places(spark):
     rows = toxicity.report(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.97  # some junk labelled toxic holds nothing that is
     assert sum(r["toxic"] for r in rows) > 20
+    assert all(not r["offences"] or r["predicted"] for r in rows) and any(r["offences"] for r in rows)
 
 
 def test_gradient_is_that_of_the_likelihood():
