@@ -213,7 +213,9 @@ def in_order(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules=SC
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and the time of the first copy."""
+    """``doc_id, size, source_size, target, taken`` and the time of the first copy, range-sorted by
+    that time; documents that are not taken come last."""
     rows = _assigned(_thin(docs), WEIGHTS, MOST)
     first = F.when(F.col("taken") > 0, _time(F.col("before"), F.when(F.col("rounds") > 0, F.col("size")).otherwise(F.col("last")), SCHEDULES))
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("first_time"))
+    out = rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("first_time"))
+    return out.orderBy(F.asc_nulls_last("first_time"), "doc_id")
