@@ -1,7 +1,14 @@
 """From documents to packed training sequences: five stages, each a table.
 
 ``run`` applies the stages to ``documents``; each is written as parquet and read back, so a
-stage's input is files that every executor sees.
+stage's input is files that every executor sees. A stage that gets files works on them where they
+lie; of any other frame it stores a copy first.
+
+Defined cases: a null or empty text is not toxic, is one group in exact dedup (the least ``doc_id``
+stays) and has no words for the mix to take; a null ``doc_id`` loses to any other in a group; of
+rows with equal id and text one stays; a text of any length is read whole; an empty table passes
+through all stages as an empty table; other columns, whatever their names, come with their rows up
+to the last stage.
 """
 
 from __future__ import annotations
