@@ -4,10 +4,9 @@ Pieces of at most ``capacity`` tokens are counted by length (at most ``capacity`
 the corpus). A configuration is a multiset of lengths that fits one sequence. Its linear program
 (as few configurations as cover every length) is solved by multiplicative weights: every length
 has a weight that falls as it is covered; a knapsack table over the capacity, filled by dynamic
-programming, prices the best configuration for each length that is behind; the configurations
-enter with a step of the scarcest length in them. The result is rounded down and the rest goes
-through the same program again; 20,000 pieces or fewer, a whole table of that size included, are
-placed best fit, and a rest above 200,000 as copies of a best fit of a fraction of it. Only the
+programming, prices the best configuration for each of the longest lengths that are left; the
+configurations enter with a step of the scarcest length in them, rounded down to whole sequences.
+Best fit completes what the program has covered, where that takes fewest sequences. Only the
 histogram and the configurations are on the driver. On the executors each piece gets its rank
 among pieces of its length (counted per hash bucket, so that a length that a third of all pieces
 have is spread) and looks its sequence up by (length, rank).
@@ -20,7 +19,6 @@ come; equal lengths are ordered by hash, then document and piece.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,128 +66,142 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
 # --- the program over the histogram, on the driver --------------------------------------------
 
 
-def knapsack(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every room 0..capacity the best total value of lengths that fit, and the length to
-    take first (0: leave one unit empty). ``value[n]`` is the worth of length n."""
-    capacity = len(value) - 1
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        worth = best[room - 1 :: -1] + value[1 : room + 1] if room > 1 else best[:1] + value[1:2]
-        k = int(worth.argmax())
-        if worth[k] > best[room - 1]:
-            best[room], take[room] = worth[k], k + 1
-        else:
-            best[room] = best[room - 1]
-    return best, take
-
-
-def _configuration(first: int, take: np.ndarray, left: np.ndarray) -> Counter:
-    """``first`` and the best that the table puts beside it, as far as pieces are left."""
-    room, used = len(take) - 1 - first, Counter({first: 1})
+def knapsack(value: np.ndarray) -> np.ndarray:
+    """For every room 0..capacity the best total value of lengths that fit; ``value[n]`` is the
+    worth of length n."""
+    best = np.zeros(len(value))
+    for room in range(1, len(value)):
+        best[room] = max(best[room - 1], (best[room - 1 :: -1] + value[1 : room + 1]).max())
+    return best
+
+
+def best_fit(counts: np.ndarray) -> dict[Configuration, int]:
+    """Each piece, longest first, into the fullest sequence that still takes it.
+
+    Sequences that hold the same are placed into together, so the work does not grow with the
+    number of pieces.
+    """
+    capacity = len(counts) - 1
+    groups: list[list[tuple[Configuration, int]]] = [[] for _ in range(capacity + 1)]  # by room left
+    waiting = np.zeros(capacity + 1, bool)
+
+    def put(contents: Configuration, many: int, room: int) -> None:
+        if many:
+            groups[room].append((contents, many))
+            waiting[room] = True
+
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        left, waiting[0] = int(counts[n]), False
+        while left:
+            room = n + int(waiting[n:].argmax())
+            if not waiting[room]:  # no sequence takes it: begin new ones
+                room, contents, many = capacity, (), left
+            else:
+                contents, many = groups[room].pop()
+                waiting[room] = bool(groups[room])
+            each = room // n
+            full = min(many, left // each)
+            left -= full * each
+            put((*contents, (n, each)), full, room - n * each)
+            if full < many and left:  # fewer pieces than one more sequence takes
+                put((*contents, (n, left)), 1, room - n * left)
+                full, left = full + 1, 0
+            if contents:
+                put(contents, many - full, room)
+    chosen: Counter[Configuration] = Counter()
+    for group in groups:
+        for contents, many in group:
+            chosen[contents] += many
+    return dict(chosen)
+
+
+def _configuration(first: int, value: np.ndarray, best: np.ndarray, left: np.ndarray, present: np.ndarray) -> dict[int, int]:
+    """``first`` and beside it, one after another, the piece of which the table promises most
+    among lengths that are not used up."""
+    room, used = len(best) - 1 - first, {first: 1}
     while room > 0:
-        n = int(take[room])
-        if not n:
-            room -= 1
-        elif used[n] < left[n]:
-            used[n] += 1
-            room -= n
-        else:  # all pieces of this length are in: try the room below it
-            room -= 1
+        fit = present[: np.searchsorted(present, room, side="right")]
+        worth = value[fit] + best[room - fit]
+        while len(fit):
+            at = int(worth.argmax())
+            n = int(fit[at])
+            if worth[at] < 0 or used.get(n, 0) < left[n]:
+                break
+            worth[at] = -1
+        if not len(fit) or worth[at] < 0:
+            break
+        used[n] = used.get(n, 0) + 1
+        room -= n
     return used
 
 
 @dataclass
-class Solution:
-    """Weights of configurations, and the bound below which no packing gets."""
+class Priced:
+    """What one pricing added: configurations with their weights, the pieces that are then left
+    uncovered, and the bound below which no packing gets."""
 
-    weights: dict[Configuration, float]
+    weights: list[tuple[Configuration, int]]
+    left: np.ndarray
     bound: float
 
 
-def solve(counts: np.ndarray, sweeps: int = 60, rate: float = 0.7, seeds: int = 48) -> Solution:
-    """Multiplicative weights for the program ``counts`` (index: length)."""
+def solve(counts: np.ndarray, rate: float = 0.05, seeds: int = 64, slack: float = 0.001) -> Iterator[Priced]:
+    """Multiplicative weights for the program ``counts`` (index: length), pricing by pricing.
+
+    A length is worth its share of a sequence times a weight that falls by ``exp(-rate * share
+    covered)``. A table of these prices serves the ``seeds`` longest lengths that are left, as long
+    as a configuration comes within ``slack`` sequences of what the table promises.
+    """
     capacity = len(counts) - 1
-    present = np.flatnonzero(counts)
-    size = present / capacity
-    covered = np.zeros(capacity + 1)
-    weights: dict[Configuration, float] = {}
+    left = counts.astype(np.int64).copy()
     bound = float(counts @ np.arange(capacity + 1)) / capacity
-    for _ in range(sweeps):
-        behind = present[covered[present] < 1]
-        if not len(behind):
-            break
+    while left.any():
+        present = np.flatnonzero(left)
         value = np.zeros(capacity + 1)
-        value[present] = size * np.exp(-rate * (covered[present] - covered[present].min()))
-        best, take = knapsack(value)
+        value[present] = present / capacity * np.exp(-rate * (1 - left[present] / counts[present]))
+        best = knapsack(value)
         bound = max(bound, float(counts @ value) / best[capacity])
-        value[covered >= 1] *= 0.5
-        worst = behind[np.argsort(-value[behind] / behind * (1 - covered[behind]), kind="stable")][:seeds]
-        for first in worst.tolist():
-            if covered[first] >= 1:
-                continue
-            used = _configuration(first, take, counts)
-            # a step that the scarcest length bears
-            step = min((counts[n] * max(1 - covered[n], 0.02)) / k for n, k in used.items())
-            step = min(step, counts[first] * (1 - covered[first]))
-            key = tuple(sorted(used.items(), reverse=True))
-            weights[key] = weights.get(key, 0.0) + step
-            for n, k in used.items():
-                covered[n] += step * k / counts[n]
-    return Solution(weights, bound)
-
-
-def best_fit(counts: np.ndarray) -> dict[Configuration, int]:
-    """Each piece, longest first, into the fullest sequence that still takes it."""
-    capacity = len(counts) - 1
-    rooms: list[tuple[int, int]] = []
-    contents: list[list[int]] = []
-    for n in np.flatnonzero(counts)[::-1].tolist():
-        for _ in range(int(counts[n])):
-            at = bisect_left(rooms, (n, -1))
-            if at < len(rooms):
-                room, which = rooms.pop(at)
-            else:
-                room, which = capacity, len(contents)
-                contents.append([])
-            contents[which].append(n)
-            if room > n:
-                insort(rooms, (room - n, which))
-    return dict(Counter(tuple(sorted(Counter(c).items(), reverse=True)) for c in contents))
-
-
-def configurations(counts: np.ndarray, few: int = 20_000) -> tuple[dict[Configuration, int], float]:
+        weights: list[tuple[Configuration, int]] = []
+        for first in present[::-1][:seeds].tolist():
+            while left[first]:
+                used = _configuration(first, value, best, left, present)
+                worth = sum(value[n] * k for n, k in used.items())
+                if weights and worth < value[first] + best[capacity - first] - slack:
+                    break  # lengths that it counts on are used up: price again
+                # a step that the scarcest length bears, rounded down to whole sequences
+                step = min(int(left[n]) // k for n, k in used.items())
+                weights.append((tuple(sorted(used.items(), reverse=True)), step))
+                for n, k in used.items():
+                    left[n] -= k * step
+        yield Priced(weights, left.copy(), bound)
+
+
+def configurations(counts: np.ndarray, pricings: int = 400, every: int = 8) -> tuple[dict[Configuration, int], float]:
     """Whole configurations that hold every piece once, and the program's lower bound.
 
-    ``few``: so many pieces, or what rounding leaves when it stops paying, are placed best fit.
+    What the program has covered after every ``every`` pricings is completed best fit, and the
+    completion with the fewest sequences stays, so that it never takes more than best fit alone.
+    It ends when all is covered, at the bound, or after ``pricings`` (a bound on the driver's work).
     """
-    left, chosen, bound = counts.astype(np.int64).copy(), Counter(), None
-    lengths = np.arange(len(counts))
-    capacity = len(counts) - 1
-    while left.sum() > few:
-        solution = solve(left)
-        bound = solution.bound if bound is None else bound
-        before = left.sum()
-        # no emptier than the bound allows on average: what is emptier waits for the next round
-        full = np.floor(left @ lengths / solution.bound) if solution.bound else 0
-        fullest = sorted(solution.weights.items(), key=lambda w: (-sum(n * k for n, k in w[0]), -w[1], w[0]))
-        for used, weight in fullest:
-            if sum(n * k for n, k in used) < full:
-                break
-            copies = min([int(weight), *(left[n] // k for n, k in used)])
-            if copies:
-                chosen[used] += int(copies)
-                for n, k in used:
-                    left[n] -= copies * k
-        if before - left.sum() < 0.05 * before:
+    counts = counts.astype(np.int64)
+    steps: list[tuple[Configuration, int]] = []
+    kept, rest = 0, best_fit(counts)  # steps that stay, and what completes them
+    fewest, bound = sum(rest.values()), 0.0
+    for number, priced in enumerate(solve(counts), 1):
+        steps += priced.weights
+        bound = priced.bound
+        if number % every and number < pricings and priced.left.any():
+            continue
+        completion = best_fit(priced.left)
+        total = sum(many for _, many in steps) + sum(completion.values())
+        if total <= fewest:
+            kept, rest, fewest = len(steps), completion, total
+        if number >= pricings or fewest < bound + 1:
             break
-    while left.sum() > 10 * few and (left // (-(-left.sum() // few))).any():
-        # the rounding no longer pays on a large rest: pack a fraction of it, that many times
-        times = int(-(-left.sum() // few))
-        for used, copies in best_fit(left // times).items():
-            chosen[used] += copies * times
-        left %= times
-    chosen.update(best_fit(left))
-    return dict(chosen), bound if bound is not None else float(counts @ lengths) / capacity
+    chosen = Counter(rest)
+    for used, many in steps[:kept]:
+        chosen[used] += many
+    return dict(chosen), bound
 
 
 def layout(chosen: dict[Configuration, int]) -> dict[str, np.ndarray]:

@@ -112,7 +112,7 @@ def test_program_on_small_cases():
         counts = np.zeros(13, np.int64)
         for _ in range(8):
             counts[rnd.randint(1, 12)] += 1
-        chosen, bound = packing.configurations(counts, few=3)
+        chosen, bound = packing.configurations(counts)
         held = np.zeros_like(counts)
         for used, copies in chosen.items():
             assert sum(n * k for n, k in used) <= 12
@@ -127,14 +127,68 @@ def test_program_on_large_counts():
     rnd = np.random.default_rng(1)
     counts = np.zeros(257, np.int64)
     counts[rnd.integers(1, 257, 200)] = rnd.integers(1, 5000, 200)
-    chosen, bound = packing.configurations(counts, few=500)
+    chosen, bound = packing.configurations(counts)
     assert sum(chosen.values()) <= 1.1 * bound + 2  # half a capacity each on average: the hard case
+    assert sum(chosen.values()) <= sum(packing.best_fit(counts).values())
     thirds = np.zeros(257, np.int64)
     thirds[100] = 90_001  # two in a sequence, never three
-    chosen, bound = packing.configurations(thirds, few=500)
+    chosen, bound = packing.configurations(thirds)
     assert sum(chosen.values()) == 45_001 and bound > 44_999
 
 
+def one_by_one(counts):
+    """Best fit, piece by piece: how much each sequence holds."""
+    capacity, held = len(counts) - 1, []
+    for n in range(capacity, 0, -1):
+        for _ in range(int(counts[n])):
+            fullest = max((h for h in held if h + n <= capacity), default=None)
+            if fullest is None:
+                held.append(n)
+            else:
+                held[held.index(fullest)] = fullest + n
+    return sorted(held)
+
+
+def test_best_fit_in_groups_is_best_fit():
+    rnd = np.random.default_rng(3)
+    for capacity in (1, 2, 7, 40, 100):
+        for pieces in (0, 1, 30, 400):
+            counts = np.bincount(rnd.integers(1, capacity + 1, pieces), minlength=capacity + 1)
+            filled = [sum(n * k for n, k in used) for used, many in packing.best_fit(counts).items() for _ in range(many)]
+            assert sorted(filled) == one_by_one(counts)
+    # the work does not grow with the pieces
+    assert sum(packing.best_fit(np.array([0, 0, 0, 10**12, 0, 0, 0])).values()) == 5 * 10**11
+
+
+def held_by(chosen, capacity):
+    held = np.zeros(capacity + 1, np.int64)
+    for used, copies in chosen.items():
+        assert copies > 0 and sum(n * k for n, k in used) <= capacity
+        for n, k in used:
+            held[n] += k * copies
+    return held
+
+
+def test_program_never_above_best_fit():
+    rnd = np.random.default_rng(1)
+    draws = {
+        "uniform": rnd.uniform(1000, 3000, 40_000), "many uniform": rnd.uniform(1000, 3000, 1_000_000),
+        "normal": rnd.normal(2048, 300, 25_000), "log-normal": rnd.lognormal(7, 0.8, 300_000), "few": rnd.lognormal(5.5, 0.8, 30),
+    }
+    for name, lengths in draws.items():
+        counts = np.bincount(np.clip(lengths.astype(int), 1, 4096), minlength=4097)
+        chosen, bound = packing.configurations(counts)
+        assert (held_by(chosen, 4096) == counts).all()
+        taken, plain = sum(chosen.values()), sum(packing.best_fit(counts).values())
+        assert bound <= taken <= plain
+        if "uniform" in name:  # here the program must pay
+            assert taken < plain and taken < 1.005 * bound
+
+
+def test_no_pieces():
+    assert packing.configurations(np.zeros(5, np.int64)) == ({}, 0.0)
+
+
 def test_block_round_trip_and_checkpoints():
     rnd = np.random.default_rng(2)
     for n in (1, 2, 63, 64, 1000, 300_000):
