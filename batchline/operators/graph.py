@@ -41,55 +41,72 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
 
 
 def _trim(scratch: Scratch, edges: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Cut edges that lead nowhere or come from nowhere until only those that can be on a
-    cycle, or between cycles, remain."""
+    """Cut edges that lead nowhere or come from nowhere, which are on no cycle, as long as a pass
+    cuts a hundredth of them: so the passes grow with the logarithm of the edges."""
     while size:
         into = edges.select(F.col("dst").alias("node")).distinct()
         out_of = edges.select(F.col("src").alias("node")).distinct()
         kept = edges.join(into, edges["src"] == into["node"], "left_semi")
         kept = kept.join(out_of, kept["dst"] == out_of["node"], "left_semi")
-        smaller, left = scratch.save(kept, "trimmed")
-        scratch.forget(edges)
-        if left == size:
-            return smaller, left
-        edges, size = smaller, left
+        before = edges
+        edges, left = scratch.save(kept, "trimmed")
+        scratch.forget(before)
+        if left > 0.99 * size:
+            return edges, left
+        size = left
     return edges, size
 
 
+_HOPS = 8
+
+
 def _spread_least(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """For each node the least node that leads to it (itself included): ``node, label``."""
+    """For each node the least node that leads to it (itself included), least by hash, then by
+    name: ``node, label`` with a label of ``hash, node``.
+
+    A round takes labels one hop along the edges; from the ninth on every node then takes the
+    label of its label, since what leads to that leads to it. So a label crosses a cycle or chain
+    in a number of rounds that grows with the logarithm of its length.
+    """
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    labels, size = scratch.save(
-        ends.select("node", F.col("node").alias("label"), F.lit(True).alias("changed")), "labels"
-    )
-    while size:
-        changed = labels.filter("changed").select("node", "label")
-        offered = (
-            edges.join(changed, edges["src"] == changed["node"])
-            .groupBy("dst").agg(F.min("label").alias("offer"))
-        )
+    own = F.struct(F.xxhash64("node").alias("hash"), "node")
+    labels, size = scratch.save(ends.select("node", own.alias("label"), F.lit(True).alias("changed")), "labels")
+    number = 0
+
+    def lowered(offers: DataFrame, on: Column, changed: Column) -> None:
+        nonlocal labels, size
         lower = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
-        merged = labels.join(offered, labels["node"] == offered["dst"], "left").select(
-            "node",
-            F.when(lower, F.col("offer")).otherwise(F.col("label")).alias("label"),
-            lower.alias("changed"),
+        merged = labels.join(offers, on, "left").select(
+            "node", F.when(lower, F.col("offer")).otherwise(F.col("label")).alias("label"), (lower | changed).alias("changed")
         )
         before = labels
         labels, size = scratch.save(merged, "labels", counted="changed")
         scratch.forget(before)
+
+    while size:
+        number += 1
+        changed = labels.filter("changed").select(F.col("node").alias("src"), "label")
+        offered = edges.join(changed, "src").groupBy("dst").agg(F.min("label").alias("offer"))
+        lowered(offered, labels["node"] == offered["dst"], F.lit(False))
+        if size and number > _HOPS:
+            # only of labels that have a lower one themselves
+            further = labels.filter("node <> label.node").select(F.col("node").alias("by"), F.col("label").alias("offer"))
+            lowered(further, labels["label.node"] == further["by"], F.col("changed"))
     return labels.select("node", "label")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Strongly connected components that hold a cycle: ``node, component``.
+    """Strongly connected components that hold a cycle: ``node, component`` (its least node).
 
-    Each round labels every node with the least node that leads to it. The nodes of one
-    label that lead back to the label's own node are one component. They are taken out and
-    the rest goes into the next round, so the rounds end when no edge is left.
+    Each round labels every node with the least node that leads to it, least by hash, and within
+    one label with the least that it leads to. Where both are the same node, all of that label,
+    if several, are one component. Any other component lies within one label both ways, so edges between labels
+    go, as do the labels' own nodes, which are settled. Since the hash has nothing to do with the
+    order along the edges, few rounds are needed whatever the length of cycles and chains.
     """
     scratch = Scratch(edges.sparkSession, "components")
     kind = dict(edges.dtypes)["src"]
-    found = Rounds(scratch, "found", f"node {kind}, component {kind}", "round")
+    found = Rounds(scratch, "found", f"node {kind}, label struct<hash:bigint,node:{kind}>", "round")
     edges, size = scratch.save(edges, "edges")
     loops, n_loops = scratch.save(edges.filter("src = dst").toDF("node", "component"), "loops")
     if n_loops:
@@ -99,20 +116,23 @@ def components(edges: DataFrame) -> DataFrame:
     while size:
         number += 1
         labels = _spread_least(scratch, edges)
-        inside = _inside(edges, labels)
+        inside, size = scratch.save(_inside(edges, labels), "inside")
+        if not size:
+            break
         backward = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        roots = labels.filter("node = label").select("node")
-        back = reach(backward, roots).select("node")
-        on_cycle = labels.join(back, "node", "left_semi").withColumnRenamed("label", "component")
-        part, _ = found.add(on_cycle, number)
-        # a root that does not lead back to itself is on no cycle: it is settled as well
-        gone, _ = scratch.save(part.select("node").union(roots).distinct(), "gone")
-        left = edges.join(gone, edges["src"] == gone["node"], "left_anti")
-        left = left.join(gone, left["dst"] == gone["node"], "left_anti")
-        rest, size = scratch.save(left, "rest")
+        led_to = _spread_least(scratch, backward).withColumnRenamed("label", "least")
+        both, _ = scratch.save(labels.join(led_to, "node"), "both")
+        found.add(both.filter("label = least").select("node", "label"), number)
+        # a label's own node leads back to itself, or is on no cycle
+        open_ones = both.filter("label <> least AND node <> label.node")
+        groups = open_ones.select("node", F.struct("label", "least").alias("group"))
+        rest, size = scratch.save(_inside(inside, groups), "rest")
         scratch.forget_all(but=(loops, rest))
         edges, size = _trim(scratch, rest, size)
-    result = found.all().drop("round")
+    members = found.all()
+    # a label's own node alone is no cycle
+    least = members.groupBy("label").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    result = members.join(least, "label").select("node", "component")
     return result.unionByName(loops.join(result, "node", "left_anti"))
 
 

@@ -10,7 +10,7 @@ array per group, so that a table read by a third of all scripts stays divisible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchline.functions.values import FILE_LOADER, script_defaults, script_id
@@ -182,18 +182,8 @@ def closure_resources(enabled: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     )
 
 
-def script_chain(
-    starts: DataFrame, nodes: DataFrame, edges: DataFrame, level: str = "self"
-) -> DataFrame:
-    """Scripts upstream of the starting scripts with their least distance.
-
-    ``starts`` has ``table_name, script_name``. ``self`` is the starts alone; ``resource``
-    stops before data sources; ``source`` ends with them (they have no script). A table
-    takes part through its first named script; files end a chain at the file loader.
-    """
-    own = starts.select("table_name", "script_name", F.lit(0).alias("depth")).distinct()
-    if level == "self":
-        return own.withColumn("script_id", script_id(F.col("script_name"), F.col("table_name")))
+def _walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, level: str) -> DataFrame:
+    """Steps from a (table, script) to those it needs: ``src, dst``."""
     if level not in ("resource", "source"):
         raise ValueError(f"unknown level: {level}")
     hops = one_hop(nodes, edges).filter("label IN ('DataModel', 'DataResource') AND script_name <> ''")
@@ -214,9 +204,24 @@ def script_chain(
         members.select(F.col("table_name").alias("source"), F.col("script_name").alias("next_script")),
         "source",
     )
-    walk = step.select(
+    return step.select(
         _step("target", "script_name").alias("src"), _step("source", "next_script").alias("dst")
     ).distinct()
+
+
+def script_chain(
+    starts: DataFrame, nodes: DataFrame, edges: DataFrame, level: str = "self"
+) -> DataFrame:
+    """Scripts upstream of the starting scripts with their least distance.
+
+    ``starts`` has ``table_name, script_name``. ``self`` is the starts alone; ``resource``
+    stops before data sources; ``source`` ends with them (they have no script). A table
+    takes part through its first named script; files end a chain at the file loader.
+    """
+    own = starts.select("table_name", "script_name", F.lit(0).alias("depth")).distinct()
+    if level == "self":
+        return own.withColumn("script_id", script_id(F.col("script_name"), F.col("table_name")))
+    walk = _walk(starts, nodes, edges, level)
     seeds = starts.select(_step("table_name", "script_name").alias("node"))
     found = graph.reach(walk, seeds).join(seeds, "node", "left_anti")
     upstream = found.select(
@@ -228,6 +233,36 @@ def script_chain(
     )
 
 
+def chain_order(starts: DataFrame, nodes: DataFrame, edges: DataFrame, level: str = "resource") -> DataFrame:
+    """The scripts of a chain in an order in which they can run: ``place, step, table_name, script_name, script_id``.
+
+    ``place`` is 0 for a script that needs none of the chain, else one more than the highest of
+    those it needs, itself and scripts of its own cycle left aside; scripts of one place may run
+    side by side. ``step`` numbers all scripts from 1 by place, then id: places are counted first
+    and only ranks within a place are sorted. Data sources have no script and no place.
+    """
+    scratch = Scratch(edges.sparkSession, "order")
+    chain, _ = scratch.save(script_chain(starts, nodes, edges, level).filter("script_name IS NOT NULL"), "chain")
+    members = chain.select(_step("table_name", "script_name").alias("node"), "script_id").distinct()
+    if level == "self":
+        placed = members.withColumn("level", F.lit(0))
+    else:
+        walk = _walk(starts, nodes, edges, level)
+        inside = walk.join(members.select(F.col("node").alias("src")), "src", "left_semi")
+        inside = inside.join(members.select(F.col("node").alias("dst")), "dst", "left_semi")
+        placed = members.join(graph.levels(inside, members.select("node")), "node")
+    stored, _ = scratch.save(placed, "placed")
+    # one row for each place
+    before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy("level").agg(F.count(F.lit(1)).alias("size"))
+    bases = sizes.select("level", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("level").orderBy("script_id", "node"))
+    return stored.withColumn("rank", rank).join(bases, "level").select(
+        F.col("level").alias("place"), (F.col("base") + F.col("rank")).alias("step"),
+        "node.table_name", "node.script_name", "script_id",
+    )
+
+
 def _step(table: str, script: str) -> Column:
     # an empty script name stands for none: struct fields with nulls would not join
     return F.struct(

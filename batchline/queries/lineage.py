@@ -62,6 +62,15 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.script_chain(starts, nodes, edges, "resource")
 
 
+def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order to run the chains of all enabled scripts of the SQL kind by hand."""
+    nodes, edges = _graph(spark, sf_dir)
+    starts = edges.filter("schedule_status AND script_type = 'sql' AND script_name IS NOT NULL").select(
+        F.col("target").alias("table_name"), "script_name"
+    )
+    return lineage.chain_order(starts, nodes, edges, "resource")
+
+
 def invalid_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
     return lineage.valid_tables(nodes, edges, "downstream").select("en_name", "label", "status")
@@ -167,6 +176,7 @@ QUERIES = {
     "passive_expand": passive_expand,
     "closure_resources": closure_resources,
     "bfs_levels": bfs_levels,
+    "chain_order": chain_order,
     "invalid_downstream": invalid_downstream,
     "invalid_upstream": invalid_upstream,
     "script_deps": script_deps,
@@ -205,6 +215,16 @@ _SCRIPTS = (
     "JOIN ids b ON b.target = n.source WHERE a.script_id <> b.script_id) "
 )
 
+# steps from scripts to those that they need, and the walk from the enabled scripts of the SQL kind
+_WALK = (
+    f", hops AS ({_HOPS}), named AS (SELECT * FROM hops WHERE label <> 'DataSource' AND script_name IS NOT NULL), "
+    "first AS (SELECT target, min(script_name) AS script_name FROM named GROUP BY target), "
+    "starts AS (SELECT DISTINCT target, script_name FROM edges WHERE schedule_status AND script_type = 'sql' AND script_name IS NOT NULL), "
+    "step AS (SELECT DISTINCT n.target, n.script_name, f.target AS next_target, f.script_name AS next_script FROM named n JOIN first f ON f.target = n.source), "
+    "walk AS (SELECT target, script_name, 0 AS depth FROM starts UNION "
+    "SELECT s.next_target, s.next_script, depth + 1 FROM walk w JOIN step s ON s.target = w.target AND s.script_name = w.script_name)"
+)
+
 
 def _valid(ends: str) -> str:
     return with_views(
@@ -260,16 +280,20 @@ ORACLE = {
     ),
     "bfs_levels": with_views(
         ["nodes", "edges"],
-        f", hops AS ({_HOPS}), named AS (SELECT * FROM hops WHERE label <> 'DataSource' AND script_name IS NOT NULL), "
-        "first AS (SELECT target, min(script_name) AS script_name FROM named GROUP BY target), "
-        "starts AS (SELECT DISTINCT target, script_name FROM edges WHERE schedule_status AND script_type = 'sql' AND script_name IS NOT NULL), "
-        "step AS (SELECT DISTINCT n.target, n.script_name, f.target AS next_target, f.script_name AS next_script FROM named n JOIN first f ON f.target = n.source), "
-        "walk AS (SELECT target, script_name, 0 AS depth FROM starts UNION "
-        "SELECT s.next_target, s.next_script, depth + 1 FROM walk w JOIN step s ON s.target = w.target AND s.script_name = w.script_name) "
-        "SELECT target AS table_name, script_name, min(depth) AS depth, replace(script_name, '.', '_') || '_' || target AS script_id "
+        f"{_WALK} SELECT target AS table_name, script_name, min(depth) AS depth, replace(script_name, '.', '_') || '_' || target AS script_id "
         "FROM walk GROUP BY target, script_name",
         recursive=True,
     ),
+    "chain_order": with_views(
+        ["nodes", "edges"],
+        f"{_WALK}, members AS (SELECT DISTINCT target, script_name FROM walk), "
+        "lv AS (SELECT target, script_name, 0 AS place FROM members UNION "
+        "SELECT s.target, s.script_name, place + 1 FROM lv JOIN step s ON s.next_target = lv.target AND s.next_script = lv.script_name "
+        "JOIN members m ON m.target = s.target AND m.script_name = s.script_name), "
+        "r AS (SELECT max(place) AS place, target AS table_name, script_name, replace(script_name, '.', '_') || '_' || target AS script_id FROM lv GROUP BY target, script_name) "
+        "SELECT *, row_number() OVER (ORDER BY place, script_id, table_name, script_name) AS step FROM r",
+        recursive=True,
+    ),
     "invalid_downstream": _valid("SELECT w.target FROM hit JOIN within w ON w.source = hit.en_name"),
     "invalid_upstream": _valid("SELECT w.source FROM hit JOIN within w ON w.target = hit.en_name"),
     "script_deps": with_views(

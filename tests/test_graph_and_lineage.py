@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from batchline.operators import graph, lineage
 from batchline.plans import schedule
+from batchline.scratch import Scratch
 
 EDGE = "target string, source string, rel string, script_name string, script_type string, update_mode string, schedule_frequency string, schedule_status boolean"
 NODE = "en_name string, label string, type string, status boolean, schedule_frequency string, update_mode string, schedule_status boolean"
@@ -53,6 +54,24 @@ def test_components_and_levels_against_brute_force(spark, seed, nodes, edges):
         assert level[node] == (1 + max(needs) if needs else 0)
 
 
+@pytest.mark.parametrize("pairs", [
+    [(0, 1), (1, 2), (2, 1)],  # a chain into a cycle
+    [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 5), (5, 1)],  # cycles in a row, and a loop before them
+    [(i, (i + 1) % 16) for i in range(16)] + [(100 + i, 101 + i) for i in range(16)] + [(116, 0)],
+])
+def test_components_of_chains_and_cycles(spark, pairs):
+    found = {r["node"]: r["component"] for r in graph.components(frame(spark, pairs)).collect()}
+    assert found == cycles(pairs)
+
+
+def test_labels_cross_a_long_cycle_in_few_rounds(spark):
+    scratch = Scratch(spark, "long")
+    n = 512
+    labels = graph._spread_least(scratch, spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst")).collect()
+    assert len(labels) == n and len({r["label"] for r in labels}) == 1
+    assert scratch.serial < 50  # tables written, two a round; one hop a round writes 512
+
+
 def test_reach_against_brute_force(spark):
     pairs = random_pairs(7, 40, 50)
     seeds = [0, 1, 2]
