@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import time
 from datetime import date, datetime
 
@@ -12,6 +13,7 @@ from batchline.queries import scratch_table
 from batchline.scratch import new_dir
 from batchline.sinks.tables import create_table
 from batchline.streaming import ingest as stream
+from batchline.streaming import tasklog
 
 
 @pytest.mark.parametrize(
@@ -121,6 +123,47 @@ def test_fold_keeps_the_last_event(spark):
     assert got["u"] == (None, datetime(2024, 1, 1, 4), 1.0, True)
 
 
+def task_events(seed, n=120):
+    deal = random.Random(seed)
+    pick = deal.choice
+    return [
+        (pick(["2024-01-01", "2024-01-02", None]), pick(["t", "u", None]), pick(["s", ""]), pick(["start", "end", "end", "other"]),
+         pick([None, datetime(2024, 1, 1, pick(range(24)), 0, 0, pick([0, 1]))]), pick([1, 2, 3, None]), pick([True, False, None]), pick([None, 0.5, 60.0]))
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize(("seed", "cuts"), [(1, [120]), (2, [1, 40, 41, 119]), (3, [60, 60])])
+def test_stream_folds_as_the_batch_does(spark, seed, cuts):
+    rows, events, folder = task_events(seed), new_dir(spark, "events"), new_dir(spark, "log")
+    begun = 0
+    for cut in [*cuts, len(rows)]:
+        part = spark.createDataFrame(rows[begun:cut], tasklog.EVENTS)
+        part.coalesce(1).write.mode("append").parquet(events)
+        begun = cut
+    log = tasklog.fold_stream(spark, events, folder, files_per_batch=1)
+    want = runlog.fold_task_log(spark.createDataFrame(rows, tasklog.EVENTS))
+    assert log.dtypes == want.dtypes
+    assert sorted(map(str, log.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stream_goes_on_and_tells_changes_only(spark):
+    events, folder = new_dir(spark, "events"), new_dir(spark, "log")
+    end = ("2024-01-01", "t", "s", "end", datetime(2024, 1, 1, 2), 2, False, 60.0)
+    start = ("2024-01-01", "t", "s", "start", datetime(2024, 1, 1, 1), 1, None, None)
+    drop = lambda *rows: spark.createDataFrame(rows, tasklog.EVENTS).coalesce(1).write.mode("append").parquet(events)
+    drop()
+    assert tasklog.task_log(spark, folder).collect() == tasklog.fold_stream(spark, events, folder).collect() == []
+    drop(end)
+    assert tasklog.fold_stream(spark, events, folder).head()[3:] == (None, datetime(2024, 1, 1, 2), 60.0, False)
+    drop(start)
+    after = tasklog.fold_stream(spark, events, folder).collect()
+    assert [r[3:] for r in after] == [(datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 2), 60.0, False)]
+    drop(end, start, start[:5] + (0, None, None))  # delivered again, and a try before the last one
+    assert tasklog.fold_stream(spark, events, folder).collect() == after
+    assert spark.read.parquet(f"{folder}/log").count() == 2
+
+
 @pytest.fixture
 def ingested(spark):
     name = scratch_table(spark, "ingested")
