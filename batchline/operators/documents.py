@@ -11,77 +11,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchline.functions.periods import business_time, naive
+from batchline.operators.numbers import numbered
 
 # The plan document's version, its list fields and how many plans are kept.
 PLAN_VERSION = "2.0"
 LIST_FIELDS = ("scripts", "resource_scripts", "model_scripts")
 KEEP_COUNT = 5
 
-ITEMS_PER_PART = 1000
 
+def pack_plans(scripts: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """The plan of every date as rows of one shape, whatever its size: ``exec_date, part, script_id, plan``.
 
-def in_parts(items: DataFrame, keys: Sequence[str], id_column: str, per_part: int) -> DataFrame:
-    """Give items of a key a ``part`` so that no part holds much more than ``per_part``.
-
-    A key with few items has the single part 0. The counts are aggregated before the
-    shuffle and joined back, so a key with a third of all items spreads over many tasks.
+    ``scripts`` has ``exec_date, script_id, target_table_label, level`` and whatever else a
+    script row carries; ``dependencies`` has ``exec_date, script_id, depends_on``. A plan is one
+    row with ``part`` ``plan``, which says how many scripts and waits belong to it, a row ``script``
+    for every script, and a row ``wait`` for every script that it waits for. All rows are documents of
+    one form and a plan is their union: the lists of the documents put together. So no plan and no
+    script is gathered in one place. The order of a plan is ``execution_order``.
+
+    Of rows with equal date and script the one with the greatest level stays, of those the greatest
+    row; a null ``depends_on`` is no wait. A date with waits alone is a plan without scripts.
     """
-    counts = items.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts")
-    )
-    return items.join(counts, list(keys)).withColumn(
-        "part", F.pmod(F.xxhash64(id_column), F.col("parts")).cast("int")
-    )
+    detail = [c for c in scripts.columns if c != "exec_date"]
+    entry = F.struct("level", F.struct(*detail).alias("script"))
+    one_each = scripts.groupBy("exec_date", "script_id").agg(F.max(entry).alias("entry"))
+    waits = dependencies.filter("depends_on IS NOT NULL").select("exec_date", "script_id", "depends_on")
 
+    def document(*fields: Column) -> Column:
+        head = [F.date_format("exec_date", "yyyy-MM-dd").alias("exec_date"), F.lit(PLAN_VERSION).alias("version")]
+        return F.to_json(F.struct(*head, *fields)).alias("plan")
 
-def pack_plans(
-    scripts: DataFrame, dependencies: DataFrame, per_part: int = ITEMS_PER_PART
-) -> DataFrame:
-    """One plan document per date: ``exec_date, part, parts, plan``.
+    def row(part: str, script: Column, *fields: Column) -> list[Column | str]:
+        return ["exec_date", F.lit(part).alias("part"), script.alias("script_id"), document(*fields)]
 
-    ``scripts`` has ``exec_date, script_id, target_table_label, level`` and whatever else a
-    script row carries; ``dependencies`` has ``exec_date, script_id, depends_on``. The
-    document lists the scripts, the ids of resource and of model scripts, the ids in an
-    order in which sources come first, and for every script the ids it waits for. A date
-    with more items than fit in one part has several documents with the same head; the plan
-    is their union, with the lists of one script joined and the order given by ``level``.
-    """
-    detail = [c for c in scripts.columns if c != "exec_date"]
-    waits = dependencies.filter("depends_on IS NOT NULL")
-    items = scripts.select(
-        "exec_date", "script_id", F.lit("").alias("depends_on"),
-        F.struct("level", "script_id", F.struct(*detail).alias("script")).alias("entry"),
-    ).unionByName(
-        waits.select("exec_date", "script_id", "depends_on"), allowMissingColumns=True
-    ).withColumn("id", F.concat_ws("\n", "script_id", "depends_on"))
-    placed = in_parts(items, ["exec_date"], "id", per_part)
-    # no group is larger than a part
-    by_script = placed.groupBy("exec_date", "part", "parts", "script_id").agg(
-        F.max("entry").alias("entry"),
-        F.array_sort(F.collect_list(F.nullif("depends_on", F.lit("")))).alias("waits"),
-    )
-    entries = F.sort_array(F.collect_list("entry"))
-    packed = by_script.groupBy("exec_date", "part", "parts").agg(
-        entries.alias("entries"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("script_id", "waits")))).alias("script_dependencies"),
-    )
+    def in_group(label: str) -> Column:
+        is_in = F.coalesce(F.col("entry.script.target_table_label") == label, F.lit(False))
+        return F.filter(F.array("script_id"), lambda _: is_in)
 
-    def ids(label: str) -> Column:
-        labelled = F.filter("entries", lambda e: e["script"]["target_table_label"] == label)
-        return F.array_sort(F.transform(labelled, lambda e: e["script_id"]))
-
-    plan = F.to_json(
-        F.struct(
-            F.date_format("exec_date", "yyyy-MM-dd").alias("exec_date"),
-            F.lit(PLAN_VERSION).alias("version"),
-            F.sort_array(F.transform("entries", lambda e: e["script"])).alias("scripts"),
-            "script_dependencies",
-            ids("DataResource").alias("resource_scripts"),
-            ids("DataModel").alias("model_scripts"),
-            F.transform("entries", lambda e: e["script_id"]).alias("execution_order"),
+    of_scripts = one_each.select(
+        *row(
+            "script", F.col("script_id"), F.array("entry.script").alias("scripts"),
+            in_group("DataResource").alias("resource_scripts"), in_group("DataModel").alias("model_scripts"),
         )
     )
-    return packed.select("exec_date", "part", "parts", plan.alias("plan"))
+    waited = F.create_map("script_id", F.array("depends_on")).alias("script_dependencies")
+    of_waits = waits.select(*row("wait", F.col("script_id"), waited))
+    counted = one_each.select("exec_date", F.lit(1).alias("script"), F.lit(0).alias("wait")).unionByName(
+        waits.select("exec_date", F.lit(0).alias("script"), F.lit(1).alias("wait"))
+    )
+    heads = counted.groupBy("exec_date").agg(F.sum("script").alias("script_count"), F.sum("wait").alias("wait_count"))
+    of_plan = heads.select(*row("plan", F.lit(None).cast(scripts.schema["script_id"].dataType), F.col("script_count"), F.col("wait_count")))
+    return of_plan.unionByName(of_scripts).unionByName(of_waits)
+
+
+def execution_order(plans: DataFrame, keys: Sequence[str] = ("exec_date",)) -> DataFrame:
+    """The scripts of each plan in an order in which sources come first: ``*keys, script_id, place``.
+
+    ``plans`` has rows of ``pack_plans``; ``keys`` tell one plan from another. Places count from 1, by
+    level, then id (null first); a plan of any size is numbered piece by piece.
+    """
+    rows = plans.filter("part = 'script'")
+    level = F.get_json_object("plan", "$.scripts[0].level").cast("bigint")
+    levelled = rows.select(*keys, "script_id", level.alias("_level"))
+    return numbered(levelled, list(keys), ["_level", "script_id"], "place").drop("_level")
 
 
 def plan_log(
@@ -94,7 +86,7 @@ def plan_log(
     instant = naive(logical_date)
     return plans.select(
         F.lit(dag_id).alias("dag_id"), F.lit(run_id).alias("run_id"), instant.alias("logical_date"),
-        business_time(instant).alias("local_logical_date"), "exec_date", "part", "parts", "plan",
+        business_time(instant).alias("local_logical_date"), "exec_date", "part", "script_id", "plan",
         naive(create_time).alias("create_time"),
     )
 
@@ -131,7 +123,7 @@ def _same_plan(key: Sequence[str], found: str) -> Column:
 def latest_as_of(requests: DataFrame, plans: DataFrame) -> DataFrame:
     """For ``dag_id, ds`` the latest plan of that date, else of the nearest earlier date.
 
-    A plan is all its rows: one of several parts comes with ``part`` and ``parts``. A run that
+    A plan is all its rows: one of several parts comes with ``part`` and ``script_id``. A run that
     saved its plan twice counts with the later one. Plans are first reduced to the last one per
     DAG and date (a partial aggregate over keys and times, without the documents), so the window
     that carries a plan forward sees at most one row per calendar day of a DAG, however many
@@ -147,7 +139,7 @@ def latest_as_of(requests: DataFrame, plans: DataFrame) -> DataFrame:
     carried = days.withColumn("found", F.last("found", ignorenulls=True).over(back))
     asof = carried.select("dag_id", F.col("day").alias("ds"), "found.*")
     matched = requests.join(asof, ["dag_id", "ds"], "left")
-    parts = [c for c in ("part", "parts") if c in plans.columns]
+    parts = [c for c in ("part", "script_id") if c in plans.columns]
     of_plan = F.struct(*key).alias("of_plan")
     wanted = plans.join(matched.select(of_plan).distinct(), _same_plan(key, "of_plan"), "left_semi")
     documents = wanted.select(of_plan, *parts, "plan")

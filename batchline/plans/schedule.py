@@ -28,10 +28,10 @@ def due_tables(nodes: DataFrame, edges: DataFrame, exec_date: date) -> DataFrame
 def plan_for(
     nodes: DataFrame, edges: DataFrame, exec_date: date, direction: str = "downstream"
 ) -> DataFrame:
-    """The plan document(s) of a date: ``exec_date, part, parts, plan``.
+    """The plan of a date in rows of ``documents.pack_plans``: ``exec_date, part, script_id, plan``.
 
     Due tables and their direct sources, without what hangs on invalid tables; the scripts
-    that fill them, what each waits for, and an order in which sources come first.
+    that fill them, what each waits for, and levels by which sources come first.
     """
     scratch = Scratch(nodes.sparkSession, "plan")
     scheduled, _ = scratch.save(due_tables(nodes, edges, exec_date), "due")

@@ -125,7 +125,7 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plan_rows(plans: DataFrame) -> DataFrame:
-    """The content of plan documents, read back by the JSON reader, however it is split."""
+    """The content of plan documents, read back by the JSON reader."""
     plan = F.from_json(
         "plan",
         "exec_date string, version string, scripts array<struct<script_id:string, script_name:string, level:int>>, "
@@ -136,7 +136,8 @@ def _plan_rows(plans: DataFrame) -> DataFrame:
     def row(kind: str, script: Column, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), script.alias("script_id"), value.alias("value"))
 
-    rows = F.concat(
+    # a document has the lists that concern it
+    lists = F.array(
         F.transform("scripts", lambda s: row("script", s["script_id"], s["script_name"])),
         F.transform("scripts", lambda s: row("level", s["script_id"], s["level"].cast("string"))),
         F.transform("resource_scripts", lambda s: row("resource", s, F.lit(""))),
@@ -148,18 +149,35 @@ def _plan_rows(plans: DataFrame) -> DataFrame:
             )
         ),
     )
+    rows = F.flatten(F.array_compact(lists))
     return read.select(F.concat_ws(" ", "exec_date", "version").alias("plan"), F.inline(rows))
 
 
-def json_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plan documents per date from the planned scripts, and what they hold."""
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of every date from the planned scripts."""
     planned = view(spark, sf_dir, "plan_scripts")
     scripts = planned.select(
         "exec_date", F.col("target_table").alias("script_id"), "script_name", "target_table",
         "target_table_label", F.length("target_table").alias("level"),
     )
     needs = planned.select("exec_date", F.col("target_table").alias("script_id"), F.col("source_a").alias("depends_on"))
-    return _plan_rows(documents.pack_plans(scripts, needs))
+    return documents.pack_plans(scripts, needs)
+
+
+def json_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan documents per date from the planned scripts, and what they hold."""
+    return _plan_rows(_packed(spark, sf_dir))
+
+
+def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of every date's plan, from its documents."""
+    return documents.execution_order(_packed(spark, sf_dir))
+
+
+def plan_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of every plan: what a reader checks that it has the whole plan by."""
+    head = F.from_json("plan", "script_count bigint, wait_count bigint").alias("head")
+    return _packed(spark, sf_dir).filter("part = 'plan'").select("exec_date", head).select("exec_date", "head.*")
 
 
 def daily_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +205,8 @@ QUERIES = {
     "roots_leaves": roots_leaves,
     "dedupe_first": dedupe_first,
     "json_pack": json_pack,
+    "plan_order": plan_order,
+    "plan_heads": plan_heads,
     "daily_plan": daily_plan,
 }
 
@@ -346,6 +366,13 @@ ORACLE = {
         "UNION ALL SELECT plan, CASE WHEN target_table_label = 'DataResource' THEN 'resource' ELSE 'model' END, target_table, '' FROM p "
         "UNION ALL SELECT plan, 'wait', target_table, source_a FROM p",
     ),
+    "plan_order": with_views(
+        ["plan_scripts"],
+        "SELECT exec_date, target_table AS script_id, row_number() OVER (PARTITION BY exec_date ORDER BY length(target_table), target_table) AS place FROM plan_scripts",
+    ),
+    "plan_heads": with_views(
+        ["plan_scripts"], "SELECT exec_date, count(*) AS script_count, count(source_a) AS wait_count FROM plan_scripts GROUP BY exec_date"
+    ),
     "daily_plan": with_views(
         ["nodes", "edges"],
         f"{_SCRIPTS}, attrs AS (SELECT target, arg_min(schedule_frequency, (script_name, coalesce(source, ''))) AS frequency FROM named GROUP BY target), "

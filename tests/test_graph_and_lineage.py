@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from batchline.operators import graph, lineage
+from batchline.operators import documents, graph, lineage
 from batchline.plans import schedule
 from batchline.scratch import Scratch
 
@@ -207,15 +207,15 @@ def test_dependencies_fall_back_on_every_edge(spark, small_graph):
 
 
 def test_plan_of_a_day(small_graph):
-    rows = schedule.plan_for(*small_graph, date(2024, 7, 7)).select(
-        "parts",
-        F.from_json("plan", "exec_date string, execution_order array<string>, script_dependencies map<string, array<string>>, resource_scripts array<string>").alias("p"),
-    ).collect()
-    plan = rows[0]["p"]
-    assert len(rows) == 1 and plan["exec_date"] == "2024-07-07"
-    assert plan["execution_order"] == ["load_file_py_file", "pull_py_res", "a_sql_m1", "b_sql_m2", "c_sql_m2"][1:]
-    assert plan["script_dependencies"]["c_sql_m2"] == ["b_sql_m2"]
-    assert plan["resource_scripts"] == ["pull_py_res"]
+    plans = schedule.plan_for(*small_graph, date(2024, 7, 7))
+    read = F.from_json("plan", "exec_date string, script_dependencies map<string, array<string>>, resource_scripts array<string>").alias("p")
+    rows = [(r["part"], r["script_id"], r["p"]) for r in plans.select("part", "script_id", read).collect()]
+    assert {p["exec_date"] for _, _, p in rows} == {"2024-07-07"}
+    assert sum(part == "plan" for part, _, _ in rows) == 1
+    order = [r["script_id"] for r in documents.execution_order(plans).orderBy("place").collect()]
+    assert order == ["load_file_py_file", "pull_py_res", "a_sql_m1", "b_sql_m2", "c_sql_m2"][1:]
+    assert [p["script_dependencies"]["c_sql_m2"] for part, i, p in rows if (part, i) == ("wait", "c_sql_m2")] == [["b_sql_m2"]]
+    assert [s for part, _, p in rows if part == "script" for s in p["resource_scripts"]] == ["pull_py_res"]
 
 
 def test_keep_first(spark):

@@ -33,22 +33,44 @@ def test_plan_valid(spark, plan, valid):
     assert df.select(documents.plan_valid(F.col("plan"))).head()[0] is valid
 
 
-def test_large_plan_is_split_and_whole(spark):
-    scripts = spark.range(5000).selectExpr(
-        "DATE'2024-01-01' AS exec_date", "concat('s', id) AS script_id", "'DataModel' AS target_table_label", "CAST(id % 3 AS int) AS level"
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_plan_has_one_shape_at_every_size(spark, n):
+    scripts = spark.range(n).selectExpr(
+        "DATE'2024-01-01' AS exec_date", "concat('s', id) AS script_id", "if(id % 2 = 0, 'DataModel', 'DataResource') AS target_table_label", "CAST(id % 3 AS int) AS level"
     )
-    needs = spark.range(5000).selectExpr("DATE'2024-01-01' AS exec_date", "concat('s', id) AS script_id", "'hub' AS depends_on").union(
-        spark.range(3000).selectExpr("DATE'2024-01-01'", "'s0'", "concat('s', id + 1)")
+    needs = spark.range(n).selectExpr("DATE'2024-01-01' AS exec_date", "concat('s', id) AS script_id", "'hub' AS depends_on").union(
+        spark.range(n * 3 // 5).selectExpr("DATE'2024-01-01'", "'s0'", "concat('s', id + 1)")
     )
-    plans = documents.pack_plans(scripts, needs, per_part=1000)
-    rows = plans.select(
-        "part", "parts", F.from_json("plan", "scripts array<struct<script_id:string>>, script_dependencies map<string, array<string>>").alias("p")
-    ).collect()
-    assert len(rows) == rows[0]["parts"] == 13
-    assert sorted(s["script_id"] for r in rows for s in r["p"]["scripts"]) == sorted(f"s{i}" for i in range(5000))
-    pairs = [(k, v) for r in rows for k, vs in r["p"]["script_dependencies"].items() for v in vs]
-    assert len(pairs) == len(set(pairs)) == 8000
-    assert max(len(r["p"]["scripts"]) for r in rows) < 1000
+    plans = documents.pack_plans(scripts, needs)
+    assert plans.filter(~documents.plan_valid(F.col("plan"))).count() == 0
+    lists = (
+        "scripts array<struct<script_id:string>>, script_dependencies map<string, array<string>>, resource_scripts array<string>, "
+        "model_scripts array<string>, script_count int, wait_count int"
+    )
+    rows = [(r["part"], r["script_id"], r["p"]) for r in plans.select("part", "script_id", F.from_json("plan", lists).alias("p")).collect()]
+    heads = [(p["script_count"], p["wait_count"]) for part, _, p in rows if part == "plan"]
+    assert heads == ([(n, n + n * 3 // 5)] if n else [])
+    assert sorted((i, [s["script_id"] for s in p["scripts"]]) for part, i, p in rows if part == "script") == sorted((f"s{i}", [f"s{i}"]) for i in range(n))
+    for field, rest in [("model_scripts", 0), ("resource_scripts", 1)]:
+        assert sorted(i for part, _, p in rows if part == "script" for i in p[field]) == sorted(f"s{i}" for i in range(n) if i % 2 == rest)
+    pairs = sorted((k, v) for part, _, p in rows if part == "wait" for k, vs in p["script_dependencies"].items() for v in vs)
+    assert pairs == sorted([(f"s{i}", "hub") for i in range(n)] + [("s0", f"s{i + 1}") for i in range(n * 3 // 5)])
+    order = documents.execution_order(plans).orderBy("place").collect()
+    assert [r["script_id"] for r in order] == sorted((f"s{i}" for i in range(n)), key=lambda s: (int(s[1:]) % 3, s))
+    assert [r["place"] for r in order] == list(range(1, n + 1))
+
+
+def test_plan_of_awkward_rows(spark):
+    scripts = spark.createDataFrame(
+        [(date(2024, 1, 1), "a", None, None), (date(2024, 1, 1), "a", "DataModel", 2), (date(2024, 1, 1), "b", None, None), (date(2024, 1, 1), None, "DataModel", 0)],
+        "exec_date date, script_id string, target_table_label string, level int",
+    )
+    needs = spark.createDataFrame([(date(2024, 1, 1), "a", None), (date(2024, 1, 2), "c", "a")], "exec_date date, script_id string, depends_on string")
+    plans = documents.pack_plans(scripts, needs)
+    assert {(r["exec_date"].day, r["part"], r["script_id"]) for r in plans.collect()} == {
+        (1, "plan", None), (1, "script", "a"), (1, "script", "b"), (1, "script", None), (2, "plan", None), (2, "wait", "c"),
+    }
+    assert [(r["script_id"], r["place"]) for r in documents.execution_order(plans).orderBy("place").collect()] == [("b", 1), (None, 2), ("a", 3)]
 
 
 def test_latest_for_one_date(spark):

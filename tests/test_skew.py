@@ -33,7 +33,7 @@ def skewed(small):
 @pytest.mark.parametrize(
     "name",
     [
-        "asof_latest", "keep_latest_n", "json_pack", "json_validate", "top_durations", "run_counts", "run_match",
+        "asof_latest", "keep_latest_n", "json_pack", "plan_order", "json_validate", "top_durations", "run_counts", "run_match",
         "failed_tasks", "report_lines", "run_fold", "window_replace", "windowed_transform", "period_range", "task_id",
     ],
 )
