@@ -47,9 +47,27 @@ SLACK = 1e-9
 
 @cache
 def rotation(d: int) -> np.ndarray:
-    """A random orthogonal matrix, the same on every worker."""
-    q, r = np.linalg.qr(np.random.default_rng(20 + d).normal(size=(d, d)))
-    return q * np.sign(np.diag(r))
+    """A random orthogonal matrix by Gram-Schmidt. Single operations and sums by row alone, so that
+    every worker gets the same numbers whatever its linear algebra library."""
+    a = np.random.default_rng(20 + d).normal(size=(d, d))
+    for k in range(d):
+        a[k] /= np.sqrt((a[k] * a[k]).sum())
+        a[k + 1 :] -= (a[k + 1 :] * a[k]).sum(axis=1)[:, None] * a[k]
+    return a
+
+
+def rotated(raw: np.ndarray) -> np.ndarray:
+    """Vectors of length one, turned; each row's numbers depend on that row alone, so tasks that
+    meet the same pair see the same distances."""
+    v = raw.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # lengths that would overflow or vanish
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    turn, out = rotation(v.shape[1]), np.zeros_like(v)
+    for begin in range(0, len(v), 1024):
+        part, sums = v[begin : begin + 1024], out[begin : begin + 1024]
+        for k, row in enumerate(turn):
+            sums += part[:, k, None] * row
+    return out
 
 
 def blocks(d: int) -> list[tuple[int, int]]:
@@ -65,35 +83,33 @@ def _double(rows: DataFrame) -> bool:
     return "double" in dict(rows.dtypes)["embedding"]
 
 
-def turned(rows: DataFrame) -> DataFrame:
-    """``vec_id, node, label, d, vector, raw``: node null where nothing can link; the vector is of
-    length one and rotated, as 64-bit floats; ``raw`` is as it came, in the table's own precision
-    (64-bit ones scaled by a power of two, so that squares neither overflow nor vanish)."""
+def checked(rows: DataFrame) -> DataFrame:
+    """``vec_id, node, label, d, raw``: node null where nothing can link; ``raw`` is the vector as it
+    came, in the table's own precision (64-bit ones scaled by a power of two, so that squares
+    neither overflow nor vanish). Rotated ones are made again where they are needed."""
     double = _double(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_node, out_d, out_vector, out_raw = [], [], [], []
+            out_node, out_d, out_raw = [], [], []
             for raw, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 v = None
                 if raw and label is not None and not any(x is None for x in raw):
                     v = np.array(raw, np.float64) + 0.0
                     v = v if np.isfinite(v).all() and v.any() else None
                 if v is None:
-                    out_node.append(None), out_d.append(0), out_vector.append(None), out_raw.append(None)
+                    out_node.append(None), out_d.append(0), out_raw.append(None)
                     continue
                 key = hashlib.blake2b(f"{label}|".encode() + v.tobytes(), digest_size=16).digest()
                 out_raw.append(np.ldexp(v, -np.frexp(np.abs(v).max())[1]).tobytes() if double else v.astype("<f4").tobytes())
-                v = v / np.abs(v).max()  # lengths that would overflow or vanish
-                v /= np.sqrt(v @ v)
-                out_node.append(key), out_d.append(len(v)), out_vector.append((v @ rotation(len(v))).tobytes())
+                out_node.append(key), out_d.append(len(v))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(out_node, pa.binary()), batch.column("label"), pa.array(out_d, pa.int32()), pa.array(out_vector, pa.binary()), pa.array(out_raw, pa.binary())],
-                ["vec_id", "node", "label", "d", "vector", "raw"],
+                [batch.column("vec_id"), pa.array(out_node, pa.binary()), batch.column("label"), pa.array(out_d, pa.int32()), pa.array(out_raw, pa.binary())],
+                ["vec_id", "node", "label", "d", "raw"],
             )
 
     kinds = dict(rows.dtypes)
-    schema = f"vec_id {kinds['vec_id']}, node binary, label {kinds['label']}, d int, vector binary, raw binary"
+    schema = f"vec_id {kinds['vec_id']}, node binary, label {kinds['label']}, d int, raw binary"
     return rows.select("vec_id", "embedding", "label").mapInArrow(run, schema)
 
 
@@ -111,15 +127,16 @@ def _cells(home: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tupl
         yield np.flatnonzero(touched), at[touched]
 
 
-def dealt(nodes: DataFrame, cosine: float) -> DataFrame:
+def dealt(nodes: DataFrame, cosine: float, double: bool) -> DataFrame:
     """``cell, home, node`` of every node in every block, with its vector and copies."""
+    kind = np.float64 if double else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("d").to_numpy()
             for d in np.unique(dims):
                 some = batch.take(pa.array(np.flatnonzero(dims == d)))
-                x = np.frombuffer(b"".join(some.column("vector").to_pylist()), np.float64).reshape(-1, d)
+                x = rotated(np.frombuffer(b"".join(some.column("raw").to_pylist()), kind).reshape(-1, d))
                 labels = some.column("label").to_pylist()
                 for b, (first, last) in enumerate(blocks(int(d))):
                     y = x[:, first : min(last, first + GRID)]
@@ -131,11 +148,11 @@ def dealt(nodes: DataFrame, cosine: float) -> DataFrame:
                         key = np.frombuffer(b"".join(own), np.int64) if own else np.zeros(0, np.int64)
                         rows = some.take(pa.array(at))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(key), pa.array(np.full(len(at), b, np.int32)), pa.array((cells == home[at]).all(axis=1)), *(rows.column(c) for c in ("node", "d", "copies", "vector", "raw"))],
-                            ["cell", "block", "home", "node", "d", "copies", "vector", "raw"],
+                            [pa.array(key), pa.array(np.full(len(at), b, np.int32)), pa.array((cells == home[at]).all(axis=1)), *(rows.column(c) for c in ("node", "d", "copies", "raw"))],
+                            ["cell", "block", "home", "node", "d", "copies", "raw"],
                         )
 
-    return nodes.mapInArrow(run, "cell long, block int, home boolean, node binary, d int, copies long, vector binary, raw binary")
+    return nodes.mapInArrow(run, "cell long, block int, home boolean, node binary, d int, copies long, raw binary")
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,8 +209,8 @@ def counted(rows: DataFrame, cosine: float, double: bool) -> DataFrame:
         home = np.array([r[2] for r in table])
         copies = np.array([r[4] for r in table], np.int64)
         chunk = np.array([r[6] for r in table])
-        x = np.frombuffer(b"".join(r[5] for r in table), np.float64).reshape(-1, d)
-        raw = np.frombuffer(b"".join(r[7] for r in table), kind).reshape(-1, d)
+        raw = np.frombuffer(b"".join(r[5] for r in table), kind).reshape(-1, d)
+        x = rotated(raw)
         low, high = chunk.min(), chunk.max()
         one, two = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
         links, pairs = np.zeros(len(table), np.int64), []
@@ -218,7 +235,7 @@ def counted(rows: DataFrame, cosine: float, double: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("work", "node", "block", "home", "d", "copies", "vector", "chunk", "raw")]
+            columns = [batch.column(c).to_pylist() for c in ("work", "node", "block", "home", "d", "copies", "raw", "chunk")]
             for key, *row in zip(*columns, strict=True):
                 if key != own:
                     if (out := work(held)) is not None:
@@ -235,20 +252,19 @@ def counted(rows: DataFrame, cosine: float, double: bool) -> DataFrame:
     full = full.withColumns({"chunks": chunks}).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     each = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = F.xxhash64("cell", F.least("chunk", "with"), F.greatest("chunk", "with"))
-    work_rows = each.select(key.alias("work"), "node", "block", "home", "d", "copies", "vector", "chunk", "raw")
+    work_rows = each.select(key.alias("work"), "node", "block", "home", "d", "copies", "raw", "chunk")
     return work_rows.repartition(F.col("work")).sortWithinPartitions("work", "node").mapInArrow(run, "node binary, links long, root binary")
 
 
 def report(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding, label``."""
-    all_ = saved(turned(rows), "turned", compression="none")
+    all_ = saved(checked(rows), "checked", compression="none")
     able = all_.filter("node IS NOT NULL")
     nodes = able.groupBy("node").agg(
-        F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("d").alias("d"), F.any_value("vector").alias("vector"),
-        F.any_value("raw").alias("raw"),
+        F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("d").alias("d"), F.any_value("raw").alias("raw"),
     )
     nodes = saved(nodes, "nodes", compression="none")
-    cells = saved(dealt(nodes, cosine), "cells")
+    cells = saved(dealt(nodes, cosine, _double(rows)), "cells")
     found = saved(counted(cells, cosine, _double(rows)), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
