@@ -140,13 +140,15 @@ def run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events as files of a stream, dealt by hash, so that ends come before their starts and
-    early tries after late ones; a second run over the same folder then finds the rest."""
+    early tries after late ones; a second run over the same folder then finds the rest. A batch has a
+    file for every core, so that neither the writing of the events nor their reading waits for one task."""
     events, folder = new_dir(spark, "events"), new_dir(spark, "task_log")
+    files = spark.sparkContext.defaultParallelism
     dealt = _task_events(spark, sf_dir).withColumn("deal", F.pmod(F.xxhash64("target_table", "script_name", "kind", "written"), F.lit(4)))
     for half in (0, 1):
         now = dealt.filter((F.col("deal") / 2).cast("int") == half)
-        now.repartition(2, "deal").drop("deal").write.mode("append").parquet(events)
-        log = fold_stream(spark, events, folder, files_per_batch=1)
+        now.repartition(2 * files, "deal", "target_table", "script_name").drop("deal").write.mode("append").parquet(events)
+        log = fold_stream(spark, events, folder, files_per_batch=files)
     return log
 
 

@@ -1,10 +1,11 @@
 """The task log as a stream: start and end events in any order and any batches, folded per task.
 
-State is one value per task (date, target table, script), on disk and without expiry: the last
-start and the last end seen so far. An event that changes neither is forgotten and gives no row, so
-files that are delivered again, or starts that come after a later one, cost nothing downstream. What
-changed in a batch becomes the batch's own folder of the log, overwritten when the batch is repeated;
-a reader takes the last row of each task.
+State is one row per task (date, target table, script), on disk and without expiry: the last
+start and the last end seen so far, each with the time of the batch that brought it. It is kept by
+Spark's own streaming aggregate, so no event passes through Python. An event that changes neither
+leaves the older batch's time and gives no row, so files that are delivered again, or starts that
+come after a later one, cost nothing downstream. What changed in a batch becomes the batch's own
+folder of the log, overwritten when the batch is repeated; a reader takes the last row of each task.
 
 The result is that of ``operators.runlog.fold_task_log`` over all events, however they are cut into
 files and batches: the greatest ``written`` of a kind wins, of equal ones the greatest time, then
@@ -15,12 +16,9 @@ task has a row. No files give an empty log.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from batchline.scratch import ANY_AGE, FileSystem, nothing, settings
 
@@ -39,39 +37,15 @@ _STORE = {
 # times travel as microseconds since 1970 on the clock they were read from, whatever the session's zone
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 _ROW = "exec_date date, target_table string, script_name string, started bigint, ended bigint, duration double, success boolean"
-_LAST = "start_written bigint, started bigint, end_written bigint, ended bigint, duration double, success boolean"
-
-
-def _rank(values: tuple) -> tuple:
-    """Values in the order in which Spark sorts them: null first."""
-    return tuple((v is not None, v if v is not None else 0) for v in values)
-
 
-class LastEvents(StatefulProcessor):
-    """Keeps the last start and the last end of a task; a row out for every batch that changed them."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", _LAST)
+def _last(kind: str, *values: str) -> Column:
+    """The greatest event of a kind, null first as Spark sorts; of equal ones that of the oldest batch.
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        before = tuple(self._last.get() or ()) if self._last.exists() else None
-        # a kind that was never seen has no value; one that was seen may have null values
-        start, end = (before[:2], before[2:]) if before else ((None, None), (None, None, None, None))
-        for row in rows:
-            if row.kind == "start":
-                start = max(start, (row.written, row.event_time), key=_rank)
-            elif row.kind == "end":
-                end = max(end, (row.written, row.event_time, row.duration, row.success), key=_rank)
-        now = (*start, *end)
-        if now != before:
-            self._last.update(now)
-            yield Row(
-                exec_date=key[0], target_table=key[1], script_name=key[2],
-                started=start[1], ended=end[1], duration=end[2], success=end[3],
-            )
-
-    def close(self) -> None:
-        pass
+    Events of other kinds count as nulls, so that whoever has a row has both structs.
+    """
+    own = [F.when(F.col("kind") == kind, F.col(c)).alias(c) for c in ("written", *values)]
+    return F.max(F.struct(*own, (-F.col("batch_time")).alias("age")))
 
 
 def fold_stream(
@@ -86,12 +60,18 @@ def fold_stream(
     folder = folder.rstrip("/")
     source = spark.readStream.schema(schema).options(maxFilesPerTrigger=files_per_batch, maxFileAge=ANY_AGE).parquet(events)
     micros = F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, event_time)")
+    # one time for all of a batch, kept with its offsets: a repeated batch has the same
+    batch_time = F.unix_micros(F.current_timestamp()).alias("batch_time")
     keyed = source.select(
         F.to_date("exec_date").alias("exec_date"), "target_table", "script_name", "kind",
-        micros.alias("event_time"), F.col("written").cast("bigint").alias("written"), "duration", "success",
+        micros.alias("event_time"), F.col("written").cast("bigint").alias("written"), "duration", "success", batch_time,
+    )
+    folded = keyed.groupBy(*KEY).agg(
+        _last("start", "event_time").alias("start"), _last("end", "event_time", "duration", "success").alias("end")
     )
-    changed = keyed.groupBy(*KEY).transformWithState(
-        statefulProcessor=LastEvents(), outputStructType=_ROW, outputMode="Update", timeMode="None"
+    by_this_batch = -F.unix_micros(F.current_timestamp())
+    changed = folded.filter((F.col("start.age") == by_this_batch) | (F.col("end.age") == by_this_batch)).select(
+        *KEY, F.col("start.event_time").alias("started"), F.col("end.event_time").alias("ended"), "end.duration", "end.success"
     )
 
     def write(rows: DataFrame, number: int) -> None:

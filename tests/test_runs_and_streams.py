@@ -186,6 +186,22 @@ def test_stream_goes_on_and_tells_changes_only(spark):
     assert spark.read.parquet(f"{folder}/log").count() == 2
 
 
+def test_stream_folds_in_the_engine(spark, tmp_path):
+    """State is kept by Spark's own operator, which counts its rows; none of it runs in Python."""
+    n, events, folder = 20_000, new_dir(spark, "events"), new_dir(spark, "log")
+    task = spark.range(n).select(F.lit("2024-01-01").alias("exec_date"), F.lit("t").alias("target_table"), F.col("id").cast("string").alias("script_name"))
+    for kind in ("end", "start"):
+        task.select(
+            "*", F.lit(kind).alias("kind"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'").alias("event_time"),
+            F.lit(1).cast("bigint").alias("written"), F.lit(True).alias("success"), F.lit(1.0).cast("double").alias("duration"),
+        ).write.mode("append").parquet(events)
+        log = tasklog.fold_stream(spark, events, folder)
+    assert log.filter("exec_start_time = exec_end_time AND exec_result").count() == n
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint")  # the reader of one value per key
+    assert state.count() == n and set(state.schema["key"].dataType.names) == set(tasklog.KEY)
+    assert [f.dataType.names[-1] for f in state.schema["value"].dataType] == ["age", "age"]
+
+
 @pytest.fixture
 def ingested(spark):
     name = scratch_table(spark, "ingested")
