@@ -3,16 +3,31 @@
 An edge table has ``src`` and ``dst``. Every walk works on sets of nodes, never on pairs of
 nodes, so that its tables stay within nodes plus edges. Each round writes the new frontier
 to the shared folder and reads it back: the plan stays short, a lost executor re-reads
-files, and the exact size of the frontier lets Catalyst broadcast it when it is small and
-shuffle it (with AQE splitting hot keys on the edge side) when it is not.
+files, and the size of the frontier lets Catalyst broadcast it when it is small and shuffle it
+(with AQE splitting hot keys on the edge side) when it is not. Small is a megabyte in memory
+(``scratch.small_broadcasts``), so what the rounds send to the driver does not grow with the graph.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchline.scratch import Rounds, Scratch, nothing
+from batchline.scratch import Rounds, Scratch, nothing, small_broadcasts
+
+
+def _walk(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A walk over ``edges``: all its joins are done when it returns, with small broadcasts only."""
+
+    @wraps(run)
+    def bounded(edges: DataFrame, *rest, **named) -> DataFrame:
+        with small_broadcasts(edges.sparkSession):
+            return run(edges, *rest, **named)
+
+    return bounded
 
 
 def as_edges(df: DataFrame, src: str, dst: str) -> DataFrame:
@@ -21,6 +36,7 @@ def as_edges(df: DataFrame, src: str, dst: str) -> DataFrame:
     return edge.filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
+@_walk
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes at one or more steps from any seed, with their least number of steps.
 
@@ -95,6 +111,7 @@ def _spread_least(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return labels.select("node", "label")
 
 
+@_walk
 def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components that hold a cycle: ``node, component`` (its least node).
 
@@ -133,7 +150,9 @@ def components(edges: DataFrame) -> DataFrame:
     # a label's own node alone is no cycle
     least = members.groupBy("label").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     result = members.join(least, "label").select("node", "component")
-    return result.unionByName(loops.join(result, "node", "left_anti"))
+    both, _ = scratch.save(result.unionByName(loops.join(result, "node", "left_anti")), "components")
+    scratch.forget_all(but=(both,))
+    return both
 
 
 def _inside(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -205,6 +224,7 @@ def _rows(degrees: DataFrame, filled: Column, top: Column) -> DataFrame:
     return degrees.select("node", filled.alias("filled"), top.alias("top"), "degree", (top + 1).cast("int").alias("level"))
 
 
+@_walk
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Level of each node: 0 without ``dst``, else one more than the highest of its ``dst``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from batchline.functions.values import FILE_LOADER, script_defaults, script_id
 from batchline.operators import graph
-from batchline.scratch import Scratch
+from batchline.scratch import Scratch, small_broadcasts
 
 # Kinds of edges, and the type of resources that are filled from files.
 DERIVED, ORIGINATES = "DERIVED_FROM", "ORIGINATES_FROM"
@@ -242,25 +242,31 @@ def chain_order(starts: DataFrame, nodes: DataFrame, edges: DataFrame, level: st
     and only ranks within a place are sorted. Data sources have no script and no place.
     """
     scratch = Scratch(edges.sparkSession, "order")
-    chain, _ = scratch.save(script_chain(starts, nodes, edges, level).filter("script_name IS NOT NULL"), "chain")
-    members = chain.select(_step("table_name", "script_name").alias("node"), "script_id").distinct()
-    if level == "self":
-        placed = members.withColumn("level", F.lit(0))
-    else:
-        walk = _walk(starts, nodes, edges, level)
-        inside = walk.join(members.select(F.col("node").alias("src")), "src", "left_semi")
-        inside = inside.join(members.select(F.col("node").alias("dst")), "dst", "left_semi")
-        placed = members.join(graph.levels(inside, members.select("node")), "node")
-    stored, _ = scratch.save(placed, "placed")
-    # one row for each place
-    before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = stored.groupBy("level").agg(F.count(F.lit(1)).alias("size"))
-    bases = sizes.select("level", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("level").orderBy("script_id", "node"))
-    return stored.withColumn("rank", rank).join(bases, "level").select(
-        F.col("level").alias("place"), (F.col("base") + F.col("rank")).alias("step"),
-        "node.table_name", "node.script_name", "script_id",
-    )
+    with small_broadcasts(edges.sparkSession):
+        chain, _ = scratch.save(script_chain(starts, nodes, edges, level).filter("script_name IS NOT NULL"), "chain")
+        members = chain.select(_step("table_name", "script_name").alias("node"), "script_id").distinct()
+        if level == "self":
+            placed = members.withColumn("level", F.lit(0))
+        else:
+            walk = _walk(starts, nodes, edges, level)
+            inside = walk.join(members.select(F.col("node").alias("src")), "src", "left_semi")
+            inside = inside.join(members.select(F.col("node").alias("dst")), "dst", "left_semi")
+            placed = members.join(graph.levels(inside, members.select("node")), "node")
+        stored, _ = scratch.save(placed, "placed")
+        # one row for each place
+        before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = stored.groupBy("level").agg(F.count(F.lit(1)).alias("size"))
+        bases = sizes.select("level", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+        rank = F.row_number().over(Window.partitionBy("level").orderBy("script_id", "node"))
+        ordered, _ = scratch.save(
+            stored.withColumn("rank", rank).join(bases, "level").select(
+                F.col("level").alias("place"), (F.col("base") + F.col("rank")).alias("step"),
+                "node.table_name", "node.script_name", "script_id",
+            ),
+            "ordered",
+        )
+    scratch.forget_all(but=(ordered,))
+    return ordered
 
 
 def _step(table: str, script: str) -> Column:

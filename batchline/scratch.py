@@ -58,6 +58,21 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(name, value)
 
 
+def small_broadcasts(spark: SparkSession):
+    """For eager work that joins again and again: broadcast only what is small in memory.
+
+    Catalyst takes a file's size for that of its rows, but files of names are many times smaller, and
+    every broadcast goes through the driver. Without this a loop over a graph of a million nodes sends
+    most of its nodes there in every round. A table counts for ten times its files, and one of more than
+    a megabyte is shuffled. Of a union of shuffled parts Spark 4.1 may then believe that it is dealt
+    like each of them and fail with unequal numbers of partitions; it is told not to.
+    """
+    return settings(
+        spark, spark__sql__autoBroadcastJoinThreshold="1MB", spark__sql__sources__fileCompressionFactor="10",
+        spark__sql__unionOutputPartitioning="false",
+    )
+
+
 def nothing(spark: SparkSession, columns: str) -> DataFrame:
     """A frame of these columns without rows, known to Catalyst as empty."""
     return spark.sql("SELECT from_json(CAST(NULL AS string), :columns) AS r WHERE false", {"columns": columns}).select("r.*")
