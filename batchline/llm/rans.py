@@ -43,6 +43,9 @@ _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD = struct.Struct("<4sIqqIIIIIIII")
 _MAGIC = b"RNS1"
+#: Words whose ids a worker keeps, about 200 MB: a run of texts may bring a hundred thousand new ones, and
+#: a smaller memory would learn most of them again and again.
+WORDS = 800_000
 #: Stands for a null doc_id in a block.
 _NO_ID = -(1 << 63)
 _CONTENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.binary()), ("lengths", pa.binary())])
@@ -205,7 +208,7 @@ def _ids_by_shard(docs: DataFrame, bounds: np.ndarray, path: str) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"shard int, doc_id {kind}, n long, width int, ids binary"
-    return docs.select("doc_id", "text").mapInArrow(over_texts(path, work), schema)
+    return docs.select("doc_id", "text").mapInArrow(over_texts(path, work, remembered=WORDS), schema)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:

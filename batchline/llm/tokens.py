@@ -5,8 +5,8 @@ one after the other. A batch is split into words by Arrow, its distinct words ar
 and the ids are gathered by word. Plain texts (ASCII and Latin letters, digits, marks) are
 lowered and cut by Arrow as the tokenizer cuts them, so that "The", "the" and "the," share one
 entry; in other texts the cut is made word by word, and words that are not plain go through the
-whole tokenizer. Per worker at most ``REMEMBERED`` words are kept (about 50 MB), after which the
-memory starts anew; results don't depend on it.
+whole tokenizer. Per worker at most ``REMEMBERED`` words are kept (about 50 MB) unless the caller has
+room for more, after which the memory starts anew; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -56,9 +56,10 @@ def _byte_signs() -> dict[int, str]:
 class Encoder:
     """Ids of texts; one per worker and vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = tuple(self.tokenizer.get_added_tokens_decoder()[i].content for i in self.tokenizer.get_added_tokens_decoder())
@@ -121,7 +122,7 @@ class Encoder:
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.places) + len(words) > REMEMBERED:
+        if len(self.places) + len(words) > (self.remembered or REMEMBERED):
             self._forget()
         self._learn([w for w in words if w not in self.places])
         of_word = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
@@ -150,20 +151,23 @@ class Encoder:
         return out, closed
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    key = path, remembered
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
-def over_texts(path: str, work: Callable[[Encoder, pa.RecordBatch], Iterator[pa.RecordBatch]], text: str = "text"):
+def over_texts(
+    path: str, work: Callable[[Encoder, pa.RecordBatch], Iterator[pa.RecordBatch]], text: str = "text", remembered: int | None = None
+):
     """A function for ``mapInArrow`` that does ``work`` for runs of bounded bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, remembered)
         for batch in batches:
             for part in by_bytes(batch, text, AT_ONCE):
                 yield from work(own, part)

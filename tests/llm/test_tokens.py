@@ -53,6 +53,24 @@ def test_memory_that_starts_anew_changes_nothing(tokenizer, monkeypatch):
         assert ids.tolist() == [*ids_of(tokenizer, text), 1]
 
 
+def test_a_larger_memory_learns_words_once(monkeypatch):
+    monkeypatch.setattr("batchline.llm.tokens.REMEMBERED", 20)
+    small, large, learnt = Encoder(default_path()), Encoder(default_path(), 1000), {}
+    texts = [pa.array([" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(15))]) for i in (0, 1, 0, 1)]
+    for own in (small, large):
+        learn, learnt[own] = own._learn, 0
+
+        def counted(words, own=own, learn=learn):
+            learnt[own] += len(words)
+            learn(words)
+
+        own._learn = counted
+    for text in texts:
+        assert small.encode(text)[0].tolist() == large.encode(text)[0].tolist()
+    assert (learnt[small], learnt[large]) == (60, 30)
+
+
+
 def check_packing(rows, expected, capacity):
     """Whole documents, gapless sequences, right checksums."""
     pieces, sequences = defaultdict(list), defaultdict(list)
