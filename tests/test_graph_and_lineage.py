@@ -221,3 +221,22 @@ def test_plan_of_a_day(small_graph):
 def test_keep_first(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 0, "z"), ("", 0, "z"), ("b", 3, "w")], "id string, at int, v string")
     assert sorted(map(tuple, lineage.keep_first(df, "id", ["at"]).collect())) == [("a", 1, "y"), ("b", 3, "w")]
+
+
+def test_a_walk_broadcasts_only_what_is_small_in_memory(spark, monkeypatch):
+    """Names of 300,000 nodes are a small file but not a small table."""
+    from batchline import scratch
+
+    plans, store = [], scratch._store
+
+    def seen(df, path, counted):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, path, counted)
+
+    monkeypatch.setattr(scratch, "_store", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    edges = spark.range(300_000).selectExpr("concat('n', id) AS src", "concat('m', id % 7) AS dst")
+    found = graph.reach(edges, edges.selectExpr("src AS node"))
+    assert found.count() == 7
+    assert "SortMergeJoin" in plans[2] and "BroadcastHashJoin" not in plans[2]  # edges, seeds, the first round
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
