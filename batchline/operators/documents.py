@@ -81,12 +81,14 @@ def plan_log(
 ) -> DataFrame:
     """Rows to append to the plan log for the documents of one planning run.
 
-    ``logical_date`` is naive UTC; the log also holds it as business time.
+    ``logical_date`` is naive UTC; the log also holds it as business time. Documents without
+    ``script_id`` are logged without.
     """
     instant = naive(logical_date)
+    parts = [c for c in ("part", "script_id") if c in plans.columns]
     return plans.select(
         F.lit(dag_id).alias("dag_id"), F.lit(run_id).alias("run_id"), instant.alias("logical_date"),
-        business_time(instant).alias("local_logical_date"), "exec_date", "part", "script_id", "plan",
+        business_time(instant).alias("local_logical_date"), "exec_date", *parts, "plan",
         naive(create_time).alias("create_time"),
     )
 
